@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, isomedia
+from ledgerloom.llm import bpe, isomedia, langid, packing
 from ledgerloom.llm.common import table
 
 
@@ -19,8 +19,16 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isomedia.digest_media(isomedia.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces_of(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_byte_bpe, op4_media_columns)}
+    return {f.__name__: f for f in (op3_byte_bpe, op4_media_columns, op6_language_id, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
