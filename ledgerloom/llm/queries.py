@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, isomedia, langid, packing
-from ledgerloom.llm.common import table
+from ledgerloom.llm import bpe, isomedia, langid, linededup, packing, warc
+from ledgerloom.llm.common import run_dir, table
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,13 +23,21 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.remove_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(spark, table(spark, sf_dir, "pages"), run_dir(spark, "warc"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces_of(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_byte_bpe, op4_media_columns, op6_language_id, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op3_byte_bpe, op4_media_columns, op6_language_id, op7_line_dedup, op8_warc, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_dedup": linededup.ORACLE, "op8_warc": warc.ORACLE}
