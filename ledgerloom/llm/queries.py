@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, isomedia, langid, linededup, packing, warc
+from ledgerloom.llm import ann, bpe, isomedia, langid, linededup, packing, warc
 from ledgerloom.llm.common import run_dir, table
 
 
@@ -19,6 +19,10 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isomedia.digest_media(isomedia.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -36,7 +40,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_byte_bpe, op4_media_columns, op6_language_id, op7_line_dedup, op8_warc, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op3_byte_bpe, op4_media_columns, op5_nearest_neighbours, op6_language_id, op7_line_dedup, op8_warc, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
