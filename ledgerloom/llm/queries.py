@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import ann, bpe, isomedia, langid, linededup, packing, warc
+from ledgerloom.llm import ann, bpe, isomedia, langid, linededup, minhash, packing, warc
 from ledgerloom.llm.common import run_dir, table
 
 
@@ -39,8 +39,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces_of(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.clusters(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_byte_bpe, op4_media_columns, op5_nearest_neighbours, op6_language_id, op7_line_dedup, op8_warc, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op3_byte_bpe, op4_media_columns, op5_nearest_neighbours, op6_language_id, op7_line_dedup, op8_warc, op9_best_fit_packing, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
