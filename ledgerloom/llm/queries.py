@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import ann, bpe, isomedia, langid, linededup, minhash, packing, warc
+from ledgerloom.llm import ann, bpe, isomedia, langid, linededup, minhash, packing, substring, warc
 from ledgerloom.llm.common import run_dir, table
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.passages(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -44,7 +48,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_byte_bpe, op4_media_columns, op5_nearest_neighbours, op6_language_id, op7_line_dedup, op8_warc, op9_best_fit_packing, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_byte_bpe, op4_media_columns, op5_nearest_neighbours, op6_language_id, op7_line_dedup, op8_warc, op9_best_fit_packing, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
