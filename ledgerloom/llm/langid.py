@@ -5,7 +5,7 @@ every piece. The score of a text under a language is the sum, over all ways to
 cut the text into pieces, of the product of the pieces' probabilities, found by
 the forward algorithm. A piece holds the word-start mark only at its start, so
 every cut passes through each word's start and a text's sum is the product of
-its words' sums; distinct words are scored once per worker.
+its words' sums; a slice of texts scores each distinct word once.
 
 Fitting is expectation maximisation: the forward-backward pass gives each piece's
 expected count in every (language, word), Spark sums them, and a few thousand
@@ -28,22 +28,26 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_DOCS = 1500
+from ledgerloom.llm.common import text_slices
+
+TRAIN_DOCS = 400
 ROUNDS = 2
 SMOOTHING = 0.05
-MAX_CACHED_WORDS = 300_000
-LONG_WORD = 48
+LONG_WORD = 32
+SCALE = 1000.0
+HASH = 0x9E3779B97F4A7C15
+SLICE_BYTES = 8_000_000
 MARK = "▁"
-_WORD = regex.compile(r"\S+")
 _LETTER = regex.compile(r"\p{L}")
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> tuple[dict[str, int], int]:
+def vocabulary(path: str) -> tuple[dict[str | int, int], int]:
     """piece -> index, and the longest piece; pieces with the mark anywhere but at the start are left out."""
     import sentencepiece
 
@@ -54,8 +58,8 @@ def vocabulary(path: str) -> tuple[dict[str, int], int]:
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and MARK not in piece[1:]:
             pieces[piece] = len(pieces)
     for b in range(256):
-        pieces[f"<0x{b:02X}>"] = len(pieces)
-    return pieces, max(len(p) for p in pieces if not p.startswith("<0x"))
+        pieces[b] = len(pieces)  # byte pieces are keyed by their byte, so no text can spell one
+    return pieces, max(len(p) for p in pieces if isinstance(p, str))
 
 
 def arcs(word: str, pieces: dict[str, int], longest: int) -> list[list[tuple[int, tuple[int, ...]]]]:
@@ -67,54 +71,96 @@ def arcs(word: str, pieces: dict[str, int], longest: int) -> list[list[tuple[int
             if (i := pieces.get(text[start:stop])) is not None:
                 out[stop].append((start, (i,)))
         if text[start] not in pieces:
-            out[start + 1].append((start, tuple(pieces[f"<0x{b:02X}>"] for b in text[start].encode("utf-8"))))
+            out[start + 1].append((start, tuple(pieces[b] for b in text[start].encode("utf-8"))))
     return out
 
 
-def log_marginal(word: str, pieces: dict[str, int], longest: int, probs: list[tuple[float, ...]], n: int) -> tuple[float, ...]:
-    """log of the sum over all segmentations, for each language; scaled at every step so long words do not underflow."""
-    table = arcs(word, pieces, longest)
-    if n == 4 and len(word) <= LONG_WORD:
-        return _log_marginal_4(table, probs)
-    alpha = [np.ones(n)]
-    scale = np.zeros(n)
-    scales = [scale]
-    for ends in table[1:]:
-        total = np.zeros(n)
+def log_marginal(word: str, pieces: dict[str, int], longest: int, probs: np.ndarray) -> np.ndarray:
+    """log of the sum over all segmentations of one word, for each language; scaled at every step, so no length underflows."""
+    n = probs.shape[1]
+    alpha, scales = [np.ones(n)], [np.zeros(n)]
+    for ends in arcs(word, pieces, longest)[1:]:
         top = scales[-1]
+        total = np.zeros(n)
         for start, ids in ends:
-            value = alpha[start] * np.exp(scales[start] - top)
-            for i in ids:
-                value = value * probs[i]
-            total = total + value
-        total = np.maximum(total, 1e-300)
+            total = total + np.exp(scales[start] - top + sum(np.log(probs[i]) for i in ids))
         alpha.append(np.ones(n))
-        scales.append(top + np.log(total))
-    return tuple(scales[-1].tolist())
+        scales.append(top + np.log(np.maximum(total, 1e-300)))
+    return scales[-1]
 
 
-def _log_marginal_4(table, probs) -> tuple[float, ...]:
-    """The same for four languages and a word too short to underflow, in plain floats."""
-    a, b, c, d = [1.0], [1.0], [1.0], [1.0]
-    for ends in table[1:]:
-        w = x = y = z = 0.0
-        for start, ids in ends:
-            p, q, r, s = probs[ids[0]]
-            for i in ids[1:]:
-                p2, q2, r2, s2 = probs[i]
-                p *= p2
-                q *= q2
-                r *= r2
-                s *= s2
-            w += a[start] * p
-            x += b[start] * q
-            y += c[start] * r
-            z += d[start] * s
-        a.append(w)
-        b.append(x)
-        c.append(y)
-        d.append(z)
-    return tuple(math.log(max(v[-1], 1e-300)) for v in (a, b, c, d))
+class Scorer:
+    """The forward algorithm over many words at once.
+
+    Every piece that starts at a position is found by a rolling hash of the
+    vocabulary's prefixes; arcs of one length and one end position touch each
+    word once, so a step is a gather, a product and a scatter over all words.
+    A piece's probability is scaled by ``SCALE`` to the power of its length:
+    all segmentations of a word share the factor, which is taken off at the end.
+    Words that are long or need byte pieces go through ``log_marginal``.
+    """
+
+    def __init__(self, model: "LanguageModel"):
+        self.pieces, self.longest = vocabulary(model.path)
+        self.probs = model.probs
+        prefixes: dict[int, int] = {}
+        for piece, i in self.pieces.items():
+            if isinstance(piece, int):
+                continue
+            h = 0
+            for k, c in enumerate(piece):
+                h = (h * HASH + ord(c) + 1) % (1 << 64)
+                last = k == len(piece) - 1
+                if last or h not in prefixes:
+                    prefixes[h] = i if last else prefixes.get(h, -1)
+        self.keys = np.array(sorted(prefixes), np.uint64)
+        self.ids = np.array([prefixes[k] for k in self.keys.tolist()], np.int32)
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """log of each word's sum (row) under each language (column)."""
+        n, langs = len(words), self.probs.shape[1]
+        lengths = np.fromiter(map(len, words), np.int64, n) + 1
+        chars = np.frombuffer((MARK + MARK.join(words)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        starts = np.cumsum(lengths) - lengths
+        word = np.repeat(np.arange(n), lengths)
+        end = np.repeat(starts + lengths, lengths)
+        slow = lengths > LONG_WORD
+        steps = []
+        live, h = np.arange(len(chars)), np.zeros(len(chars), np.uint64)
+        for length in range(1, self.longest + 1):
+            inside = live + length <= end[live]
+            live, h = live[inside], h[inside]
+            if not len(live):
+                break
+            with np.errstate(over="ignore"):
+                h = h * np.uint64(HASH) + chars[live + length - 1]
+            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            known = self.keys[at] == h
+            if length == 1:
+                alone = np.zeros(len(chars), bool)
+                alone[live[known]] = self.ids[at[known]] >= 0
+                slow[word[~alone]] = True
+            live, h, at = live[known], h[known], at[known]
+            piece = self.ids[at]
+            arc = np.flatnonzero((piece >= 0) & ~slow[word[live]])
+            begin = live[arc]
+            stop = (begin + length - starts[word[begin]]).astype(np.uint8)
+            order = np.argsort(stop, kind="stable")
+            steps.append((length, begin[order], piece[arc][order], np.searchsorted(stop[order], np.arange(LONG_WORD + 2))))
+        alpha = np.zeros((len(chars) + n, langs))  # a word has one place more than marks and letters
+        alpha[starts + np.arange(n)] = 1.0
+        scaled = {length: self.probs * SCALE**length for length, *_ in steps}
+        for stop in range(1, LONG_WORD + 1):
+            for length, begin, piece, cuts in steps:
+                a, b = cuts[stop], cuts[stop + 1]
+                if a < b:
+                    place = begin[a:b] + word[begin[a:b]]
+                    alpha[place + length] += alpha[place] * scaled[length][piece[a:b]]
+        with np.errstate(divide="ignore"):
+            out = np.log(alpha[starts + lengths + np.arange(n)]) - (lengths * math.log(SCALE))[:, None]
+        for i in np.flatnonzero(slow):
+            out[i] = log_marginal(words[i], self.pieces, self.longest, self.probs)
+        return out
 
 
 def expected_counts(word: str, pieces: dict[str, int], longest: int, prob: np.ndarray) -> dict[int, float]:
@@ -185,21 +231,6 @@ def fit(docs: DataFrame, path: str, train_docs: int = TRAIN_DOCS, rounds: int =
     return LanguageModel(languages, path, probs)
 
 
-class _Words(dict):
-    def __init__(self, model: LanguageModel):
-        super().__init__()
-        self.pieces, self.longest = vocabulary(model.path)
-        self.probs = list(map(tuple, model.probs.tolist())) if len(model.languages) == 4 else list(model.probs)
-        self.n = len(model.languages)
-
-    def __missing__(self, word: str) -> tuple[float, ...]:
-        out = log_marginal(word, self.pieces, self.longest, self.probs, self.n)
-        if len(self) >= MAX_CACHED_WORDS:
-            self.clear()
-        self[word] = out
-        return out
-
-
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """Every input column but lang_pred and score, and these two: the language of most posterior mass, and that mass."""
     kept = docs.drop("lang_pred", "score")
@@ -208,20 +239,23 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        words = _Words(model) if model.languages else None
-        for batch in batches:
-            names, scores = [], []
-            for value in batch.column("text"):
-                text = value.as_py()
-                if not text or words is None or not _LETTER.search(text):
-                    names.append("und")
-                    scores.append(0.0)
-                    continue
-                total = np.fromiter((x for w in map(words.__getitem__, text.split()) for x in w), np.float64).reshape(-1, words.n).sum(0)
-                weight = np.exp(total - total.max())
-                best = int(np.argmax(total))
-                names.append(model.languages[best])
-                scores.append(float(weight[best] / weight.sum()))
+        scorer = Scorer(model) if model.languages else None
+        for batch in text_slices(batches, "text", SLICE_BYTES):
+            names, scores = ["und"] * batch.num_rows, [0.0] * batch.num_rows
+            texts = batch.column("text").fill_null("")
+            lists = pc.utf8_split_whitespace(texts)
+            words = pc.dictionary_encode(lists.flatten())
+            if scorer is not None and len(words):
+                table = scorer.score(words.dictionary.to_pylist())
+                codes = words.indices.to_numpy()
+                ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+                for i, (text, stop) in enumerate(zip(texts, ends.tolist())):
+                    start = int(ends[i - 1]) if i else 0
+                    if start < stop and _LETTER.search(text.as_py()):
+                        total = table[codes[start:stop]].sum(0)
+                        weight = np.exp(total - total.max())
+                        best = int(np.argmax(total))
+                        names[i], scores[i] = model.languages[best], float(weight[best] / weight.sum())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
