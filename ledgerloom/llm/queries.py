@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import ann, bpe, isomedia, langid, linededup, minhash, packing, substring, warc
+from ledgerloom.llm import ann, bpe, chat, isomedia, langid, linededup, minhash, packing, substring, warc
 from ledgerloom.llm.common import run_dir, table
 
 
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.passages(table(spark, sf_dir, "documents"))
 
@@ -48,8 +52,8 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_byte_bpe, op4_media_columns, op5_nearest_neighbours, op6_language_id, op7_line_dedup, op8_warc, op9_best_fit_packing, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_tool_calls, op2_substring_dedup, op3_byte_bpe, op4_media_columns, op5_nearest_neighbours, op6_language_id, op7_line_dedup, op8_warc, op9_best_fit_packing, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": linededup.ORACLE, "op8_warc": warc.ORACLE}
+    return {"op1_tool_calls": chat.ORACLE, "op7_line_dedup": linededup.ORACLE, "op8_warc": warc.ORACLE}
