@@ -34,13 +34,18 @@ from ledgerloom.llm.common import materialize
 CAPACITY = 4096
 END_ID = 1
 SALTS = 64
-MAX_CACHED_WORDS = 400_000
+MAX_CACHED_WORDS = 700_000
 # Code points that Python's split takes for white space and the tokenizer does not; such texts are encoded whole.
 SPLIT_DIFFERS = "\x1c\x1d\x1e\x1f"
 
 
 class _Words(dict):
-    """Word -> its ids as little-endian bytes. The tokenizer drops white space and never joins across it."""
+    """Word -> its ids as little-endian bytes. The tokenizer drops white space and never joins across it.
+
+    Nor does it join a letter with the point or comma after it, and it lowers
+    case: a new word is looked up by its lowered stem first, so that only stems
+    not met before are encoded, together.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -48,10 +53,19 @@ class _Words(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.stems: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    @staticmethod
+    def split(word: str) -> tuple[str, str]:
+        """(stem, point or comma); letters below U+0250 have plain lower case and no composition."""
+        if not word.isascii() and (max(word) >= "\u0250" or "\u0130" in word):
+            return word, ""
+        word = word.lower()
+        return (word[:-1], word[-1]) if word[-1] in ".," and len(word) > 1 and word[-2].isalpha() else (word, "")
+
     def text(self, text: str) -> bytes:
         """Words not met before are encoded together."""
         if any(c in text for c in SPLIT_DIFFERS):
@@ -62,8 +76,16 @@ class _Words(dict):
             if len(self) + len(new) > MAX_CACHED_WORDS:
                 self.clear()
                 new = list(set(words))
-            for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self[word] = np.array(got.ids, "<u4").tobytes()
+            parts = list(map(self.split, new))
+            stems = self.stems
+            unknown = [s for s in {x for p in parts for x in p if x} if s not in stems]
+            if len(stems) + len(unknown) > MAX_CACHED_WORDS:
+                stems.clear()
+                unknown = list({x for p in parts for x in p if x})
+            for stem, got in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False)):
+                stems[stem] = np.array(got.ids, "<u4").tobytes()
+            for word, (stem, end) in zip(new, parts):
+                self[word] = stems[stem] + stems[end] if end else stems[stem]
         return b"".join(map(self.__getitem__, words))
 
 
