@@ -1 +1 @@
-"""See the package README."""
+"""Scalar functions as Column expressions, and the JSON merge."""

@@ -1 +1 @@
-"""See the package README."""
+"""Structured Streaming forms of the ledger: projection, bounded deduplication, staged rebuilds."""
