@@ -141,6 +141,47 @@ def shingle_hashes(words: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.
     return mix64(out), begins
 
 
+BLOOM_BITS = 1 << 26  # at most 8 MB, whatever the number of ids; past its use it lets everything through
+BLOOM_HASHES = 4
+
+
+def _bloom_places(ids: np.ndarray, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.concatenate([mix64(ids.astype(np.int64).view(np.uint64) + np.uint64(i + 1) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(bits) for i in range(BLOOM_HASHES)])
+
+
+def among(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose (bigint, non-null) column may be one of ``ids`` (one column), by a Bloom filter of bounded size.
+
+    A reduction before a join, not a semi-join: a few other rows stay.
+    """
+    bits = 1 << 16
+    n = ids.count()
+    while bits < BLOOM_BITS and bits < 12 * n:
+        bits <<= 1
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits // 64, np.uint64)
+        for batch in batches:
+            at = _bloom_places(batch.column(0).to_numpy(zero_copy_only=False), bits)
+            np.bitwise_or.at(own, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        some = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(own[some].view(np.int64))], names=["word", "mask"])
+
+    found = ids.mapInArrow(build, "word int, mask bigint").groupBy("word").agg(F.expr("bit_or(mask)").alias("mask")).toPandas()  # at most bits / 64 rows
+    table_ = np.zeros(bits // 64, np.uint64)
+    table_[found["word"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).view(np.uint64)
+    shared = rows.sparkSession.sparkContext.broadcast(table_)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _bloom_places(batch.column(column).to_numpy(zero_copy_only=False), bits)
+            hit = (shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+            yield batch.filter(pa.array(hit.reshape(BLOOM_HASHES, -1).all(0)))
+
+    return rows.mapInArrow(keep, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Nodes of an undirected edge list (a, b) with the least node each reaches: (node, component).
 
