@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import langid, linededup, minhash, packing, substring
-from ledgerloom.llm.common import run_dir
+from ledgerloom.llm.common import fresh, run_dir
 from ledgerloom.session import ship_package
 
 #: Least posterior probability of a language for a document to stay.
@@ -27,7 +27,8 @@ LEAST_SCORE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: no letters, or no language with most of the probability."""
     model = langid.fit(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    named = langid.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    lang, score = fresh("lang_pred", docs), fresh("score", docs)
+    named = langid.predict(docs, model, lang, score).where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE))
     return named.select(docs.columns)
 
 

@@ -41,7 +41,7 @@ SMOOTHING = 0.05
 LONG_WORD = 32
 SCALE = 1000.0
 HASH = 0x9E3779B97F4A7C15
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 MARK = "▁"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -231,9 +231,9 @@ def fit(docs: DataFrame, path: str, train_docs: int = TRAIN_DOCS, rounds: int =
     return LanguageModel(languages, path, probs)
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """Every input column but lang_pred and score, and these two: the language of most posterior mass, and that mass."""
-    kept = docs.drop("lang_pred", "score")
+def predict(docs: DataFrame, model: LanguageModel, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """The input's columns and two more, which replace any of these names: the language of most posterior mass, and that mass."""
+    kept = docs.drop(lang, score)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # pieces x languages numbers, whatever the size of the corpus
 
@@ -256,10 +256,11 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                         weight = np.exp(total - total.max())
                         best = int(np.argmax(total))
                         names[i], scores[i] = model.languages[best], float(weight[best] / weight.sum())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, lang, score])
+        pa.default_memory_pool().release_unused()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return kept.mapInArrow(run, f"{fields}, `{lang}` string, `{score}` double")
 
 
 def identify(docs: DataFrame, path: str) -> DataFrame:

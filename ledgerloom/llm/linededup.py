@@ -23,6 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import fresh
+
 MIN_SITES = 10
 COPY_SHARE = 0.5
 LG_K = 12
@@ -67,16 +69,18 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K)
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, copy_share: float = COPY_SHARE) -> DataFrame:
     """The documents without cross-site boilerplate lines, and two more columns: n_lines and n_removed."""
     docs = docs.drop("n_lines", "n_removed")
-    keys = F.transform(F.split("text", "\n"), lambda l: F.when(F.trim(l, F.lit(" \t\r")) != "", _key(l)))
-    # Lines of each distinct text; a text's key finds it again, so no row needs an id of its own.
-    texts = F.xxhash64("text").alias("text_key")
-    wanted = docs.where(F.col("text").isNotNull()).select(texts, keys.alias("keys")).select("text_key", F.explode(F.array_distinct("keys")).alias("line")).where(F.col("line").isNotNull())
-    hits = wanted.join(spread_lines(docs, min_sites), "line").groupBy("text_key").agg(F.collect_set("line").alias("bad"))
-    trimmed = lambda l: F.length(F.trim(l, F.lit(" \t\r")))
-    total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, l: s + trimmed(l))
-    marked = docs.withColumn("text_key", F.xxhash64("text")).join(hits, "text_key", "left").drop("text_key")
+    text_key, bad, kept = (fresh(n, docs) for n in ("text_key", "bad", "kept"))
+    trimmed = lambda l: F.trim(l, F.lit(" \t\r"))
+    chars = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, l: s + F.length(trimmed(l)))
     lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda l: ~F.array_contains("bad", _key(l)) | (F.trim(l, F.lit(" \t\r")) == ""))
-    some = marked.withColumn("kept", F.when(F.col("bad").isNotNull(), kept))
-    cut = F.col("kept").isNotNull() & (total(lines) - total(F.col("kept")) <= copy_share * total(lines))
-    return some.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("bigint")).withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("n_lines"))).withColumn("n_removed", F.when(cut, F.col("n_lines") - F.size("kept")).otherwise(0).cast("bigint")).withColumn("text", F.when(F.col("n_removed") > 0, F.array_join("kept", "\n")).otherwise(F.col("text"))).drop("kept", "bad")
+    # Lines of each text; a text's hash finds it again, so no row needs an id of its own.
+    keys = F.array_distinct(F.filter(F.transform(lines, lambda l: F.when(trimmed(l) != "", _key(l))), lambda k: k.isNotNull()))
+    wanted = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias(text_key), F.explode(keys).alias("line"))
+    hits = wanted.join(spread_lines(docs, min_sites), "line").groupBy(text_key).agg(F.collect_set("line").alias(bad))
+    marked = docs.withColumn(text_key, F.xxhash64("text")).join(hits, text_key, "left").drop(text_key)
+    rest = F.filter(lines, lambda l: ~F.array_contains(bad, _key(l)) | (trimmed(l) == ""))
+    some = marked.withColumn(kept, F.when(F.col(bad).isNotNull() & F.col("text").isNotNull(), rest))
+    cut = F.col(kept).isNotNull() & (chars(lines) - chars(F.col(kept)) <= copy_share * chars(lines))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint")
+    counted = some.withColumn("n_lines", n_lines).withColumn("n_removed", F.when(cut, F.col("n_lines") - F.size(kept)).otherwise(0).cast("bigint"))
+    return counted.withColumn("text", F.when(F.col("n_removed") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))).drop(kept, bad)

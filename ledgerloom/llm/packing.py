@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import materialize
+from ledgerloom.llm.common import fresh, materialize
 
 CAPACITY = 4096
 END_ID = 1
 SALTS = 64
-MAX_CACHED_WORDS = 700_000
+MAX_CACHED_WORDS = 500_000
 # Code points that Python's split takes for white space and the tokenizer does not; such texts are encoded whole.
 SPLIT_DIFFERS = "\x1c\x1d\x1e\x1f"
 
@@ -66,6 +66,11 @@ class _Words(dict):
         word = word.lower()
         return (word[:-1], word[-1]) if word[-1] in ".," and len(word) > 1 and word[-2].isalpha() else (word, "")
 
+    def forget(self) -> None:
+        self.clear()
+        self.stems.clear()
+        pa.default_memory_pool().release_unused()
+
     def text(self, text: str) -> bytes:
         """Words not met before are encoded together."""
         if any(c in text for c in SPLIT_DIFFERS):
@@ -115,6 +120,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
             columns = list(zip(*rows)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=names)
+        _words(path).forget()  # the worker lives on for other stages' tasks
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
@@ -234,21 +240,23 @@ class Slots:
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The pieces with sequence_id and offset: sequences of at most ``capacity``, gapless from 0."""
     spark = pieces.sparkSession
-    salted = materialize(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")))
-    counts = salted.groupBy("length", "salt").count().collect()  # at most capacity x SALTS rows
+    pieces = pieces.drop("sequence_id", "offset")
+    salt, rn = fresh("salt", pieces), fresh("rn", pieces)
+    salted = materialize(pieces.withColumn(salt, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")))
+    counts = salted.groupBy("length", salt).count().collect()  # at most capacity x SALTS rows
     histogram: dict[int, int] = {}
     before: dict[tuple[int, int], int] = {}
-    for length, salt, n in sorted((r["length"], r["salt"], r["count"]) for r in counts):
-        before[length, salt] = histogram.get(length, 0)
-        histogram[length] = before[length, salt] + n
+    for length, s, n in sorted((r["length"], r[salt], r["count"]) for r in counts):
+        before[length, s] = histogram.get(length, 0)
+        histogram[length] = before[length, s] + n
     shared = spark.sparkContext.broadcast((Slots(plan(histogram, capacity)), before))
-    ranked = salted.withColumn("rn", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")))
+    ranked = salted.withColumn(rn, F.row_number().over(Window.partitionBy("length", salt).orderBy("doc_id", "piece", "ids_crc32")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, before = shared.value
         for batch in batches:
-            places = [slots.place(n, before[n, s] + r - 1) for n, s, r in zip(batch.column("length").to_pylist(), batch.column("salt").to_pylist(), batch.column("rn").to_pylist())]
-            kept = [i for i, name in enumerate(batch.schema.names) if name not in ("salt", "rn")]
+            places = [slots.place(n, before[n, s] + r - 1) for n, s, r in zip(batch.column("length").to_pylist(), batch.column(salt).to_pylist(), batch.column(rn).to_pylist())]
+            kept = [i for i, name in enumerate(batch.schema.names) if name not in (salt, rn)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array([p[0] for p in places], pa.int64()), pa.array([p[1] for p in places], pa.int64())], names=[*(batch.schema.names[i] for i in kept), "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
