@@ -11,9 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
+#: Bytes of rows in one Arrow batch, on the JVM's side and in each Python worker, unless the session sets its own.
+ARROW_BYTES = "4m"
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def ship_package(spark: SparkSession) -> SparkSession:
     """Send this package to the executors once per application, through Spark's own file server."""
+    if spark.conf.get(_BATCH_CONF, None) is None:
+        spark.conf.set(_BATCH_CONF, ARROW_BYTES)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         top = os.path.dirname(os.path.abspath(__file__))
