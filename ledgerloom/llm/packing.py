@@ -26,29 +26,32 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import fresh, materialize
+from ledgerloom.llm.common import fresh, materialize, text_slices
 
 CAPACITY = 4096
 END_ID = 1
 SALTS = 64
-MAX_CACHED_WORDS = 500_000
+MAX_CACHED_STEMS = 1_000_000
+STEMS_TOGETHER = 20_000
 # Code points that Python's split takes for white space and the tokenizer does not; such texts are encoded whole.
 SPLIT_DIFFERS = "\x1c\x1d\x1e\x1f"
+# Words of letters below U+0250, without U+0130: lower case changes them letter by letter, and nothing in them is composed.
+PLAIN = r"^[\x{0}-\x{12F}\x{131}-\x{24F}]*$"
 
 
-class _Words(dict):
-    """Word -> its ids as little-endian bytes. The tokenizer drops white space and never joins across it.
+class _Words:
+    """Words to their ids as little-endian bytes. The tokenizer drops white space and never joins across it.
 
     Nor does it join a letter with the point or comma after it, and it lowers
-    case: a new word is looked up by its lowered stem first, so that only stems
-    not met before are encoded, together.
+    case: words are looked up by their lowered stems, so that only stems not met
+    before are encoded, together for all texts of a slice.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -58,40 +61,50 @@ class _Words(dict):
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    @staticmethod
-    def split(word: str) -> tuple[str, str]:
-        """(stem, point or comma); letters below U+0250 have plain lower case and no composition."""
-        if not word.isascii() and (max(word) >= "\u0250" or "\u0130" in word):
-            return word, ""
-        word = word.lower()
-        return (word[:-1], word[-1]) if word[-1] in ".," and len(word) > 1 and word[-2].isalpha() else (word, "")
-
     def forget(self) -> None:
-        self.clear()
-        self.stems.clear()
+        self.stems = {}
         pa.default_memory_pool().release_unused()
 
-    def text(self, text: str) -> bytes:
-        """Words not met before are encoded together."""
-        if any(c in text for c in SPLIT_DIFFERS):
-            return self.whole(text)
-        words = text.split()
-        new = [w for w in set(words) if w not in self]
-        if new:
-            if len(self) + len(new) > MAX_CACHED_WORDS:
-                self.clear()
-                new = list(set(words))
-            parts = list(map(self.split, new))
-            stems = self.stems
-            unknown = [s for s in {x for p in parts for x in p if x} if s not in stems]
-            if len(stems) + len(unknown) > MAX_CACHED_WORDS:
-                stems.clear()
-                unknown = list({x for p in parts for x in p if x})
-            for stem, got in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False)):
-                stems[stem] = np.array(got.ids, "<u4").tobytes()
-            for word, (stem, end) in zip(new, parts):
-                self[word] = stems[stem] + stems[end] if end else stems[stem]
-        return b"".join(map(self.__getitem__, words))
+    def learn(self, stems: list[str]) -> None:
+        """Encode the stems as one text with spaces between them; the offsets say where each one's ids begin."""
+        got = self.tokenizer.encode(" ".join(stems), add_special_tokens=False)
+        ids = np.array(got.ids, "<u4")
+        starts = np.cumsum([0, *(len(x) + 1 for x in stems)])
+        cuts = np.searchsorted(np.fromiter((a for a, _ in got.offsets), np.int64, len(ids)), starts).tolist()
+        data = ids.tobytes()
+        for stem, a, b in zip(stems, cuts, cuts[1:]):
+            self.stems[stem] = data[4 * a : 4 * b]
+
+    def ids(self, words: pa.Array) -> list[bytes]:
+        """The ids of each of the words, which are distinct."""
+        plain = pc.match_substring_regex(words, PLAIN)
+        lower = pc.if_else(plain, pc.utf8_lower(words), words)
+        cut = pc.and_(plain, pc.match_substring_regex(lower, r"\p{L}[.,]$"))
+        split = pc.dictionary_encode(pc.if_else(cut, pc.utf8_slice_codeunits(lower, 0, -1), lower))
+        needed = split.dictionary.to_numpy(zero_copy_only=False).tolist()
+        unknown = [x for x in (*needed, ".", ",") if x not in self.stems]
+        if len(self.stems) + len(unknown) > MAX_CACHED_STEMS:
+            self.stems = {}
+            unknown = [*needed, ".", ","]
+        for at in range(0, len(unknown), STEMS_TOGETHER):
+            self.learn(unknown[at : at + STEMS_TOGETHER])
+        own = list(map(self.stems.__getitem__, needed))
+        ends = pc.if_else(cut, pc.if_else(pc.ends_with(lower, "."), 1, 2), 0)
+        tails = [b"", self.stems["."], self.stems[","]]
+        return [own[k] + tails[end] for k, end in zip(split.indices.to_numpy().tolist(), ends.to_numpy().tolist())]
+
+    def texts(self, column: pa.Array) -> Iterator[bytes]:
+        """The ids of every text (null: none)."""
+        column = column.fill_null("")
+        lists = pc.utf8_split_whitespace(column)
+        words = pc.dictionary_encode(lists.flatten())
+        table = self.ids(words.dictionary)
+        codes = words.indices.to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(column, f"[{SPLIT_DIFFERS}]").to_pylist()
+        stop = 0
+        for i, n in enumerate(pc.list_value_length(lists).to_pylist()):
+            start, stop = stop, stop + n
+            yield self.whole(column[i].as_py()) if odd[i] else b"".join(map(table.__getitem__, codes[start:stop].tolist()))
 
 
 @lru_cache(maxsize=2)
@@ -102,7 +115,7 @@ def _words(path: str) -> _Words:
 
 def encode_words(text: str, path: str) -> bytes:
     """Ids of the text as little-endian unsigned 32-bit values."""
-    return _words(path).text(text)
+    return next(_words(path).texts(pa.array([text], pa.string())))
 
 
 def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -111,10 +124,10 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
+        for batch in text_slices(batches, "text"):
             rows = []
-            for doc_id, value in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                data = encode_words(value.as_py() or "", path) + end
+            for doc_id, data in zip(batch.column("doc_id").to_pylist(), _words(path).texts(batch.column("text"))):
+                data += end
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
