@@ -217,16 +217,22 @@ def _whole_tokens(bytes_of: dict[int, bytes], size: int, run) -> np.ndarray:
 
 
 class _Pieces(dict):
-    """Pre-token -> its ids as little-endian bytes, filled through the transducer, emptied when full."""
+    """Pre-token -> its ids as little-endian bytes, filled through the transducer.
+
+    When full, its pieces become the older half and those used again come back.
+    """
 
     def __init__(self, transducer: Transducer):
         super().__init__()
-        self._transducer = transducer
+        self._transducer, self._older = transducer, {}
 
     def __missing__(self, piece: str) -> bytes:
-        out = np.array(self._transducer.encode(piece.encode("utf-8")), "<u4").tobytes()
+        out = self._older.get(piece)
+        if out is None:
+            out = np.array(self._transducer.encode(piece.encode("utf-8")), "<u4").tobytes()
         if len(piece) <= 64:
             if len(self) >= MAX_CACHED_PIECES:
+                self._older = dict(self)
                 self.clear()
             self[piece] = out
         return out
