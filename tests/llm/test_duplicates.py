@@ -149,6 +149,17 @@ def test_passages(spark):
         assert a < b and e - s >= 50 and j >= 0.8 and len(p & q) / len(p | q) >= 0.75
 
 
+@pytest.mark.parametrize("n", [10, 40, 200])
+def test_passages_of_near_copies(spark, n):
+    rng = random.Random(n)
+    passage = text(rng, 60).split()
+    texts = [" ".join([text(rng, rng.randint(0, 40)), *(w if rng.random() > 0.03 else rng.choice(WORDS) for w in passage), text(rng, rng.randint(0, 40))]) for _ in range(n)]
+    tokens = [shingle_hashes(*word_hashes(pa.array([t]))[:2], 5)[0] for t in texts]
+    wanted = {b for b in range(n) if any(substring.align(tokens[a], tokens[b], np.zeros(0, np.int64)) for a in range(b))}
+    covered = {b for b, *_ in spans(spark, texts)}
+    assert len(wanted) >= n // 5 and len(wanted & covered) >= 0.95 * len(wanted) and not covered - wanted
+
+
 def test_remove_passages(spark):
     rng = random.Random(5)
     passage = "\n".join(text(rng, 20) for _ in range(3))
