@@ -55,6 +55,13 @@ def test_forward_is_the_sum_over_segmentations():
             assert row[k] == pytest.approx(want, rel=1e-9) and langid.log_marginal(word, pieces, longest, probs)[k] == pytest.approx(want, rel=1e-9)
 
 
+def test_expected_counts_cover_a_whole_long_word():
+    pieces, longest = langid.vocabulary(PIECES)
+    counts = langid.expected_counts("a" * 600 + "z" * 300, pieces, longest, np.full(len(pieces), 1 / len(pieces)))
+    spelled = {i: p for p, i in pieces.items() if isinstance(p, str)}
+    assert sum(n * spelled[i].count("z") for i, n in counts.items()) == pytest.approx(300)
+
+
 def test_expected_counts_add_up():
     pieces, longest = langid.vocabulary(PIECES)
     prob = np.full(len(pieces), 1 / len(pieces))
