@@ -10,13 +10,12 @@ to say and stops early.
 
 Equal word sequences form a class first, so copies are never compared. Classes
 with a band of registers in common are candidates. Groups of up to ``SMALL``
-classes compare all pairs. A larger group compares every class with two centres,
-the classes that have most company over all bands; that links a text and its near
-copies in as many comparisons as there are copies. A group that still holds a
-component no centre belongs to is cut finer, by each further band its members
-share, and its parts are treated the same: a pair that shares two bands (all but
-one in 2,500 at the threshold) meets again in a part, and parts of dissimilar
-classes shrink fast, so no group is compared pair by pair. Candidates whose
+classes compare all pairs. A larger group first compares every class with two
+centres, the classes that have most company over all bands; that links a text and
+its near copies in as many comparisons as there are copies. While a group holds
+more than one component its classes meet further members of it, block by block,
+until one component is left or every two classes of different components have
+met: no pair that shares a band is left out. Candidates whose
 signatures leave a chance are verified on their whole texts by the exact
 probability Jaccard, 0.8 or more, and linked components become clusters.
 
@@ -42,6 +41,7 @@ BANDS, BAND_ROWS = 24, 5
 SLACK = 0.15  # an estimate from 120 registers is that much too low for one pair in some 30,000 at the threshold
 SMALL = 8
 CENTRES = 2
+BLOCK = 8  # members of a group that its classes meet at first after the centres; four times as many each further turn
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -177,34 +177,39 @@ def clusters(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     least = signed.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("class"), F.min_by(F.struct("bands", "signature"), "doc_id").alias("s")).select("key", "class", "s.bands", "s.signature")
     least = materialize(least)
     texts = named.select(F.col("doc_id").alias("class"), F.lower("text").alias("text"))  # a class is named by its least document
-    rows = least.select("class", F.posexplode("bands").alias("last", "hash")).select(F.xxhash64("last", "hash").alias("bucket"), "class", "last", F.lit(True).alias("open"), F.col("class").alias("component"))
-    company, tried, links, component = None, None, None, None
+    rows = least.select("class", F.posexplode("bands").alias("last", "hash")).select(F.xxhash64("last", "hash").alias("bucket"), "class")
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(rows.join(sizes, "bucket"))
+    company = materialize(members.groupBy("class").agg(F.sum("n").alias("company")))
+    small = members.where(F.col("n") <= SMALL)
+    pairs = small.alias("x").join(small.alias("y"), "bucket").where("x.class < y.class").select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
+    large = members.where(F.col("n") > SMALL).join(company, "class").select("bucket", "class", "company", "n")
+    centres = _top(large, CENTRES)
+    spokes = large.select("bucket", "class").join(centres.select("bucket", F.col("class").alias("centre")), "bucket").where("class <> centre").select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b"))
+    new = materialize(pairs.union(spokes).distinct())
+    tried = new
+    links = _verify(materialize(_likely(new, least, similarity)), texts, similarity)
+    links = materialize(links)
+    component = materialize(connected_components(links))
+    # A class's turn in its bucket, from 0 to n, by its hash: no bucket is sorted or numbered in one task.
+    going = large.select("bucket", "class", "n", (F.pmod(F.xxhash64("class"), F.lit(1 << 30)) * F.col("n") / F.lit(1 << 30)).alias("turn"))
+    done, block = 0, BLOCK
     while True:
-        sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.max("open").alias("some")).where("n > 1 AND some").select("bucket", "n")
-        members = materialize(rows.join(sizes, "bucket"))
-        if company is None:
-            company = materialize(members.groupBy("class").agg(F.sum("n").alias("company")))
-        small = members.where(F.col("n") <= SMALL)
-        pairs = small.alias("x").join(small.alias("y"), "bucket").where("x.class < y.class AND x.component <> y.component AND (x.open OR y.open)").select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
-        large = members.where(F.col("n") > SMALL).join(company, "class").select("bucket", "class", "last", "open", "component", "company")
-        centres = materialize(_top(large.where("open"), CENTRES))
-        spokes = large.select("bucket", "class", "component").join(centres.select("bucket", F.col("class").alias("centre"), F.col("component").alias("of")), "bucket").where("component <> of").select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b"))
-        new = pairs.union(spokes).distinct()
-        new = materialize(new if tried is None else new.join(tried, ["a", "b"], "left_anti"))
-        found = _verify(materialize(_likely(new, least, similarity)), texts, similarity)
-        links = materialize(found if links is None else links.union(found))
-        tried = new if tried is None else materialize(tried.union(new))
-        component = materialize(connected_components(links))
-        # A component of which no centre has been compared with the group is open; a group with one goes on, cut finer.
-        label = component.withColumnRenamed("node", "class").withColumnRenamed("component", "now")
-        named_large = large.select("bucket", "class", "last", "open").join(label, "class", "left").select("bucket", "class", "last", "open", F.coalesce("now", "class").alias("component"))
-        done = named_large.join(centres.select("bucket", "class"), ["bucket", "class"], "left_semi").select("bucket", "component").distinct().withColumn("done", F.lit(True))
-        state = materialize(named_large.join(done, ["bucket", "component"], "left").select("bucket", "class", "last", (F.col("open") & F.col("done").isNull()).alias("open"), "component"))
-        going = materialize(state.join(state.where("open").select("bucket").distinct(), "bucket", "left_semi"))
-        if going.isEmpty():
+        label = component.withColumnRenamed("node", "class")
+        state = going.where(F.col("n") > done).select("bucket", "class", "n", "turn").join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
+        mixed = state.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+        state = materialize(state.join(mixed, "bucket"))
+        if state.isEmpty():
             break
-        finer = going.join(least.select("class", "bands"), "class").select("bucket", "class", "last", "open", "component", F.posexplode("bands").alias("next", "hash")).where("next > last")
-        rows = finer.select(F.xxhash64("bucket", "next", "hash").alias("bucket"), "class", F.col("next").alias("last"), "open", "component")
+        going = state.select("bucket", "class", "n", "turn")
+        now = state.where((F.col("turn") >= done) & (F.col("turn") < done + block)).alias("x")
+        met = now.join(state.alias("y"), "bucket").where("x.component <> y.component AND (x.turn < y.turn OR (x.turn = y.turn AND x.class < y.class))")
+        new = met.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+        new = materialize(new.join(tried, ["a", "b"], "left_anti"))
+        found = materialize(_verify(materialize(_likely(new, least, similarity)), texts, similarity))
+        tried, links = tried.union(new), links.union(found)
+        component = materialize(connected_components(links))
+        done, block = done + block, block * 4
     of = component.select(F.col("node").alias("class"), F.col("component").alias("cluster"))
     classes = least.select("key", "class").join(of, "class", "left").select("key", "class", F.coalesce("cluster", "class").alias("cluster"))
     return signed.select("doc_id", "key").join(classes, "key", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce("cluster", "doc_id").alias("cluster_id"))
@@ -215,7 +220,7 @@ def _top(rows: DataFrame, count: int) -> DataFrame:
     share = rows.withColumn("share", F.pmod(F.xxhash64("class"), F.lit(64)))
     order = [F.desc("company"), F.col("class")]
     first = share.withColumn("r", F.row_number().over(Window.partitionBy("bucket", "share").orderBy(*order))).where(F.col("r") <= count)
-    return first.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).where(F.col("r") <= count).select("bucket", "class", "component")
+    return first.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).where(F.col("r") <= count).select("bucket", "class")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -66,6 +66,24 @@ def test_clusters_are_brute_force(spark):
     assert kept == {i for i, c in enumerate(components(texts)) if i == c}
 
 
+def test_pairs_of_a_large_group_that_share_a_band_are_linked(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL", 2)  # so that groups of this size are large ones
+    monkeypatch.setattr(minhash, "CENTRES", 1)
+    rng = random.Random(11)
+    base = text(rng, 200)
+    texts = []
+    for _ in range(200):
+        texts.append(edited(rng, base, 7))
+        texts.append(edited(rng, texts[-1], 4))
+    df = frame(spark, texts)
+    bands = {r["doc_id"]: set(enumerate(r["bands"])) for r in minhash._classes(df.select("doc_id", "text"), minhash.BANDS * minhash.BAND_ROWS).collect()}
+    h, c, at = minhash.weighted_shingles(pa.array(texts))
+    bags = [(h[at[i] : at[i + 1]], c[at[i] : at[i + 1]]) for i in range(len(texts))]
+    alike = [(i, j) for j in range(len(texts)) for i in range(j) if bands[i] & bands[j] and minhash.probability_jaccard(bags[i], bags[j]) >= 0.8]
+    cluster = {r["doc_id"]: r["cluster_id"] for r in minhash.clusters(df).collect()}
+    assert len(alike) >= 50 and not [p for p in alike if cluster[p[0]] != cluster[p[1]]]
+
+
 def test_near_dedup_of_odd_tables(spark):
     assert minhash.clusters(frame(spark, [])).count() == 0 and minhash.keep_one(frame(spark, [])).count() == 0
     df = spark.createDataFrame([(None, "a b c d e f", 1), (None, "a b c d e f", 2), (3, None, 3)], "doc_id bigint, text string, cluster_id int")
