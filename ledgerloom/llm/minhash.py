@@ -9,19 +9,25 @@ and one whose next arrival is later than all registers' first ones has no more
 to say and stops early.
 
 Equal word sequences form a class first, so copies are never compared. Classes
-with a band of registers in common are candidates. Groups of up to ``SMALL``
-classes compare all pairs. A larger group first compares every class with two
-centres, the classes that have most company over all bands; that links a text and
-its near copies in as many comparisons as there are copies. While a group holds
-more than one component its classes meet further members of it, block by block,
-until one component is left or every two classes of different components have
-met: no pair that shares a band is left out. Candidates whose
+with a band of registers in common are candidates. In a bucket of up to ``SMALL``
+classes all pairs are candidates. In a larger one every class first meets the
+bucket's hub, the class that has most company over all bands: that links a text
+and its near copies in as many comparisons as there are copies. Candidates whose
 signatures leave a chance are verified on their whole texts by the exact
-probability Jaccard, 0.8 or more, and linked components become clusters.
+probability Jaccard, 0.8 or more.
+
+Where a large bucket then still holds several components, its classes outside the
+largest of them meet all its classes of other components, in blocks of bounded size: a task
+takes two blocks of texts, finds all similarities between them by a product of
+matrices, and returns a spanning forest of the links it found, so rows do not grow
+with the square of a group. No pair that shares a band is left out. Linked
+components become clusters.
 
 Rows: null, empty and blank texts have no shingles and stand alone; a text of
-fewer than five words is one shingle. ``doc_id`` must be unique and not null to
-name a cluster; rows without one stand alone. Ties go to the smaller id.
+fewer than five words is one shingle. Rows without ``doc_id`` are not in the
+result of ``clusters`` and stay in ``keep_one``. A ``doc_id`` that stands on several texts gives
+a row for each of its rows, and ``keep_one`` tells them apart by their texts. Ties go to the
+smaller id. Extra columns are ignored by ``clusters`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -30,18 +36,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import among, connected_components, materialize, mix64, shingle_hashes, text_slices, word_hashes
+from ledgerloom.llm.common import among, connected_components, fresh, materialize, mix64, shingle_hashes, text_slices, word_hashes
 
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 24, 5
 SLACK = 0.15  # an estimate from 120 registers is that much too low for one pair in some 30,000 at the threshold
-SMALL = 8
-CENTRES = 2
-BLOCK = 8  # members of a group that its classes meet at first after the centres; four times as many each further turn
+SMALL = 8  # up to here all pairs of a bucket are verified one by one; both ways give the same links
+BLOCK = 40_000  # words of a block of texts, a text counting as ``TEXT`` words more
+TEXT = 150
+COLUMNS = 8192  # shingles in one product of matrices
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -106,8 +114,13 @@ def probability_jaccard(x: dict[int, int] | tuple[np.ndarray, np.ndarray], y: tu
     return float(total)
 
 
+def _node(text: str = "text") -> Column:
+    """Names a row by its id and text."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col(text))
+
+
 def _classes(docs: DataFrame, registers: int) -> DataFrame:
-    """doc_id, key (of the word sequence, null without words), bands: a hash for every band."""
+    """doc_id, node, key (of the word sequence, null without words), n_words, bands (a hash for every band), signature."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
             column = batch.column("text")
@@ -127,9 +140,11 @@ def _classes(docs: DataFrame, registers: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1, dtype=np.int32) * BANDS), flat)
             short = np.ascontiguousarray((signature & np.uint64(0xFFFF)).astype(np.uint16))
             signatures = pa.array([row.tobytes() for row in short], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys.view(np.int64), mask=~some), lists, signatures], names=["doc_id", "key", "bands", "signature"])
+            arrays = [batch.column("doc_id"), batch.column("node"), pa.array(keys.view(np.int64), mask=~some), pa.array(np.diff(rows)), lists, signatures]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "node", "key", "n_words", "bands", "signature"])
 
-    return docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(run, "doc_id bigint, key bigint, bands array<bigint>, signature binary")
+    named = docs.select(F.col("doc_id").cast("bigint"), _node().alias("node"), F.lower("text").alias("text"))
+    return named.mapInArrow(run, "doc_id bigint, node bigint, key bigint, n_words bigint, bands array<bigint>, signature binary")
 
 
 def _likely(pairs: DataFrame, least: DataFrame, similarity: float) -> DataFrame:
@@ -139,9 +154,9 @@ def _likely(pairs: DataFrame, least: DataFrame, similarity: float) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
             yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= similarity - SLACK))
 
-    signature = least.select("class", "signature")
-    with_b = pairs.join(signature.withColumnRenamed("signature", "sig_b").withColumnRenamed("class", "b"), "b")
-    both = with_b.join(signature.withColumnRenamed("signature", "sig_a").withColumnRenamed("class", "a"), "a")
+    signature = least.select("node", "signature")
+    with_b = pairs.join(signature.withColumnRenamed("signature", "sig_b").withColumnRenamed("node", "b"), "b")
+    both = with_b.join(signature.withColumnRenamed("signature", "sig_a").withColumnRenamed("node", "a"), "a")
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -163,67 +178,151 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
             good = pa.array([probability_jaccard(memo[a], (h[at[i] : at[i + 1]], c[at[i] : at[i + 1]])) >= similarity for i, a in enumerate(ids)])
             yield batch.select(["a", "b"]).filter(good)
 
-    text = among(texts.select("class", "text"), "class", pairs.select("a").union(pairs.select("b")).distinct())
-    with_b = pairs.join(text.withColumnRenamed("text", "text_b").withColumnRenamed("class", "b"), "b")
-    both = with_b.join(text.withColumnRenamed("text", "text_a").withColumnRenamed("class", "a"), "a")
+    text = among(texts, "node", pairs.select("a").union(pairs.select("b")).distinct())
+    with_b = pairs.join(text.withColumnRenamed("text", "text_b").withColumnRenamed("node", "b"), "b")
+    both = with_b.join(text.withColumnRenamed("text", "text_a").withColumnRenamed("node", "a"), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def clusters(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (least id of equal word sequences), cluster_id (least id of linked classes)."""
-    named = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint"), F.col("text"))
-    signed = _classes(named, BANDS * BAND_ROWS)
-    signed = materialize(signed)
-    least = signed.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("class"), F.min_by(F.struct("bands", "signature"), "doc_id").alias("s")).select("key", "class", "s.bands", "s.signature")
-    least = materialize(least)
-    texts = named.select(F.col("doc_id").alias("class"), F.lower("text").alias("text"))  # a class is named by its least document
-    rows = least.select("class", F.posexplode("bands").alias("last", "hash")).select(F.xxhash64("last", "hash").alias("bucket"), "class")
+def alike(x: tuple, y: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """(an upper bound of the probability Jaccard of every x with every y, whether it is the value itself).
+
+    Each side is (shingles, counts, first of each row plus the end). With r = x_d / y_d the value is at
+    most the sum of max(x_d, y_d) over shared d by the sum of max(x_d, y_d) over all d; both
+    follow from sums over shared shingles, which are products of matrices. Where all counts are 1 the bound is the value.
+    """
+    (hx, cx, bx), (hy, cy, by) = x, y
+    n, m = len(bx) - 1, len(by) - 1
+    shared = np.intersect1d(np.unique(hx), np.unique(hy), assume_unique=True)
+    parts = []
+    for h, c, b in ((hx, cx, bx), (hy, cy, by)):
+        at = np.searchsorted(shared, h)
+        kept = (at < len(shared)) & (shared[np.minimum(at, max(len(shared) - 1, 0))] == h) if len(shared) else np.zeros(len(h), bool)
+        row = np.repeat(np.arange(len(b) - 1), np.diff(b))
+        order = np.argsort(at[kept], kind="stable")
+        total = np.add.reduceat(np.append(c, 0), np.minimum(b[:-1], len(c))) * (np.diff(b) > 0)
+        unit = np.maximum.reduceat(np.append(c, 0), np.minimum(b[:-1], len(c))) <= 1
+        parts.append((at[kept][order], row[kept][order], c[kept][order], total.astype(np.float64), unit))
+    both, of_x, of_y = (np.zeros((n, m)) for _ in range(3))
+    for start in range(0, len(shared), COLUMNS):
+        ones, counts = [], []
+        for (at, row, c, _, _), size in zip(parts, (n, m)):
+            s = slice(*np.searchsorted(at, (start, start + COLUMNS)))
+            one, count = np.zeros((size, min(COLUMNS, len(shared) - start)), np.float32), None
+            one[row[s], at[s] - start] = 1
+            if (c[s] > 1).any():
+                count = one.copy()
+                count[row[s], at[s] - start] = c[s]
+            ones.append(one)
+            counts.append(one if count is None else count)
+        product = ones[0] @ ones[1].T
+        both += product
+        of_x += product if counts[0] is ones[0] else counts[0] @ ones[1].T
+        of_y += product if counts[1] is ones[1] else ones[0] @ counts[1].T
+    whole = parts[0][3][:, None] + parts[1][3] - np.minimum(of_x, of_y)
+    return (of_x + of_y - both) / np.maximum(whole, 1), parts[0][4][:, None] & parts[1][4]
+
+
+def _forest(seekers: pa.Table, others: pa.Table, similarity: float) -> list[tuple[int, int]]:
+    """Links between texts of two blocks that join different components, as few as give all the joins."""
+    x, y = (weighted_shingles(t.column("text").combine_chunks()) for t in (seekers, others))
+    bound, exact = alike(x, y)
+    cx, cy = (t.column("component").to_numpy() for t in (seekers, others))
+    i, j = np.nonzero((bound >= similarity) & (cx[:, None] != cy))
+    order = np.argsort(-bound[i, j], kind="stable")
+    nodes = [t.column("node").to_pylist() for t in (seekers, others)]
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = root.get(up, up)
+            c = up
+        return c
+
+    out = []
+    for k, l in zip(i[order].tolist(), j[order].tolist()):
+        a, b = find(int(cx[k])), find(int(cy[l]))
+        if a == b:
+            continue
+        if not exact[k, l]:
+            p, q = ((s[0][s[2][r] : s[2][r + 1]], s[1][s[2][r] : s[2][r + 1]]) for s, r in ((x, k), (y, l)))
+            if probability_jaccard(p, q) < similarity:
+                continue
+        root[max(a, b)] = min(a, b)
+        out.append((nodes[0][k], nodes[1][l]))
+    return out
+
+
+def _meet(large: DataFrame, component: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that join components within the buckets of ``large`` (bucket, node, n_words)."""
+    labelled = large.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = materialize(labelled)
+    parts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum(F.col("n_words") + TEXT).alias("words"))
+    blocks = lambda words: F.ceil(words / F.lit(BLOCK))
+    mixed = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("words").alias("all"), F.max_by("words", F.struct("n", "component")).alias("most")).where("parts > 1")
+    mixed = mixed.select("bucket", "main", blocks(F.col("all")).alias("n_blocks"), blocks(F.col("all") - F.col("most")).alias("q_blocks"))
+    rows = labelled.join(mixed, "bucket").select("bucket", "node", "component", (F.col("component") != F.col("main")).alias("seeks"), "n_blocks", "q_blocks")
+    rows = materialize(rows)
+    rows = rows.join(among(texts, "node", rows.select("node").distinct()), "node")
+    block = lambda n: F.pmod(F.xxhash64("node", F.lit(1)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    fields = ["node", "component", "text"]
+    seekers = rows.where("seeks").select("bucket", block("q_blocks").alias("q"), every("n_blocks").alias("t"), F.lit(True).alias("seeks"), *fields)
+    others = rows.select("bucket", every("q_blocks").alias("q"), block("n_blocks").alias("t"), F.lit(False).alias("seeks"), *fields)
+
+    def compare(group: pa.Table) -> pa.Table:
+        seeks = group.column("seeks")
+        found = _forest(group.filter(seeks), group.filter(pc.invert(seeks)), similarity)
+        return pa.table({n: pa.array([f[k] for f in found], pa.int64()) for k, n in enumerate("ab")})
+
+    return seekers.union(others).groupBy("bucket", "q", "t").applyInArrow(compare, "a bigint, b bigint")
+
+
+def _clustered(docs: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, node, class_id, cluster_id, keeper (the node of the cluster's first row) for the rows with a doc_id."""
+    named = docs.where(F.col("doc_id").isNotNull())
+    signed = materialize(_classes(named, BANDS * BAND_ROWS))
+    first = F.struct("doc_id", "node")
+    worded = signed.where(F.col("key").isNotNull())
+    least = worded.groupBy("key").agg(F.min(first).alias("f"), F.min_by(F.struct("n_words", "bands", "signature"), first).alias("s"))
+    least = materialize(least.select("key", F.col("f.node").alias("node"), F.col("f.doc_id").alias("class"), "s.*"))
+    texts = named.select(_node().alias("node"), F.lower("text").alias("text"))  # a class is named by its least row
+    rows = least.select("node", "n_words", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("bucket"), "node", "n_words")
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(rows.join(sizes, "bucket"))
-    company = materialize(members.groupBy("class").agg(F.sum("n").alias("company")))
+    members = materialize(rows.join(sizes, "bucket").withColumn("company", F.sum("n").over(Window.partitionBy("node"))))  # a node has a row a band
     small = members.where(F.col("n") <= SMALL)
-    pairs = small.alias("x").join(small.alias("y"), "bucket").where("x.class < y.class").select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
-    large = members.where(F.col("n") > SMALL).join(company, "class").select("bucket", "class", "company", "n")
-    centres = _top(large, CENTRES)
-    spokes = large.select("bucket", "class").join(centres.select("bucket", F.col("class").alias("centre")), "bucket").where("class <> centre").select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b"))
-    new = materialize(pairs.union(spokes).distinct())
-    tried = new
-    links = _verify(materialize(_likely(new, least, similarity)), texts, similarity)
-    links = materialize(links)
-    component = materialize(connected_components(links))
-    # A class's turn in its bucket, from 0 to n, by its hash: no bucket is sorted or numbered in one task.
-    going = large.select("bucket", "class", "n", (F.pmod(F.xxhash64("class"), F.lit(1 << 30)) * F.col("n") / F.lit(1 << 30)).alias("turn"))
-    done, block = 0, BLOCK
-    while True:
-        label = component.withColumnRenamed("node", "class")
-        state = going.where(F.col("n") > done).select("bucket", "class", "n", "turn").join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
-        mixed = state.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-        state = materialize(state.join(mixed, "bucket"))
-        if state.isEmpty():
-            break
-        going = state.select("bucket", "class", "n", "turn")
-        now = state.where((F.col("turn") >= done) & (F.col("turn") < done + block)).alias("x")
-        met = now.join(state.alias("y"), "bucket").where("x.component <> y.component AND (x.turn < y.turn OR (x.turn = y.turn AND x.class < y.class))")
-        new = met.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
-        new = materialize(new.join(tried, ["a", "b"], "left_anti"))
-        found = materialize(_verify(materialize(_likely(new, least, similarity)), texts, similarity))
-        tried, links = tried.union(new), links.union(found)
-        component = materialize(connected_components(links))
-        done, block = done + block, block * 4
-    of = component.select(F.col("node").alias("class"), F.col("component").alias("cluster"))
-    classes = least.select("key", "class").join(of, "class", "left").select("key", "class", F.coalesce("cluster", "class").alias("cluster"))
-    return signed.select("doc_id", "key").join(classes, "key", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce("cluster", "doc_id").alias("cluster_id"))
-
-
-def _top(rows: DataFrame, count: int) -> DataFrame:
-    """For every bucket the ``count`` classes of most company: first within shares of it, then among what those give."""
-    share = rows.withColumn("share", F.pmod(F.xxhash64("class"), F.lit(64)))
-    order = [F.desc("company"), F.col("class")]
-    first = share.withColumn("r", F.row_number().over(Window.partitionBy("bucket", "share").orderBy(*order))).where(F.col("r") <= count)
-    return first.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).where(F.col("r") <= count).select("bucket", "class")
+    pairs = small.alias("x").join(small.alias("y"), "bucket").where("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    large = members.where(F.col("n") > SMALL).select("bucket", "node", "n_words", "company")
+    hubs = large.groupBy("bucket").agg(F.max_by("node", F.struct("company", "node")).alias("hub"))
+    spokes = large.join(hubs, "bucket").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    candidates = materialize(pairs.union(spokes).distinct())
+    links = materialize(_verify(materialize(_likely(candidates, least, similarity)), texts, similarity).distinct())
+    component = connected_components(links)
+    more = materialize(_meet(large.select("bucket", "node", "n_words"), component, texts, similarity))
+    if not more.isEmpty():
+        # Components, not classes, meet now: a link of two classes links their components.
+        named_by = lambda c: component.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+        joined = more.join(named_by("a"), "a", "left").join(named_by("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+        over = connected_components(joined).select(F.col("node").alias("component"), F.col("component").alias("top"))
+        alone = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(component, "node", "left_anti").select("node", F.col("node").alias("component"))
+        component = component.union(alone).join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    of = least.select("key", "node", "class").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of = materialize(of)
+    heads = of.groupBy("component").agg(F.min(F.struct("class", "node")).alias("head")).select("component", "head.*")
+    heads = heads.select("component", F.col("class").alias("cluster"), F.col("node").alias("keeper"))
+    classes = of.select("key", "class", "component").join(heads, "component").select("key", "class", "cluster", "keeper")
+    found = worded.select("doc_id", "node", "key").join(classes, "key").select("doc_id", "node", F.col("class").alias("class_id"), F.col("cluster").alias("cluster_id"), "keeper")
+    alone = signed.where(F.col("key").isNull()).select("doc_id", "node", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("cluster_id"), F.col("node").alias("keeper"))
+    return found.union(alone)
+
+
+def clusters(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id (least id of equal word sequences), cluster_id (least id of linked classes)."""
+    return _clustered(docs, similarity).select("doc_id", "class_id", "cluster_id")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents without near-duplicates: of each cluster the one of least id stays, with all its columns."""
-    gone = clusters(docs, similarity).where("doc_id <> cluster_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """The documents without near-duplicates: of each cluster the first row (by id, then text) stays, with all its columns and its exact repeats."""
+    name = fresh("node", docs)
+    gone = _clustered(docs, similarity).where("node <> keeper").select(F.col("node").alias(name)).distinct()
+    return docs.withColumn(name, _node()).join(gone, name, "left_anti").select(docs.columns)

@@ -68,7 +68,7 @@ def test_clusters_are_brute_force(spark):
 
 def test_pairs_of_a_large_group_that_share_a_band_are_linked(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL", 2)  # so that groups of this size are large ones
-    monkeypatch.setattr(minhash, "CENTRES", 1)
+    monkeypatch.setattr(minhash, "BLOCK", 20_000)  # so that they take several blocks
     rng = random.Random(11)
     base = text(rng, 200)
     texts = []
@@ -90,6 +90,30 @@ def test_near_dedup_of_odd_tables(spark):
     assert sorted(r["cluster_id"] for r in minhash.keep_one(df).collect()) == [1, 2, 3]
 
 
+def test_near_dedup_of_repeated_ids(spark):
+    rng = random.Random(12)
+    a, b, c = (text(rng, 80) for _ in range(3))
+    rows = [(1, a, 0), (2, a.upper(), 1), (2, b, 2), (3, c, 3), (3, c, 4), (4, edited(rng, c, 1), 5), (5, edited(rng, b, 1), 6), (None, a, 7)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, node int")
+    assert sorted(r["node"] for r in minhash.keep_one(df).collect()) == [0, 2, 3, 4, 7]
+    got = sorted((r["doc_id"], r["class_id"], r["cluster_id"]) for r in minhash.clusters(df).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (2, 2, 2), (3, 3, 3), (3, 3, 3), (4, 4, 3), (5, 5, 2)]
+
+
+def test_similarities_of_blocks_bound_the_exact_ones(monkeypatch):
+    monkeypatch.setattr(minhash, "COLUMNS", 16)
+    rng = random.Random(13)
+    base = text(rng, 60)
+    sides = [[edited(rng, base, rng.randint(0, 9)) + " ba ba ba ba ba" * rng.choice([0, 0, 1, 2]) for _ in range(20)] + ["", text(rng, 9)] for _ in range(2)]
+    x, y = (minhash.weighted_shingles(pa.array(s)) for s in sides)
+    bound, exact = minhash.alike(x, y)
+    for i, p in enumerate(sides[0]):
+        for j, q in enumerate(sides[1]):
+            true = jaccard(weights(p) or {}, weights(q) or {})
+            assert bound[i, j] >= true - 1e-9 and (not exact[i, j] or bound[i, j] == pytest.approx(true))
+    assert exact.any() and not exact.all()
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_signatures_estimate_probability_jaccard(seed):
     rng = random.Random(seed)
