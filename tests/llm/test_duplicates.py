@@ -214,6 +214,43 @@ def test_remove_passages(spark):
     assert substring.remove_passages(df.limit(0)).count() == 0
 
 
+def test_passages_of_repeated_ids(spark):
+    rng = random.Random(15)
+    p, q = text(rng, 60), text(rng, 60)
+    rows = [(1, p + " end", 0), (1, text(rng, 70) + " " + q, 1), (1, "short", 2), (2, text(rng, 20) + " " + p, 3), (3, q, 4), (3, q, 5), (4, text(rng, 9), 6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, v int")
+    got = {r["v"]: r["text"] for r in substring.remove_passages(df).collect()}
+    assert set(got) == {0, 1, 2, 3, 6} and all(got[k] == rows[k][1] for k in (0, 1, 2, 6)) and got[3].split() == rows[3][1].split()[:20]
+
+
+def test_windows_meet_over_the_borders_of_ranges(spark):
+    rng = random.Random(16)
+    passage = text(rng, 70)
+    texts = [" ".join([text(rng, 20), passage, text(rng, 20)]) for _ in range(60)]
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert {b for b, *_ in spans(spark, texts)} == set(range(1, 60))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+
+
+def test_places_of_very_long_texts():
+    hashes = np.arange(1 << 8, dtype=np.uint64)[::-1].repeat(1 << 17)  # more tokens than 24 bits count
+    l, c, r = substring.compact_windows(hashes << np.uint64(40), np.array([0, len(hashes)]), len(hashes) - 5)
+    assert l[0] == 0 and r[0] == len(hashes) - 1 and c[0] >= len(hashes) - (1 << 17)
+
+
+def test_enough_hashes_of_many_places():
+    n = 700
+    at = np.arange(n) * 100
+    assert not substring.enough_hashes(np.arange(n), at, at + 9, at, at + 9)
+    assert not substring.enough_hashes(np.zeros(n), at, at + 500, at, at + 500)
+    assert substring.enough_hashes(np.arange(n), np.append(at[:-1], at[-2]), np.append(at[:-1], at[-2]) + 9, np.append(at[:-1], at[-2] + 5), np.append(at[:-1], at[-2]) + 9)
+
+
 def test_word_and_shingle_hashes():
     column = pa.array(["a  bb\tccc", None, "", "w" * 200 + " x", "a bb ccc"])
     words, rows, starts, ends = word_hashes(column)
