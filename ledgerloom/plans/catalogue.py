@@ -479,13 +479,33 @@ def structure_fold(spark: SparkSession, d: str) -> DataFrame:
     return fold.fold_tree(views.nodes(spark, d), requests)
 
 
-@query(with_views("ledger", "effects") + """, conflicts AS (SELECT node_id, request_id AS conflict_id, payload FROM ledger WHERE event_type = 'purchase'), fixes AS (SELECT node_id, request_id, payload FROM ledger WHERE event_type = 'signup')
-SELECT c.node_id, c.conflict_id, min(f.request_id) AS resolved_by, CASE WHEN min(f.request_id) IS NULL THEN 'open' ELSE 'resolved' END AS status FROM conflicts c LEFT JOIN fixes f ON f.node_id = c.node_id AND f.payload = c.payload GROUP BY c.node_id, c.conflict_id""")
+@query(with_views("ledger") + """, paths AS (SELECT node_id, request_id, event_seq, event_type, CASE event_seq % 5 WHEN 0 THEN CAST([] AS VARCHAR[]) WHEN 1 THEN [payload] WHEN 2 THEN ['f' || (event_seq % 3)] ELSE ['f' || (event_seq % 3), payload] END AS path FROM ledger),
+met AS (SELECT c.node_id, c.request_id AS conflict_id, arg_min(f.request_id, f.event_seq) AS resolved_by FROM (SELECT * FROM paths WHERE event_type = 'purchase') c
+  LEFT JOIN (SELECT * FROM paths WHERE event_type = 'signup') f ON f.node_id = c.node_id AND f.event_seq > c.event_seq AND len(c.path) > 0 AND len(f.path) > 0 AND c.path[1:least(len(c.path), len(f.path))] = f.path[1:least(len(c.path), len(f.path))] GROUP BY ALL)
+SELECT *, CASE WHEN resolved_by IS NULL THEN 'open' ELSE 'resolved' END AS status FROM met""")
 def conflict_resolve(spark: SparkSession, d: str) -> DataFrame:
-    rows = views.ledger(spark, d)
-    conflicts = rows.where("event_type = 'purchase'").select("node_id", F.col("request_id").alias("conflict_id"), F.array("payload").alias("path"))
-    fixes = rows.where("event_type = 'signup'").select("node_id", "request_id", F.array("payload").alias("path"))
-    return fold.resolved(conflicts, fixes).select("node_id", "conflict_id", "resolved_by", "status")
+    """Conflicts with the first later resolution of a touching path; some paths are empty, of one name, or of two."""
+    k, field = F.col("event_seq"), F.concat(F.lit("f"), F.col("event_seq") % 3)
+    path = F.when(k % 5 == 0, F.array().cast("array<string>")).when(k % 5 == 1, F.array("payload")).when(k % 5 == 2, F.array(field)).otherwise(F.array(field, F.col("payload")))
+    rows = views.ledger(spark, d).withColumn("path", path)
+    conflicts = rows.where("event_type = 'purchase'").select("node_id", "event_seq", F.col("request_id").alias("conflict_id"), "path")
+    return fold.resolved(conflicts, rows.where("event_type = 'signup'")).select("node_id", "conflict_id", "resolved_by", "status")
+
+
+@query("""WITH p AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+c AS (SELECT p.*, q.event_id AS by_ FROM p LEFT JOIN p q ON q.user_id = p.user_id AND q.event_type = 'signup' AND q.n > p.n AND p.event_type <> 'signup')
+SELECT CAST(user_id AS VARCHAR) AS node_id, 'req-' || event_id AS request_id, 'req-' || min(by_) AS resolved_by FROM c WHERE event_type <> 'signup' AND n > 1 GROUP BY user_id, event_id HAVING min(by_) IS NOT NULL""")
+def resolve_fold(spark: SparkSession, d: str) -> DataFrame:
+    """A fold with resolutions: every patch but a signup's sets one shared field against an empty first version; a signup resolves it."""
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = tables.table(spark, d, "events").withColumn("n", n)
+    change = F.concat(F.lit('[{"op":"set","path":["field"],"value":"'), F.col("event_id").cast("string"), F.lit('"}]'))
+    requests = rows.select(F.col("user_id").cast("string").alias("node_id"), F.col("event_id").alias("event_seq"), F.concat(F.lit("req-"), "event_id").alias("request_id"), F.when(F.col("event_type") == "signup", "conflict.resolve").otherwise("snapshot.patch").alias("operation"), F.when(F.col("event_type") != "signup", F.lit(1)).cast("bigint").alias("base_revision"), change.alias("changes"), "n")
+    # The first event makes the document with the field of value "0", so that every later patch against revision 1 is in conflict once it was written.
+    first = requests.where("n = 1").select("node_id", F.lit(-2).cast("bigint").alias("event_seq"), F.lit("create").alias("request_id"), F.lit("snapshot.create").alias("operation"), F.lit(None).cast("bigint").alias("base_revision"), F.lit("[]").alias("changes"))
+    second = requests.where("n = 1").select("node_id", F.lit(-1).cast("bigint").alias("event_seq"), F.lit("set").alias("request_id"), F.lit("snapshot.patch").alias("operation"), F.lit(1).cast("bigint").alias("base_revision"), F.lit('[{"op":"set","path":["field"],"value":"0"}]').alias("changes"))
+    out = fold.fold_snapshots(first.union(second).union(requests.where("n > 1").drop("n")))
+    return out.where("resolves IS NOT NULL").select("node_id", F.explode("resolves").alias("closed"), F.col("request_id").alias("resolved_by")).withColumnRenamed("closed", "request_id")
 
 
 @query("""SELECT 'r' || user_id AS request_id, CASE WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN 'cancelled' ELSE 'local_pending' END AS state, CAST(0 AS INTEGER) AS attempts, count(*) FILTER (WHERE event_type NOT IN ('error')) AS other FROM events GROUP BY user_id""")

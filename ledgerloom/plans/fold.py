@@ -13,29 +13,74 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.merge import InvalidChanges, canonical, merge
-from ledgerloom.functions.scalars import MAX_SNAPSHOT_BYTES, overlaps
+from ledgerloom.functions.merge import InvalidChanges, canonical, merge, overlap
+from ledgerloom.functions.scalars import MAX_SNAPSHOT_BYTES
 
-RESULT = "node_id string, event_seq bigint, request_id string, effect string, revision bigint, content_json string, conflicts string"
+RESULT = "node_id string, event_seq bigint, request_id string, effect string, revision bigint, content_json string, conflicts string, resolves array<string>"
+
+
+def touches(left: list[str], right: list[str]) -> bool:
+    """Whether a change at one path addresses a conflict at the other; an empty path addresses only an empty one."""
+    return overlap(tuple(left), tuple(right)) if left and right else not left and not right
+
+
+def changed_paths(changes: list) -> list[list[str]]:
+    """The paths that a change-set writes; an item's has its collection and its id."""
+    return [[*(c.get("path") or []), *([c["field"], c["itemId"]] if c["op"] in ("item_set", "item_remove") else [])] for c in changes]
 
 
 class NodeFold:
-    """One snapshot: its current document and its versions by revision."""
+    """One snapshot: its current document, its versions by revision and its open conflicts.
 
-    def __init__(self, content: str | None = None, revision: int = 0, versions: dict[int, str] | None = None, deleted: bool = False):
+    ``needs`` says how many later requests name a version as their base; a version
+    that none names any more is dropped. Without it all versions stay.
+    """
+
+    def __init__(self, content: str | None = None, revision: int = 0, versions: dict[int, str] | None = None, deleted: bool = False, open_: dict[str, list] | None = None):
         self.content, self.revision, self.deleted = content, revision, deleted
-        self.versions = versions or {}
+        self.versions, self.open, self.resolves = versions or {}, open_ or {}, []
+
+    def state(self) -> dict:
+        return {"content": self.content, "revision": self.revision, "versions": {str(k): v for k, v in self.versions.items()}, "deleted": self.deleted, "open": self.open}
+
+    @classmethod
+    def of(cls, state: dict) -> NodeFold:
+        return cls(state["content"], state["revision"], {int(k): v for k, v in state["versions"].items()}, state["deleted"], state["open"])
+
+    def apply(self, operation: str, base_revision: int | None, changes: list, request_id: str = "", later: int | None = None) -> tuple[str, list]:
+        """(effect, conflicts) of a request; a changed document gets the next revision.
 
-    def apply(self, operation: str, base_revision: int | None, changes: list) -> tuple[str, list]:
-        """(effect, conflicts) of a request; a changed document gets the next revision."""
+        ``later``: how many requests to come name the revision that this one makes as base; None if that is not known.
+        """
+        self.resolves = []
         if self.deleted:
             return "cancelled", []
         if operation == "snapshot.delete":
-            self.content, self.versions, self.deleted = None, {}, True
+            self.content, self.versions, self.open, self.deleted = None, {}, {}, True
             return "applied", []
+        if operation == "conflict.resolve" and self.content is not None and not self.open:
+            return "needs_attention", []
+        effect, conflicts = self._write(operation, base_revision, changes)
+        if effect == "conflict":
+            self.open[request_id] = [c["path"] for c in conflicts if c["path"]]
+        elif operation == "conflict.resolve" and effect in ("applied", "applied_noop"):
+            written = changed_paths(changes)
+            self.resolves = sorted(r for r, paths in self.open.items() if any(touches(p, w) for p in paths for w in written))
+            for r in self.resolves:
+                del self.open[r]
+        if effect == "applied" and later == 0:
+            self.versions.pop(self.revision, None)
+        return effect, conflicts
+
+    def used(self, base_revision: int | None, left: int | None) -> None:
+        """A base that ``left`` more requests name."""
+        if base_revision is not None and left == 0:
+            self.versions.pop(base_revision, None)
+
+    def _write(self, operation: str, base_revision: int | None, changes: list) -> tuple[str, list]:
         if operation == "snapshot.create":
             if self.content is not None:
                 return "cancelled", []
@@ -43,7 +88,8 @@ class NodeFold:
         else:
             if self.content is None:
                 return "cancelled", []
-            text = self.content if operation == "conflict.resolve" and base_revision is None else self.versions.get(base_revision)
+            now = base_revision == self.revision or (operation == "conflict.resolve" and base_revision is None)
+            text = self.content if now else self.versions.get(base_revision)
             if text is None:
                 return "needs_attention", []
             base, current = json.loads(text), json.loads(self.content)
@@ -64,24 +110,41 @@ class NodeFold:
 
 
 def fold_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in order of node and sequence to outcomes; state passes from frame to frame."""
-    node, state = None, NodeFold()
+    """Rows in order of node and sequence to outcomes; state passes from frame to frame.
+
+    Rows of operation ``base`` come before their node's requests: as ``changes`` they have how many requests name the revision.
+    """
+    node, state, named = None, NodeFold(), None
     for frame in frames:
         out = []
         for row in frame.itertuples(index=False):
             if row.node_id != node:
-                node, state = row.node_id, NodeFold()
+                node, state, named = row.node_id, NodeFold(), None
+            if row.operation == "base":
+                named = {} if named is None else named
+                named[int(row.base_revision)] = int(row.changes)
+                continue
             base = None if pd.isna(row.base_revision) else int(row.base_revision)
-            effect, conflicts = state.apply(row.operation, base, json.loads(row.changes) if isinstance(row.changes, str) else [])
+            if named is not None and base is not None:
+                named[base] = named.get(base, 0) - 1
+            later = None if named is None else named.get(state.revision + 1, 0)
+            effect, conflicts = state.apply(row.operation, base, json.loads(row.changes) if isinstance(row.changes, str) else [], row.request_id, later)
+            if named is not None and base is not None:
+                state.used(base, named[base])
             applied = effect == "applied" and state.content is not None
-            out.append((row.node_id, row.event_seq, row.request_id, effect, state.revision, state.content if applied else None, canonical(conflicts) if conflicts else None))
-        yield pd.DataFrame(out, columns=["node_id", "event_seq", "request_id", "effect", "revision", "content_json", "conflicts"])
+            out.append((row.node_id, row.event_seq, row.request_id, effect, state.revision, state.content if applied else None, canonical(conflicts) if conflicts else None, state.resolves or None))
+        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in RESULT.split(", ")])
 
 
 def fold_snapshots(requests: DataFrame) -> DataFrame:
-    """Outcomes of requests (node_id, event_seq, request_id, operation, base_revision, changes as JSON) in order of acceptance."""
+    """Outcomes of requests (node_id, event_seq, request_id, operation, base_revision, changes as JSON) in order of acceptance.
+
+    How often each base is named is counted first, so that a task keeps no version longer than it is needed.
+    """
     rows = requests.select(F.col("node_id").cast("string"), F.col("event_seq").cast("bigint"), "request_id", "operation", F.col("base_revision").cast("bigint"), "changes")
-    return rows.repartition("node_id").sortWithinPartitions("node_id", "event_seq").mapInPandas(fold_rows, RESULT)
+    counted = rows.where("base_revision IS NOT NULL").groupBy("node_id", "base_revision").agg(F.count("*").alias("n"))
+    bases = counted.select("node_id", F.lit(-(2**63)).cast("bigint").alias("event_seq"), F.lit(None).cast("string").alias("request_id"), F.lit("base").alias("operation"), "base_revision", F.col("n").cast("string").alias("changes"))
+    return bases.union(rows).repartition("node_id").sortWithinPartitions("node_id", "event_seq").mapInPandas(fold_rows, RESULT)
 
 
 def snapshots(outcomes: DataFrame) -> DataFrame:
@@ -97,10 +160,30 @@ def conflict_rows(outcomes: DataFrame) -> DataFrame:
 
 
 def resolved(conflicts: DataFrame, resolutions: DataFrame) -> DataFrame:
-    """Open conflicts (node_id, conflict_id, path array) with the resolution (node_id, request_id, path array) that touches their path."""
-    r = resolutions.select("node_id", F.col("request_id").alias("resolved_by"), F.col("path").alias("by_path"))
-    touched = conflicts.join(r, "node_id").where(overlaps(F.col("path"), F.col("by_path"))).groupBy("conflict_id").agg(F.min("resolved_by").alias("resolved_by"))
-    return conflicts.join(touched, "conflict_id", "left").withColumn("status", F.when(F.col("resolved_by").isNotNull(), "resolved").otherwise("open"))
+    """Conflicts (node_id, conflict_id, event_seq, path array) with the first later resolution (node_id, event_seq, request_id, path array) that touches their path.
+
+    ``resolutions`` are those that were applied. Two paths touch where one is the start of the
+    other; an empty path is touched by nothing. Conflicts and resolutions meet on
+    the paths they start with, in a window by node and path, so not every conflict
+    of a node meets every resolution.
+    """
+    starts = lambda least: F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - least), lambda n: F.slice("path", F.lit(1), n)))
+    whole = F.size("path") > 0
+    own = ["node_id", "event_seq"]
+    c = conflicts.where(whole).select(*own, "conflict_id", "path")
+    r = resolutions.where(whole).select(*own, F.struct("event_seq", F.col("request_id").alias("by")).alias("fix"), "path")
+    none = F.lit(None)
+    # side 0: the resolution's path is a start of the conflict's; side 1: the conflict's is a shorter start of the resolution's
+    rows = (
+        c.select(F.lit(0).alias("side"), *own, "conflict_id", none.cast(r.schema["fix"].dataType).alias("fix"), starts(0).alias("at"))
+        .union(r.select(F.lit(0), *own, none.cast("string"), "fix", "path"))
+        .union(c.select(F.lit(1), *own, "conflict_id", none.cast(r.schema["fix"].dataType), "path"))
+        .union(r.where(F.size("path") > 1).select(F.lit(1), *own, none.cast("string"), "fix", starts(1)))
+    )
+    after = Window.partitionBy("side", "node_id", "at").orderBy("event_seq").rowsBetween(1, Window.unboundedFollowing)
+    met = rows.withColumn("fix", F.when(F.col("conflict_id").isNotNull(), F.first("fix", ignorenulls=True).over(after))).where("conflict_id IS NOT NULL")
+    first = met.groupBy("conflict_id").agg(F.min("fix").alias("fix")).select("conflict_id", F.col("fix.by").alias("resolved_by"))
+    return conflicts.join(first, "conflict_id", "left").withColumn("status", F.when(F.col("resolved_by").isNotNull(), "resolved").otherwise("open"))
 
 
 def fold_tree(nodes: DataFrame, requests: DataFrame) -> DataFrame:
@@ -128,8 +211,6 @@ def catalog_revisions(requests: DataFrame) -> DataFrame:
 
     Totals of stretches of the sequence come first, so no task sees the whole ledger.
     """
-    from pyspark.sql import Window
-
     changes = F.col("operation").isin("directory.create", "directory.rename", "directory.move", "directory.delete", "snapshot.create", "snapshot.delete").cast("bigint")
     rows = requests.select("event_seq", changes.alias("n"), F.floor(F.col("event_seq") / 4096).alias("stretch"))
     totals = rows.groupBy("stretch").agg(F.sum("n").alias("n"))

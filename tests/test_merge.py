@@ -45,6 +45,11 @@ CASES = [
     ("null is a value", {"a": None}, {"a": None}, [set_(["a"], 1)], "applied", {"a": 1}),
     ("item removed", {"at": {"A": 1, "B": 2}}, {"at": {"A": 1, "B": 2}}, [{"op": "item_remove", "path": [], "field": "at", "itemId": "A"}], "applied", {"at": {"B": 2}}),
     ("changed item removed", {"at": {"A": 1}}, {"at": {"A": 2}}, [{"op": "item_remove", "path": [], "field": "at", "itemId": "A"}], "conflict", ["item_delete_modified"]),
+    ("one and one point zero", {"a": 1}, {"a": 1.0}, [set_(["a"], 2)], "applied", {"a": 2}),
+    ("equal numbers", {"a": 1}, {"a": 5}, [set_(["a"], 5.0)], "applied_noop", {"a": 5}),
+    ("a number is no truth value", {"a": 1}, {"a": True}, [set_(["a"], 2)], "conflict", ["concurrent_change"]),
+    ("null collection", {"at": None}, {"at": None}, [item("at", "A", 1)], "applied", {"at": {"A": 1}}),
+    ("collection new below a lost parent", {"s": {"e": 1}}, {}, [item("at", "A", 1) | {"path": ["s"]}], "applied", {"s": {"at": {"A": 1}}}),
     ("list as a value", {"l": [1]}, {"l": [1]}, [set_(["l"], [1, 2])], "applied", {"l": [1, 2]}),
 ]
 
@@ -61,6 +66,15 @@ def test_case(name, base, current, changes, status, expected):
         assert out.value == expected
 
 
+def test_conflicts_name_their_paths():
+    lost = merge({"s": {"at": {"A": 1}}}, {"s": {}}, [item("at", "B", 2) | {"path": ["s"]}]).conflicts[0]
+    assert (lost["path"], lost["parent"], lost["base"], lost["current"], lost["proposed"]) == (["s", "at"], "s/at", {"A": 1}, None, 2)
+    none = merge({"s": {"at": 1}}, {"s": {"at": 1}}, [item("at", "B", 2) | {"path": ["s"]}]).conflicts[0]
+    assert (none["path"], none["base"], none["current"]) == (["s"], 1, 1)
+    gone = merge({"s": {"e": 1}}, {}, [set_(["s", "e"], 2)]).conflicts[0]
+    assert (gone["path"], gone["parent"], gone["base"], gone["current"]) == (["s", "e"], "s", 1, None)
+
+
 @pytest.mark.parametrize("changes", [[], None, "x", {}])
 def test_no_changes(changes):
     with pytest.raises(InvalidChanges):
