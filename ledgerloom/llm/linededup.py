@@ -23,11 +23,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import fresh
+from ledgerloom.llm.common import fresh, materialize
 
 MIN_SITES = 10
 COPY_SHARE = 0.5
 LG_K = 12
+COMMON = 256  # lines told by a list at most
 
 ORACLE = """
 WITH lines AS (
@@ -45,7 +46,8 @@ WITH lines AS (
 SELECT d.doc_id,
        CASE WHEN n_bad > 0 AND bad_chars <= 0.5 * chars THEN kept ELSE text END AS text,
        CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
-       CAST(CASE WHEN n_bad > 0 AND bad_chars <= 0.5 * chars THEN n_bad ELSE 0 END AS BIGINT) AS n_removed
+       CAST(CASE WHEN n_bad > 0 AND bad_chars <= 0.5 * chars THEN n_bad ELSE 0 END AS BIGINT) AS n_removed,
+       CAST(coalesce(n_bad, 0) AS BIGINT) AS n_spread
 FROM documents d LEFT JOIN per_doc p ON d.doc_id = p.doc_id
 """
 
@@ -55,32 +57,39 @@ def _key(line: Column) -> Column:
 
 
 def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """line: the hash of every line found on at least ``min_sites`` distinct sites."""
+    """line, n: the hash of every line found on at least ``min_sites`` distinct sites, and how often it stands."""
     lines = docs.select(F.col("source").cast("string").alias("site"), F.explode(F.split("text", "\n")).alias("raw")).where((F.trim("raw", F.lit(" \t\r")) != "") & F.col("site").isNotNull()).select(_key(F.col("raw")).alias("line"), "site")
     # A line seen fewer times than that cannot be on so many sites.
     seen = lines.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"), F.count("*").alias("n")).where(F.col("n") >= min_sites)
-    estimated = seen.select("line", F.hll_sketch_estimate("sketch").alias("sites"))
+    estimated = seen.select("line", "n", F.hll_sketch_estimate("sketch").alias("sites"))
     slack = math.ceil(3 * 1.04 / math.sqrt(1 << lg_k) * min_sites) + 1
     near = estimated.where(F.col("sites").between(min_sites - slack, min_sites + slack)).select("line")
-    exact = lines.join(near, "line", "left_semi").groupBy("line", "site").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
-    return estimated.where(F.col("sites") > min_sites + slack).select("line").union(exact.select("line"))
+    exact = lines.join(near, "line", "left_semi").groupBy("line", "site").agg(F.count("*").alias("n")).groupBy("line").agg(F.count("*").alias("sites"), F.sum("n").alias("n")).where(F.col("sites") >= min_sites)
+    return estimated.where(F.col("sites") > min_sites + slack).select("line", "n").union(exact.select("line", "n"))
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, copy_share: float = COPY_SHARE) -> DataFrame:
-    """The documents without cross-site boilerplate lines, and two more columns: n_lines and n_removed."""
-    docs = docs.drop("n_lines", "n_removed")
+    """The documents without cross-site boilerplate lines, and three more columns: n_lines, n_removed and n_spread."""
+    docs = docs.drop("n_lines", "n_removed", "n_spread")
     text_key, bad, kept = (fresh(n, docs) for n in ("text_key", "bad", "kept"))
     trimmed = lambda l: F.trim(l, F.lit(" \t\r"))
     chars = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, l: s + F.length(trimmed(l)))
     lines = F.split("text", "\n")
     # Lines of each text; a text's hash finds it again, so no row needs an id of its own.
     keys = F.array_distinct(F.filter(F.transform(lines, lambda l: F.when(trimmed(l) != "", _key(l))), lambda k: k.isNotNull()))
-    wanted = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias(text_key), F.explode(keys).alias("line"))
-    hits = wanted.join(spread_lines(docs, min_sites), "line").groupBy(text_key).agg(F.collect_set("line").alias(bad))
+    spread = materialize(spread_lines(docs, min_sites))
+    total = spread.agg(F.sum("n")).first()[0] or 0
+    common = [r["line"] for r in spread.where(F.col("n") * COMMON >= total).select("line").collect()]  # COMMON rows at most
+    is_common = (lambda k: k.isin(common)) if common else (lambda k: F.lit(False))
+    wanted = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias(text_key), F.explode(F.filter(keys, lambda k: ~is_common(k))).alias("line"))
+    hits = wanted.join(spread.where(F.col("n") * COMMON < total).select("line"), "line").groupBy(text_key).agg(F.collect_set("line").alias(bad))
     marked = docs.withColumn(text_key, F.xxhash64("text")).join(hits, text_key, "left").drop(text_key)
+    told = F.filter(keys, is_common)
+    marked = marked.withColumn(bad, F.when(F.col(bad).isNotNull() | (F.size(told) > 0), F.concat(F.coalesce(F.col(bad), F.array().cast("array<bigint>")), told)))
     rest = F.filter(lines, lambda l: ~F.array_contains(bad, _key(l)) | (trimmed(l) == ""))
     some = marked.withColumn(kept, F.when(F.col(bad).isNotNull() & F.col("text").isNotNull(), rest))
     cut = F.col(kept).isNotNull() & (chars(lines) - chars(F.col(kept)) <= copy_share * chars(lines))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint")
-    counted = some.withColumn("n_lines", n_lines).withColumn("n_removed", F.when(cut, F.col("n_lines") - F.size(kept)).otherwise(0).cast("bigint"))
+    n_spread = F.when(F.col(kept).isNotNull(), n_lines - F.size(kept)).otherwise(0).cast("bigint")
+    counted = some.withColumn("n_lines", n_lines).withColumn("n_spread", n_spread).withColumn("n_removed", F.when(cut, F.col("n_spread")).otherwise(0).cast("bigint"))
     return counted.withColumn("text", F.when(F.col("n_removed") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))).drop(kept, bad)
