@@ -31,6 +31,8 @@ REVISIT_FROM = 1000
 COALESCE_GAP = 64 << 10
 COALESCE_MAX = 4 << 20
 ARCHIVE_BYTES = 256 << 20
+READ_BYTES = 128 << 20  # of archives a reading task takes at most, in the mean
+SALTS = 16  # tasks that the records of one payload are dealt to
 ORACLE = """
 WITH p AS (
   SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
@@ -89,13 +91,14 @@ def _open(folder: str) -> tuple[fs.FileSystem, str]:
 def decide(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
     """page_id, url, payload, digest, refers_to: which records revisit which.
 
-    The payload is dealt out once, by digest and salt, and the table of
-    repeated payloads, one row each, is what it meets.
+    The payload is dealt out once, by digest and salt, and meets the table of
+    repeated payloads, one small row each and salt.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     keeper = rows.where(F.octet_length("payload") >= revisit_from).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("digest", "keeper")
-    joined = rows.join(keeper, "digest", "left")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(keeper.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["digest", "salt"], "left")
     return joined.select("page_id", "url", "payload", "digest", F.when((F.octet_length("payload") >= revisit_from) & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("refers_to"))
 
 
@@ -180,7 +183,9 @@ def read_selected(index: DataFrame, folder: str, gap: int = COALESCE_GAP, most:
             opened.close()
 
     block = F.floor(F.col("offset") / most)  # a file's records are dealt out by stretches, so a large archive has many readers
-    spread = index.select("file", "offset", "length", block.alias("block")).repartition(F.col("file"), F.col("block")).sortWithinPartitions("file", "offset").drop("block")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(-(-total // READ_BYTES), min(index.sparkSession.sparkContext.defaultParallelism, -(-total // most)), 1)
+    spread = index.select("file", "offset", "length", block.alias("block")).repartition(tasks, F.col("file"), F.col("block")).sortWithinPartitions("file", "offset").drop("block")
     return spread.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
