@@ -5,7 +5,8 @@ first track, the codec, the duration, every sample's byte range and the merged
 byte ranges of the keyframes. Sample bytes are touched only when asked for.
 
 Rows: a null payload counts as empty (a text still gets its padding); bytes that
-are not a readable container give null columns and the reason in ``error``.
+are not a readable container (damaged, of no tables, or of fragments) give null columns and the reason in
+``error``; of several tracks the first is read. ``doc_id`` may be null or repeated; other columns of the texts are ignored.
 Equal payloads give equal files: nothing in them depends on time or place.
 """
 
@@ -149,6 +150,8 @@ def read_track(data: bytes) -> Track:
     codec = data[found[b"stsd"][0] + 12 : found[b"stsd"][0] + 16].decode("latin-1")
     if b"stsz" in found:
         same, count = struct.unpack_from(">II", data, found[b"stsz"][0] + 4)
+        if same * count > len(data):
+            raise ContainerError("samples leave the file")
         sizes = np.full(count, same, np.int64) if same else numbers(b"stsz", 12, 1)[:, 0]
     else:
         raise ContainerError("no stsz box")
@@ -173,14 +176,24 @@ def read_track(data: bytes) -> Track:
     stts = numbers(b"stts", 8, 2)
     if not duration:
         duration = int(np.dot(stts[:, 0], stts[:, 1]))
-    if len(sizes) and int((offsets + sizes).max()) > len(data):
+    if len(sizes) and (int((offsets + sizes).max()) > len(data) or int(offsets.min()) < 0):
         raise ContainerError("samples leave the file")
+    if len(keys) and not 0 <= int(keys.min()) <= int(keys.max()) < len(sizes):
+        raise ContainerError("a keyframe is no sample")
     return Track(codec, handler, timescale, duration, offsets, sizes, keys)
 
 
+DESCRIBED = {"codec": pa.string(), "duration_s": pa.float64(), "n_samples": pa.int64(), "keyframes": pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))}
+
+
+def _described(track: Track) -> tuple:
+    """The columns ``DESCRIBED`` of a track."""
+    keyframes = [{"offset": a, "length": n} for a, n in track.ranges(track.keyframes).tolist()]
+    return track.codec, track.duration / track.timescale if track.timescale else None, len(track.sizes), keyframes
+
+
 def media_columns(df: DataFrame, media: str = "media") -> DataFrame:
     """Add codec, duration_s, n_samples, keyframes (array of offset and length) and error; payloads are not decoded."""
-    range_type = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
     added = {"codec": "string", "duration_s": "double", "n_samples": "bigint", "keyframes": "array<struct<offset:bigint,length:bigint>>", "error": "string"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,12 +201,11 @@ def media_columns(df: DataFrame, media: str = "media") -> DataFrame:
             rows = []
             for value in batch.column(media):
                 try:
-                    track = read_track(value.as_py() or b"")
-                    rows.append((track.codec, track.duration / track.timescale if track.timescale else None, len(track.sizes), [{"offset": int(a), "length": int(n)} for a, n in track.ranges(track.keyframes)], None))
+                    rows.append((*_described(read_track(value.as_py() or b"")), None))
                 except (ContainerError, struct.error) as e:
                     rows.append((None, None, None, None, str(e)))
             columns = list(zip(*rows)) if rows else [()] * 5
-            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.int64(), range_type, pa.string()))]
+            arrays = [pa.array(c, t) for c, t in zip(columns, (*DESCRIBED.values(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *added])
 
     kept = df.drop(*(c for c in added if c in df.columns))
@@ -219,7 +231,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 
 def digest_media(stored: DataFrame) -> DataFrame:
-    """Read the stored bytes back through the sample tables: digests of payload and file, and a feature of the track."""
+    """Read the stored bytes back through the sample tables: digests of payload and file, a feature of the track, and its columns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -229,10 +241,10 @@ def digest_media(stored: DataFrame) -> DataFrame:
                 payload = b"".join(data[a : a + n] for a, n in track.ranges(np.arange(len(track.sizes))).tolist())
                 keys = track.ranges(track.keyframes)
                 feature = f"{track.codec.strip()}/{track.handler}/{track.timescale} duration={track.duration} samples={len(track.sizes)} keyframes={len(track.keyframes)} key_bytes={int(keys[:, 1].sum())} mean={np.frombuffer(payload, np.uint8).mean():.6f}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-            columns = list(zip(*rows)) if rows else [()] * 6
-            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, *_described(track)))
+            columns = list(zip(*rows)) if rows else [()] * 10
+            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *DESCRIBED.values())
+            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *DESCRIBED]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", "n_bytes", *names])
 
-    return stored.mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return stored.mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, codec string, duration_s double, n_samples bigint, keyframes array<struct<offset:bigint,length:bigint>>")
