@@ -15,8 +15,8 @@ parameter. The counts behind it cover all documents. Characters outside the
 vocabulary are spelled in byte pieces.
 
 Rows: a null text, an empty one, or one without letters is ``und`` with score 0.
-Equal posteriors go to the language that comes first by name. A null or empty
-language, or a null id, is never learned from; with nothing to learn from every
+Equal posteriors go to the language that comes first by name. A null
+language or id is never learned from; with nothing to learn from every
 text is ``und``.
 """
 
@@ -198,13 +198,13 @@ class LanguageModel:
 def fit(docs: DataFrame, path: str, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS) -> LanguageModel:
     """Learn from the text and language of documents that are not held out."""
     pieces, longest = vocabulary(path)
-    known = docs.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & (F.col("lang") != "") & (F.col("lang") != "und") & F.col("text").isNotNull())
+    known = docs.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     languages = sorted(counts)
     if not languages:
         return LanguageModel([], path, np.zeros((len(pieces), 0)))
-    share = F.create_map(*(x for lang in languages for x in (F.lit(lang), F.lit(int(min(1.0, train_docs / counts[lang]) * 1_000_000)))))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
+    share = F.create_map(*(x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, train_docs / counts[lang])))))
+    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52)) / F.lit(float(1 << 52)) < share[F.col("lang")])
     words = sample.select("lang", F.explode(F.split("text", r"\s+")).alias("word")).where("word <> ''").groupBy("lang", "word").count().persist()
     probs = np.full((len(pieces), len(languages)), 1.0 / len(pieces))
     at = {lang: i for i, lang in enumerate(languages)}
