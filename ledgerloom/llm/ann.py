@@ -7,8 +7,8 @@ to its nearest centroid's list and, when it lies near a boundary, to further
 lists whose centroids are hardly farther off. A query walks the graph to its
 nearest centroids, drops those whose distance ratio to the nearest is too large,
 and looks through the lists that are left; lists are taken until
-``min_candidates`` primary vectors are in reach, so a short result means a short
-table. Distances of the final neighbours are computed on the original vectors
+``MIN_CANDIDATES`` primary vectors are in reach or the beam's end; a query
+gets fewer than ``k`` neighbours only where the lists in its beam hold fewer. Distances of the final neighbours are computed on the original vectors
 in double precision.
 
 Lists are cut into blocks of bounded size and so are the queries of a list;
@@ -27,8 +27,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS = 16_384
-MAX_LISTS = 1024
+from ledgerloom.llm.common import materialize
+
+SAMPLE_ROWS = 32_768
+MAX_LISTS = 2048
 NEIGHBOURS = 24  # graph edges of a centroid
 BEAM = 96
 COPIES = 4
@@ -55,7 +57,7 @@ def balanced_kmeans(sample: np.ndarray, lists: int, rounds: int = 8, seed: int =
     scale = float(np.median(((sample - sample.mean(0)) ** 2).sum(1))) or 1.0
     charge = np.zeros(lists)
     for _ in range(rounds):
-        near = np.concatenate([np.argmin(squared(sample[i : i + 4096], centroids) + charge, axis=1) for i in range(0, len(sample), 4096)])
+        near = np.concatenate([np.argmin(squared(sample[i : i + 1024], centroids) + charge, axis=1) for i in range(0, len(sample), 1024)])
         counts = np.bincount(near, minlength=lists)
         sums = np.zeros_like(centroids)
         np.add.at(sums, near, sample)
@@ -158,7 +160,7 @@ def search(embeddings: DataFrame, query_step: int = 100, k: int = 10) -> DataFra
                 r, c = np.nonzero(keep)
                 yield pd.DataFrame({"list": ids[r, c], "copy": c.astype(np.int32), "vec_id": part["vec_id"].to_numpy()[r], "v": [x[i] for i in r]})
 
-    postings = valid.mapInPandas(assign, "list int, copy int, vec_id bigint, v array<double>")
+    postings = materialize(valid.mapInPandas(assign, "list int, copy int, vec_id bigint, v array<double>"))
     sizes = {r["list"]: (r["n"], r["primary"]) for r in postings.groupBy("list").agg(F.count("*").alias("n"), F.count_if(F.col("copy") == 0).alias("primary")).collect()}  # one row a list
     counts = spark.sparkContext.broadcast(sizes)
 
@@ -177,7 +179,7 @@ def search(embeddings: DataFrame, query_step: int = 100, k: int = 10) -> DataFra
                 yield pd.DataFrame({"list": ids[r, c], "query_id": part["vec_id"].to_numpy()[r], "q": [x[i] for i in r]})
 
     queries = valid.where(F.col("vec_id") % query_step == 0)
-    probes = queries.mapInPandas(route, "list int, query_id bigint, q array<double>")
+    probes = materialize(queries.mapInPandas(route, "list int, query_id bigint, q array<double>"))
     asked = {r["list"]: r["count"] for r in probes.groupBy("list").count().collect()}  # one row a list
     n_blocks = {i: -(-n // BLOCK) for i, (n, _) in sizes.items()}
     q_blocks = {i: -(-n // QUERY_BLOCK) for i, n in asked.items()}
