@@ -10,14 +10,19 @@ with its number of repeats.
 
 Pieces then find their places without meeting each other: a piece's rank among
 those of its length comes from counts by (length, salt) and a row number within
-them, and the rank falls into one pattern's slots.
+them, and the rank falls into one pattern's slots. A length has salts in proportion to
+its share of the pieces, ``SALTS`` for all lengths together and one each; pieces
+of full length are sequences of their own and need no rank.
 
 Rows: a null text counts as empty; every document has at least its end token and
-so at least one piece. Repeated documents are packed as often as they occur.
+so at least one piece. Repeated documents are packed as often as they occur, and a null or
+repeated ``doc_id`` is packed like any other. ``pieces_of`` ignores other columns;
+``pack`` keeps those of its input but for sequence_id and offset, which it replaces.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import zlib
 from bisect import bisect_right
@@ -34,7 +39,7 @@ from ledgerloom.llm.common import fresh, materialize, text_slices
 
 CAPACITY = 4096
 END_ID = 1
-SALTS = 64
+SALTS = 20_000
 MAX_CACHED_STEMS = 1_000_000
 STEMS_TOGETHER = 20_000
 # Code points that Python's split takes for white space and the tokenizer does not; such texts are encoded whole.
@@ -255,14 +260,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = pieces.sparkSession
     pieces = pieces.drop("sequence_id", "offset")
     salt, rn = fresh("salt", pieces), fresh("rn", pieces)
-    salted = materialize(pieces.withColumn(salt, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")))
-    counts = salted.groupBy("length", salt).count().collect()  # at most capacity x SALTS rows
+    pieces = materialize(pieces)
+    totals = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
+    full = totals.pop(capacity, 0)
+    share = max(sum(totals.values()) / SALTS, 1)
+    salts = spark.createDataFrame([(length, math.ceil(n / share)) for length, n in totals.items()], f"length bigint, {salt} int")  # at most capacity rows
+    salted = pieces.where(F.col("length") != capacity).join(F.broadcast(salts), "length").withColumn(salt, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col(salt)).cast("int")).select(*pieces.columns, salt)
+    counts = salted.groupBy("length", salt).count().collect()  # at most capacity + SALTS rows
     histogram: dict[int, int] = {}
     before: dict[tuple[int, int], int] = {}
     for length, s, n in sorted((r["length"], r[salt], r["count"]) for r in counts):
         before[length, s] = histogram.get(length, 0)
         histogram[length] = before[length, s] + n
-    shared = spark.sparkContext.broadcast((Slots(plan(histogram, capacity)), before))
+    slots = Slots(plan(histogram, capacity))
+    shared = spark.sparkContext.broadcast((slots, before))
     ranked = salted.withColumn(rn, F.row_number().over(Window.partitionBy("length", salt).orderBy("doc_id", "piece", "ids_crc32")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,4 +284,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array([p[0] for p in places], pa.int64()), pa.array([p[1] for p in places], pa.int64())], names=[*(batch.schema.names[i] for i in kept), "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInArrow(run, f"{fields}, sequence_id bigint, offset bigint")
+    packed = ranked.mapInArrow(run, f"{fields}, sequence_id bigint, offset bigint")
+    if not full:
+        return packed
+    whole = pieces.where(F.col("length") == capacity).withColumn("sequence_id", F.monotonically_increasing_id() + slots.sequences).withColumn("offset", F.lit(0).cast("bigint"))
+    return packed.union(whole)
