@@ -13,8 +13,9 @@ are made when first needed and kept in a bounded table.
 Decoding walks the ids once and holds back only the bytes of a UTF-8 character
 that is not yet complete.
 
-Rows: a null text counts as empty and encodes to no tokens. Repeated rows give
-repeated results; other columns of the input are ignored unless asked for.
+Rows: a null text counts as empty and encodes to no tokens. Repeated rows and ids give
+repeated results, a null id a null one; other columns of the input are ignored unless
+asked for, whatever their names.
 """
 
 from __future__ import annotations

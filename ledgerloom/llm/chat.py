@@ -13,8 +13,9 @@ content; ``orphan_result``, a result without a call; ``cycle``, a call that wait
 itself. Only linked and unanswered calls have a position.
 
 Rows: null conversations or identifiers never link; null arguments fail
-validation; a dependency that is not in the conversation is ignored and counted;
-a tool without a schema accepts all arguments that are a JSON object.
+validation; a dependency that is not in the conversation is ignored;
+a tool without a schema accepts all arguments that are a JSON object. Other columns
+of the inputs are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -144,10 +145,15 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
 
     Returns conv_id, call_id, turn, result_turn, status, position, error, json.
     """
-    by = Window.partitionBy("conv_id", "call_id")
-    calls = calls.withColumn("copy", F.row_number().over(by.orderBy("turn", "name", "arguments")))
-    results = results.select("conv_id", "call_id", F.col("turn").alias("result_turn"), "content").withColumn("copy", F.row_number().over(by.orderBy("result_turn", "content")))
     named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+
+    def numbered(rows: DataFrame, *order: str) -> DataFrame:
+        """The rows with ``copy``, from 1 among those of one identifier; rows without one are not gathered."""
+        first = F.row_number().over(Window.partitionBy("conv_id", "call_id").orderBy(*order))
+        return rows.where(named).withColumn("copy", first).union(rows.where(~named).withColumn("copy", F.lit(1)))
+
+    calls = numbered(calls.select("conv_id", "call_id", "turn", "name", "arguments", "depends_on"), "turn", "name", "arguments")
+    results = numbered(results.select("conv_id", "call_id", F.col("turn").alias("result_turn"), "content"), "result_turn", "content")
     own = calls.where((F.col("copy") == 1) | ~named)
     placed = _positions(_waves(own))
     first = results.where((F.col("copy") == 1) & named).drop("copy")
@@ -194,6 +200,6 @@ def link_conversations(conversations: DataFrame) -> DataFrame:
     call_id = lambda turn: F.concat(F.lit("call-"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
     turn = F.col("turn")
     arguments = F.to_json(F.struct(F.col("text").alias("prompt"), turn.alias("turn")), {"ignoreNullFields": "false"})
-    calls = conversations.where(F.col("role") == "user").select("conv_id", "turn", call_id(turn).alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"), F.when(turn >= 2, F.array(call_id(turn - 2))).otherwise(F.array().cast("array<string>")).alias("depends_on"))
+    calls = conversations.where(F.col("role") == "user").select("conv_id", "turn", call_id(turn).alias("call_id"), F.when(F.col("role") == "user", "reply").alias("name"), arguments.alias("arguments"), F.when(turn >= 2, F.array(call_id(turn - 2))).otherwise(F.array().cast("array<string>")).alias("depends_on"))
     results = conversations.where(F.col("role") == "assistant").select("conv_id", "turn", call_id(turn - 1).alias("call_id"), F.col("text").alias("content"))
     return link_calls(calls, results, spark.createDataFrame([("reply", canonical(REPLY_SCHEMA))], "name string, schema string"))

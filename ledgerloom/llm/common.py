@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.session import cut, work_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,25 +25,13 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not folder:
-        folder = context.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
-
-
 def run_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return work_dir(spark, name)
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so a lost executor costs a re-read and not the whole plan."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return cut(df)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
