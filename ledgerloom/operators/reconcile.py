@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import MAX_DEPTH
+from ledgerloom.operators.tree import members
 from ledgerloom.session import cut
 
 PENDING_STATES = ("local_pending", "sending", "waiting_dependency", "delivery_blocked")
@@ -65,3 +66,24 @@ def cancel_by_node(requests: DataFrame, nodes: DataFrame) -> DataFrame:
     hit = own.unionByName(below).distinct()
     outcome = F.when(F.col("state") == "cancelled", "already_cancelled").when(F.col("state") == "cloud_acknowledged", "acknowledged").otherwise("cancelled")
     return hit.select("request_id", outcome.alias("outcome"))
+
+
+def directory_delete(deletes: DataFrame, nodes: DataFrame, events: DataFrame, tasks: DataFrame, requests: DataFrame) -> DataFrame:
+    """(kind, id, action): what finished deletions (node_id, request_id) do to the tables.
+
+    The node itself ends, one that was never there leaves a tombstone; nodes below it stay,
+    without their contents. Events (request_id, event_seq, node_id, target_parent_id) of the subtree other than the deletion
+    lose their bodies, their open tasks (event_seq, state) and pending requests (request_id, effect) are cancelled.
+    """
+    inside = cut(members(nodes, deletes).select("node_id", F.col("root")))
+    there = deletes.select("node_id").distinct().join(nodes.select("node_id", F.lit(True).alias("known")), "node_id", "left")
+    ended = there.select(F.lit("node").alias("kind"), F.col("node_id").alias("id"), F.when(F.col("known"), "deleted").otherwise("tombstone").alias("action"))
+    bodies = nodes.where("kind = 'snapshot'").join(inside, "node_id", "left_semi").select(F.lit("snapshot").alias("kind"), F.col("node_id").alias("id"), F.lit("removed").alias("action"))
+    # A node may lie below two deletions; an event is spared by its own deletion only.
+    by = inside.join(deletes.select(F.col("node_id").alias("root"), F.col("request_id").alias("by")), "root").select("node_id", "by")
+    hit = lambda c: events.join(by.withColumnRenamed("node_id", c), c).where("by <> request_id").select("request_id", "event_seq")
+    hits = cut(hit("node_id").union(hit("target_parent_id")).distinct())
+    redacted = hits.select(F.lit("event").alias("kind"), F.col("request_id").alias("id"), F.lit("redacted").alias("action"))
+    stopped = tasks.where(F.col("state").isin("pending", "queued", "processing")).join(hits, "event_seq", "left_semi").select(F.lit("task").alias("kind"), F.col("task_id").alias("id"), F.lit("cancelled").alias("action"))
+    closed = requests.where("effect = 'pending'").join(hits, "request_id", "left_semi").select(F.lit("request").alias("kind"), F.col("request_id").alias("id"), F.lit("cancelled").alias("action"))
+    return ended.union(bodies).union(redacted).union(stopped).union(closed)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,14 +70,16 @@ def first_scores(scores: DataFrame) -> DataFrame:
 def mastery(scores: DataFrame, weight: float = 0.6) -> DataFrame:
     """Per question the moving average round2(weight x new + (1 - weight) x old) of its scores in order, seeded with the first.
 
+    It is computed in decimals, scores to four digits, so that halves round up wherever it runs.
     A question has one score a day, so its ordered list is bounded by the days.
     """
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "score"))), lambda s: s["score"])
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "score"))), lambda s: s["score"].cast("decimal(18,4)"))
+    new, old = (F.lit(Decimal(str(w))) for w in (weight, round(1 - weight, 10)))
 
     def fold(acc: Column, x: Column) -> Column:
-        return F.when(acc.isNull(), x).otherwise(F.round(F.lit(weight) * x + F.lit(1 - weight) * acc, 2))
+        return F.when(acc.isNull(), x).otherwise(F.round(new * x + old * acc, 2).cast("decimal(18,4)"))
 
-    return scores.groupBy("question").agg(ordered.alias("scores")).select("question", F.aggregate("scores", F.lit(None).cast("double"), fold).alias("mastery"), F.size("scores").alias("n"))
+    return scores.groupBy("question").agg(ordered.alias("scores")).select("question", F.aggregate("scores", F.lit(None).cast("decimal(18,4)"), fold).cast("double").alias("mastery"), F.size("scores").alias("n"))
 
 
 def coverage(questions: DataFrame, tested: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Operators on the tree of nodes (node_id, parent_id, name, kind, lifecycle).
 
-A walk from given roots is a recursive CTE. Closures over the whole tree go level
+A node's chain of ancestors is a recursive CTE, of at most ``MAX_DEPTH`` rows. All else goes level
 by level: one equi-join a level, at most ``MAX_DEPTH`` of them and the root, and no
 row limit.
 """
@@ -18,16 +18,22 @@ def _sql(text: str, **frames: DataFrame) -> DataFrame:
     return next(iter(frames.values())).sparkSession.sql(text, **frames)
 
 
+def members(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node_id, depth) of every root (node_id) that is there and of all below it."""
+    slim = nodes.select("node_id", "parent_id")
+    level = slim.join(roots.select("node_id").distinct(), "node_id", "left_semi").select(F.col("node_id").alias("root"), "node_id", F.lit(0).alias("depth"))
+    out = level
+    for depth in range(1, MAX_DEPTH + 1):
+        level = cut(slim.join(level.select("root", F.col("node_id").alias("parent_id")), "parent_id").select("root", "node_id", F.lit(depth).alias("depth")))
+        if level.isEmpty():
+            break
+        out = out.union(level)
+    return out
+
+
 def subtree(nodes: DataFrame, root: str) -> DataFrame:
     """(node_id, depth) of a node and all below it."""
-    slim = nodes.select("node_id", "parent_id")
-    return _sql(
-        f"""WITH RECURSIVE below(node_id, depth) MAX RECURSION LEVEL {MAX_DEPTH + 1} AS (
-              SELECT node_id, 0 FROM {{slim}} WHERE node_id = '{root.replace("'", "''")}'
-              UNION ALL SELECT n.node_id, b.depth + 1 FROM below b JOIN {{slim}} n ON n.parent_id = b.node_id)
-            SELECT node_id, depth FROM below""",
-        slim=slim,
-    )
+    return members(nodes, nodes.where(F.col("node_id") == root)).select("node_id", "depth")
 
 
 def ancestors_of(nodes: DataFrame, node: str) -> DataFrame:
@@ -81,8 +87,17 @@ def resolve(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def blocked(nodes: DataFrame, gates: DataFrame) -> DataFrame:
     """(node_id, blocked_by, distance): the nearest ancestor-or-self that is gated or not active, of the nodes that have one."""
-    stops = nodes.where(F.col("lifecycle") != "active").select("node_id").union(gates.select("node_id")).distinct().withColumnRenamed("node_id", "ancestor_id")
-    return closure(nodes).join(stops, "ancestor_id").groupBy("node_id").agg(F.min(F.struct("distance", F.col("ancestor_id").alias("id"))).alias("near")).select("node_id", F.col("near.id").alias("blocked_by"), F.col("near.distance").alias("distance"))
+    stops = cut(nodes.where(F.col("lifecycle") != "active").select("node_id").union(gates.select("node_id")).distinct().join(nodes.select("node_id"), "node_id", "left_semi"))
+    free = nodes.select("node_id", "parent_id").join(stops, "node_id", "left_anti")
+    # From the stops down: a node that is none itself has its parent's nearest stop, so each is reached once.
+    level = stops.select("node_id", F.col("node_id").alias("blocked_by"), F.lit(0).alias("distance"))
+    out = level
+    for distance in range(1, MAX_DEPTH + 1):
+        level = cut(free.join(level.select(F.col("node_id").alias("parent_id"), "blocked_by"), "parent_id").select("node_id", "blocked_by", F.lit(distance).alias("distance")))
+        if level.isEmpty():
+            break
+        out = out.union(level)
+    return out
 
 
 def move_cycles(nodes: DataFrame, moves: DataFrame) -> DataFrame:

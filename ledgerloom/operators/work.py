@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import datetime, timedelta
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,23 +15,30 @@ from ledgerloom.session import cut
 DEPENDENCY_LIMIT = 32
 
 
-def dependency_states(dependencies: DataFrame, effects: DataFrame, cycles: DataFrame | None = None) -> DataFrame:
-    """(request_id, dependency): the first dependency, by position, that is not ready decides; a cycle comes before all."""
-    known = effects.select(F.col("request_id").alias("depends_on"), "effect", "target_deleted", "superseded_by", F.lit(True).alias("found"))
+def dependency_states(dependencies: DataFrame, effects: DataFrame, cycles: DataFrame | None = None, epoch: str | None = None) -> DataFrame:
+    """(request_id, dependency): the first dependency, by position, that is not ready decides; a cycle comes before all.
+
+    With an ``epoch``, dependencies and effects have a workspace_epoch: a request of another epoch
+    is told before all else, a dependency of another one than its request's when its turn comes.
+    """
+    known = effects.select(F.col("request_id").alias("depends_on"), "effect", "target_deleted", "superseded_by", F.lit(True).alias("found"), (F.col("workspace_epoch") if epoch else F.lit(None).cast("string")).alias("its_epoch"))
     gone = (F.col("effect") == "cancelled") | F.col("target_deleted")
+    own = F.col("workspace_epoch") if epoch else F.lit(None).cast("string")
     code = (
         F.when(F.col("found").isNull(), "dependency_missing")
+        .when(F.col("its_epoch") != own, "dependency_epoch_mismatch")
         .when(F.col("effect") == "conflict", "dependency_replan_required")
         .when(F.col("effect") == "needs_attention", "dependency_blocked")
         .when(gone & F.col("superseded_by").isNotNull(), "dependency_superseded")
         .when(gone, "dependency_cancelled")
         .when(~F.col("effect").isin("applied", "applied_noop"), "dependency_pending")
     )
-    each = dependencies.join(known, "depends_on", "left").select("request_id", "pos", code.alias("code"))
-    first = each.groupBy("request_id").agg(F.min(F.when(F.col("code").isNotNull(), F.struct("pos", "code"))).alias("bad")).select("request_id", F.coalesce("bad.code", F.lit("ready")).alias("dependency"))
+    each = dependencies.join(known, "depends_on", "left").select("request_id", "pos", code.alias("code"), (own != F.lit(epoch)).alias("foreign"))
+    first = each.groupBy("request_id").agg(F.min(F.when(F.col("code").isNotNull(), F.struct("pos", "code"))).alias("bad"), F.max("foreign").alias("foreign"))
+    foreign = F.when(F.col("foreign"), "workspace_epoch_mismatch")
     if cycles is None:
-        return first
-    return first.join(cycles.select("request_id", F.lit("dependency_cycle").alias("c")), "request_id", "left").select("request_id", F.coalesce("c", "dependency").alias("dependency"))
+        return first.select("request_id", F.coalesce(foreign, "bad.code", F.lit("ready")).alias("dependency"))
+    return first.join(cycles.select("request_id", F.lit("dependency_cycle").alias("c")), "request_id", "left").select("request_id", F.coalesce(foreign, "c", "bad.code", F.lit("ready")).alias("dependency"))
 
 
 def dependency_cycles(dependencies: DataFrame, limit: int = DEPENDENCY_LIMIT) -> DataFrame:
@@ -73,11 +84,16 @@ def due(tasks: DataFrame, now: Column) -> DataFrame:
 
 
 def claimable(tasks: DataFrame, states: DataFrame, now: Column) -> DataFrame:
-    """Due tasks in order whose dependencies are ready and whose node has no earlier open task."""
+    """The due tasks, all and in no order, whose dependencies are ready and whose node has no earlier open task."""
     ready = due(tasks, now).join(predecessors(tasks).where("NOT blocked"), "task_id").join(states, "request_id", "left").where(F.coalesce("dependency", F.lit("ready")) == "ready")
     return ready.select("task_id", "event_seq", "node_id", "state")
 
 
+def next_task(tasks: DataFrame, states: DataFrame, now: Column) -> DataFrame:
+    """The claimable task of least sequence, if there is one."""
+    return claimable(tasks, states, now).orderBy("event_seq").limit(1)
+
+
 def claim(tasks: DataFrame, now: Column, owner: str) -> DataFrame:
     """The tasks after a claim of all that are given: processing, epoch and lease renewed."""
     return tasks.withColumns({"state": F.lit("processing"), "lease_owner": F.lit(owner), "lease_epoch": F.col("lease_epoch") + 1, "lease_until": add_seconds(now, LEASE_SECONDS)})
@@ -100,46 +116,78 @@ def released(tasks: DataFrame, handoffs: DataFrame, now: Column) -> DataFrame:
     return tasks.where("state = 'queued'").join(handoffs, ["task_id", "lease_epoch"], "left_semi").withColumns({"state": F.lit("pending"), "available_at": now})
 
 
-def retried(tasks: DataFrame, effects: DataFrame, ids: DataFrame) -> DataFrame:
-    """Tasks put back by hand: both task and request must need attention."""
+def retried(tasks: DataFrame, effects: DataFrame, ids: DataFrame, now: Column, reason: str = "admin_retry") -> DataFrame:
+    """Tasks put back by hand, as they are then: both task and request must need attention. Their requests' effect is pending again.
+
+    The lease's epoch goes up, so that who held the task before can write no more.
+    """
     parked = effects.where("effect = 'needs_attention'").select("request_id")
-    return tasks.where("state = 'needs_attention'").join(ids, "task_id", "left_semi").join(parked, "request_id", "left_semi").withColumns({"state": F.lit("pending"), "failure_count": F.lit(0)})
+    again = tasks.where("state = 'needs_attention'").join(ids, "task_id", "left_semi").join(parked, "request_id", "left_semi")
+    return again.withColumns({"state": F.lit("pending"), "failure_count": F.lit(0), "lease_owner": F.lit(None).cast("string"), "lease_until": F.lit(None).cast("timestamp_ntz"), "lease_epoch": F.col("lease_epoch") + 1, "available_at": now, "last_error": F.lit(reason[:500]), "effect": F.lit("pending")})
+
+
+def refused_retries(tasks: DataFrame, effects: DataFrame, ids: DataFrame) -> DataFrame:
+    """The wanted retries (task_id) that may not be: no such task, or task or request needs no attention."""
+    good = tasks.where("state = 'needs_attention'").join(effects.where("effect = 'needs_attention'").select("request_id"), "request_id", "left_semi").select("task_id")
+    return ids.join(good, "task_id", "left_anti").select("task_id", F.lit("task_not_retryable").alias("code"))
+
+
+def next_outbox(state: tuple, at: datetime, step: str, code: str) -> tuple:
+    """(state, attempts, available_at, lease_until, rejected) of an outbox entry after one step; a step that does not fit is rejected."""
+    name, n, available, lease, rejected = state
+    # The transitions' names.
+    if step == "enqueue" and name == "none":
+        return "delivery_blocked" if code == "target_binding_unresolved" else "local_pending", n, at, None, rejected
+    if step == "claim" and name == "local_pending" and available <= at:
+        return "sending", n + 1, available, at + timedelta(seconds=CLIENT_LEASE_SECONDS), rejected
+    if step == "acknowledge" and name == "sending" and lease >= at:
+        return "cloud_acknowledged", n, available, None, rejected
+    if step == "wait" and name == "sending":
+        return "waiting_dependency", max(n - 1, 0), available, None, rejected
+    if step == "release" and name == "waiting_dependency":
+        return "local_pending", n, at, None, rejected
+    if step == "fail" and name == "sending":
+        if code in PERMANENT_CODES or n >= MAX_FAILURES:
+            return "delivery_blocked", n, available, None, rejected
+        return "local_pending", n, at + timedelta(seconds=BACKOFF_SECONDS[min(max(n, 1), len(BACKOFF_SECONDS)) - 1]), None, rejected
+    if step == "recover" and name == "sending" and lease < at:
+        return "local_pending", n, at, None, rejected
+    if step == "cancel" and name != "none":
+        return "cancelled", n, available, None, rejected
+    return name, n, available, lease, rejected + 1
+
+
+def _outbox_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Steps in order of request and sequence to one row a request; state passes from frame to frame."""
+    columns = ["request_id", "state", "attempts", "available_at", "rejected"]
+    row = lambda: (request, *state[:3], state[4])
+    request, state = None, None
+    for frame in frames:
+        out = []
+        for r in frame.itertuples(index=False):
+            if r.request_id != request or state is None:
+                if state is not None:
+                    out.append(row())
+                request, state = r.request_id, ("none", 0, None, None, 0)
+            state = next_outbox(state, r.at.to_pydatetime(), r.step, r.code)
+        yield pd.DataFrame(out, columns=columns)
+    if state is not None:
+        yield pd.DataFrame([row()], columns=columns)
 
 
 def fold_outbox(steps: DataFrame) -> DataFrame:
     """The outbox after its steps (request_id, seq, at, step, code): state, attempts and when it is due.
 
-    Steps that do not fit the state change nothing and are counted as ``rejected``.
-    A request's steps are few (attempts are bounded), so its ordered list is folded in one expression.
+    Steps that do not fit the state change nothing and are counted as ``rejected``. Requests are folded as a
+    stream of sorted rows: how many steps one has does not matter.
     """
-    # The transitions' names.
-    order = F.array_sort(F.collect_list(F.struct("seq", "at", "step", "code")))
-    start = F.struct(F.lit("none").alias("state"), F.lit(0).alias("attempts"), F.lit(None).cast("timestamp").alias("available_at"), F.lit(None).cast("timestamp").alias("lease_until"), F.lit(0).alias("rejected"))
-
-    def step(acc: Column, s: Column) -> Column:
-        state, n, at = acc["state"], acc["attempts"], s["at"].cast("timestamp")
-        null = F.lit(None).cast("timestamp")
-        live = (state == "sending") & (acc["lease_until"] >= at)
-
-        def to(name: str | Column, attempts: Column = n, available: Column = acc["available_at"], lease: Column = null) -> Column:
-            name = F.lit(name) if isinstance(name, str) else name
-            return F.struct(name.alias("state"), attempts.alias("attempts"), available.alias("available_at"), lease.alias("lease_until"), acc["rejected"].alias("rejected"))
-
-        parked = s["code"].isin(*PERMANENT_CODES) | (n >= MAX_FAILURES)
-        kind = s["step"]
-        return (
-            F.when((kind == "enqueue") & (state == "none"), to(F.when(s["code"] == "target_binding_unresolved", "delivery_blocked").otherwise("local_pending"), available=at))
-            .when((kind == "claim") & (state == "local_pending") & (acc["available_at"] <= at), to("sending", n + 1, lease=add_seconds(at, CLIENT_LEASE_SECONDS)))
-            .when((kind == "acknowledge") & live, to("cloud_acknowledged"))
-            .when((kind == "wait") & (state == "sending"), to("waiting_dependency", F.greatest(n - 1, F.lit(0))))
-            .when((kind == "release") & (state == "waiting_dependency"), to("local_pending", available=at))
-            .when((kind == "fail") & (state == "sending"), to(F.when(parked, "delivery_blocked").otherwise("local_pending"), available=F.when(parked, acc["available_at"]).otherwise(add_seconds(at, F.coalesce(backoff(n), F.lit(BACKOFF_SECONDS[-1]))))))
-            .when((kind == "recover") & (state == "sending") & (acc["lease_until"] < at), to("local_pending", available=at))
-            .when((kind == "cancel") & (state != "none"), to("cancelled"))
-            .otherwise(F.struct(state.alias("state"), n.alias("attempts"), acc["available_at"].alias("available_at"), acc["lease_until"].alias("lease_until"), (acc["rejected"] + 1).alias("rejected")))
-        )
-
-    return steps.groupBy("request_id").agg(order.alias("steps")).select("request_id", F.aggregate("steps", start, step).alias("o")).select("request_id", "o.state", "o.attempts", "o.available_at", "o.rejected")
+    rows = steps.where("request_id IS NOT NULL").select("request_id", "seq", F.col("at").cast("timestamp_ntz").alias("at"), "step", "code")
+    return rows.repartition("request_id").sortWithinPartitions("request_id", "seq").mapInPandas(_outbox_rows, "request_id string, state string, attempts int, available_at timestamp_ntz, rejected int")
+
+
+def due_outbox(outbox: DataFrame, now: Column, limit: int) -> DataFrame:
+    """The first entries to be sent: pending ones whose time has come, the longest waiting first."""
+    return outbox.where((F.col("state") == "local_pending") & (F.col("available_at") <= now)).orderBy("available_at", "request_id").limit(limit)
 
 
 def expired(outbox: DataFrame, now: Column) -> DataFrame:
@@ -150,8 +198,9 @@ def expired(outbox: DataFrame, now: Column) -> DataFrame:
 
 
 def stale_leases(guards: DataFrame, tasks: DataFrame, now: Column) -> DataFrame:
-    held = tasks.where((F.col("state") == "processing") & (F.col("lease_until") > now)).select("task_id")
-    return guards.join(held, "task_id", "left_anti").select("task_id", F.lit("stale_task_write").alias("code"))
+    """Guards (task_id, owner, expected_epoch) whose task is not held by this owner in this epoch until after now."""
+    held = tasks.where((F.col("state") == "processing") & (F.col("lease_until") > now)).select("task_id", F.col("lease_owner").alias("owner"), F.col("lease_epoch").alias("expected_epoch"))
+    return guards.join(held, ["task_id", "owner", "expected_epoch"], "left_anti").select("task_id", F.lit("stale_task_write").alias("code"))
 
 
 def stale_catalog(guards: DataFrame, meta: DataFrame) -> DataFrame:

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import EPOCH, MAX_CHANGES, MAX_REQUEST_BYTES, REQUEST_ID, derived_id, name_problem, path_problem
+from ledgerloom.operators.tree import blocked, closure, move_cycles
+from ledgerloom.session import cut
 
 # The operations.
 READS = ("capabilities", "directory.list", "directory.resolve", "snapshot.read", "snapshot.query", "snapshot.history", "request.status", "conflict.list", "task.status", "deletion.manifest")
 WRITES = ("directory.create", "directory.rename", "directory.move", "directory.delete", "snapshot.create", "snapshot.patch", "snapshot.delete", "conflict.resolve", "task.retry")
+PROJECTED = tuple(o for o in WRITES if o != "task.retry")
 MAX_DEPENDENCIES = 32
 MAX_REPLACES = 8
 
@@ -53,20 +56,24 @@ def envelope_code(protocol: str, version: int) -> Column:
     )
 
 
-def target_codes(requests: DataFrame, nodes: DataFrame, blocked: DataFrame) -> DataFrame:
+def target_codes(requests: DataFrame, nodes: DataFrame, stopped: DataFrame) -> DataFrame:
     """Requests (request_id, operation, node_id, parent_id, name) with the ``code`` that refuses them against the tree, or null.
 
-    ``blocked`` has the nodes under a gate or a node that is not active.
+    ``stopped`` has the nodes under a gate or a node that is not active, with the ``distance`` to it.
     """
     state = nodes.select(F.col("node_id"), F.col("kind").alias("node_kind"), F.col("lifecycle").alias("node_state"), F.col("parent_id").alias("node_parent"))
     parent = nodes.select(F.col("node_id").alias("parent_id"), F.col("kind").alias("parent_kind"), F.col("lifecycle").alias("parent_state"))
-    stop = blocked.select("node_id", F.lit(True).alias("node_blocked"))
-    parent_stop = blocked.select(F.col("node_id").alias("parent_id"), F.lit(True).alias("parent_blocked"))
+    stop = stopped.select("node_id", F.lit(True).alias("node_blocked"))
+    parent_stop = stopped.select(F.col("node_id").alias("parent_id"), F.lit(True).alias("parent_blocked"), (F.col("distance") == 0).alias("parent_gated"))
+    moves = requests.where("operation = 'directory.move'").select("node_id", F.col("parent_id").alias("new_parent_id")).distinct()
+    loops = move_cycles(nodes, moves).where("cycle").select("node_id", F.col("new_parent_id").alias("parent_id"), F.lit(True).alias("loops"))
     held = nodes.where("lifecycle <> 'deleted'").groupBy(F.coalesce("parent_id", F.lit("")).alias("held_parent"), F.col("name").alias("held_name")).agg(F.min("node_id").alias("holder"), F.count("*").alias("holders"))
-    wide = requests.join(state, "node_id", "left").join(parent, "parent_id", "left").join(stop, "node_id", "left").join(parent_stop, "parent_id", "left")
+    wide = requests.join(state, "node_id", "left").join(parent, "parent_id", "left").join(stop, "node_id", "left").join(parent_stop, "parent_id", "left").join(loops, ["node_id", "parent_id"], "left")
     op = F.col("operation")
     under = F.when(op == "directory.rename", F.col("node_parent")).otherwise(F.col("parent_id"))
-    wide = wide.withColumn("under", F.coalesce(under, F.lit(""))).join(held, (F.col("under") == F.col("held_parent")) & (F.col("name") == F.col("held_name")), "left")
+    moved = nodes.select(F.col("node_id"), F.col("name").alias("own_name"))
+    wide = wide.join(moved, "node_id", "left").withColumn("wanted", F.when(op == "directory.move", F.col("own_name")).otherwise(F.col("name")))
+    wide = wide.withColumn("under", F.coalesce(under, F.lit(""))).join(held, (F.col("under") == F.col("held_parent")) & (F.col("wanted") == F.col("held_name")), "left")
     creates = op.isin("directory.create", "snapshot.create")
     snapshot_op = op.isin("snapshot.patch", "snapshot.delete", "conflict.resolve")
     taken = F.col("holder").isNotNull() & ~(F.col("holder").eqNullSafe(F.col("node_id")) & (F.col("holders") == 1))
@@ -75,15 +82,20 @@ def target_codes(requests: DataFrame, nodes: DataFrame, blocked: DataFrame) -> D
         .when(creates & ((F.col("parent_state") != "active") | F.coalesce("parent_blocked", F.lit(False))), "target_deleted")
         .when(creates & (F.col("parent_kind") == "snapshot"), "invalid_target")
         .when(creates & (op == "snapshot.create") & F.col("parent_id").isNull(), "invalid_target")
+        .when(creates & taken, "name_conflict")
+        .when(creates & (F.col("node_state") == "deleted"), "target_deleted")
         .when(creates & F.col("node_state").isNotNull(), "target_exists")
         .when(~creates & F.col("node_state").isNull() & (op != "directory.delete"), "target_not_found")
         .when(~creates & ((F.col("node_state") != "active") | F.coalesce("node_blocked", F.lit(False))), "target_deleted")
         .when(snapshot_op & (F.col("node_kind") != "snapshot"), "invalid_target")
         .when(op.startswith("directory.") & ~creates & (F.col("node_kind") == "snapshot"), "invalid_target")
         .when((op == "directory.move") & (F.col("node_kind") == "domain"), "invalid_target")
-        .when((op == "directory.move") & F.col("parent_state").isNull(), "target_not_found")
-        .when((op == "directory.move") & ((F.col("parent_state") != "active") | F.coalesce("parent_blocked", F.lit(False))), "target_deleted")
-        .when((creates | op.isin("directory.rename", "directory.move")) & taken, "name_conflict")
+        .when((op == "directory.move") & F.col("node_id").eqNullSafe(F.col("parent_id")), "invalid_target")
+        .when((op == "directory.move") & F.col("parent_id").isNotNull() & ~(F.col("parent_state").eqNullSafe("active")), "target_not_found")
+        .when((op == "directory.move") & (F.col("parent_kind") == "snapshot"), "invalid_target")
+        .when((op == "directory.move") & F.col("parent_gated"), "target_deleted")
+        .when((op == "directory.move") & F.col("loops"), "invalid_target")
+        .when(op.isin("directory.rename", "directory.move") & taken, "name_conflict")
     )
     return wide.select(*requests.columns, code.alias("code"))
 
@@ -98,3 +110,100 @@ def replacements(requests: DataFrame, effects: DataFrame) -> DataFrame:
 def enqueue(accepted: DataFrame) -> DataFrame:
     """The event and task of every accepted request."""
     return accepted.select("request_id", derived_id("evt", F.col("request_id")).alias("event_id"), derived_id("tsk", F.col("request_id")).alias("task_id"), F.lit("pending").alias("state"), F.lit("d1_committed").alias("accepted"))
+
+
+def accept_batch(batch: DataFrame, nodes: DataFrame, gates: DataFrame, requests: DataFrame, epoch: str, protocol: str, version: int) -> DataFrame:
+    """Every arrival of a batch as it fares in order of ``event_seq``: (event_seq, request_id, answer, code, node_id).
+
+    ``batch`` has envelopes with event_seq and content_hash, targets by id; ``requests`` are those
+    accepted before (request_id, content_hash, workspace_epoch, operation, node_id, effect). The
+    answer is ``accepted``, ``replay`` or ``rejected`` with a code.
+
+    What an arrival meets of its own batch is always earlier: the same request id, a
+    dependency, a create of its parent or node that is still pending, a deletion above it, a request
+    that it replaces. So the answers are settled round by round until none changes; a
+    round is a few equi-joins, and there are as many as the longest chain of arrivals that hang on each other.
+    """
+    c = F.col
+    creates = c("operation").isin("directory.create", "snapshot.create")
+    rows = batch.select(
+        "event_seq", "content_hash", c("requestId").alias("request_id"), "operation", c("workspaceEpoch").alias("epoch"), "dependsOn", "replaces", "baseRevision",
+        F.coalesce(c("target.nodeId"), F.when(creates, derived_id("node", c("requestId")))).alias("node_id"), c("target.parentId").alias("parent_id"), c("target.name").alias("name"), c("target.kind").alias("kind"), envelope_code(protocol, version).alias("malformed"),
+    )
+    known = requests.select("request_id", c("content_hash").alias("known_hash"))
+    held = cut(nodes.select("node_id").union(rows.select("node_id")).union(rows.select("parent_id")).where("node_id IS NOT NULL").distinct())
+    stops = blocked(nodes, gates)
+    coded = target_codes(rows.select("event_seq", "operation", "node_id", "parent_id", "name"), nodes, stops).select("event_seq", c("code").alias("target_code"))
+    missing_parent = nodes.select(c("node_id").alias("parent_id"), F.lit(True).alias("parent_known"))
+    domain = c("parent_id").isNull()
+    kind = F.coalesce("kind", F.when(c("operation") == "snapshot.create", "snapshot").when(domain, "domain").otherwise("directory"))
+    shape = (
+        F.when(creates & c("name").isNull(), "invalid_name")
+        .when(creates & (((kind == "domain") & ~domain) | ((kind != "domain") & domain) | ~kind.isin("domain", "directory", "snapshot")), "invalid_target")
+        .when((c("operation") == "directory.rename") & c("name").isNull(), "invalid_target")
+        .when((c("operation") == "snapshot.patch") & c("baseRevision").isNull(), "invalid_base_revision")
+    )
+    first = F.when(c("malformed").isNotNull(), c("malformed")).when(~c("operation").isin(*PROJECTED), "unsupported_operation").when(c("epoch") != epoch, "workspace_epoch_mismatch")
+    base = rows.join(known, "request_id", "left").join(coded, "event_seq").join(missing_parent, "parent_id", "left").join(nodes.select("node_id", c("lifecycle").alias("node_known")), "node_id", "left")
+    base = cut(base.withColumns({"first": first, "shape": shape}))
+    above = cut(closure(nodes, held).select("node_id", "ancestor_id"))
+    old = requests.select(c("request_id").alias("other"), c("workspace_epoch").alias("other_epoch"), "operation", "node_id", "effect", F.lit(-1).cast("bigint").alias("other_seq"))
+    accepted = cut(base.where(c("first").isNull()).select("event_seq", "request_id"))
+    while True:
+        own = base.join(accepted.select("event_seq"), "event_seq", "left_semi")
+        there = old.union(own.select(c("request_id").alias("other"), c("epoch").alias("other_epoch"), "operation", "node_id", F.lit("pending").alias("effect"), c("event_seq").alias("other_seq")))
+        there = cut(there)
+        settled = cut(_settle(base, own, there, above, epoch))
+        now = settled.where("answer = 'accepted'").select("event_seq", "request_id")
+        if now.exceptAll(accepted).isEmpty() and accepted.exceptAll(now).isEmpty():
+            return settled
+        accepted = cut(now)
+
+
+def _settle(base: DataFrame, own: DataFrame, there: DataFrame, above: DataFrame, epoch: str) -> DataFrame:
+    """One round of ``accept_batch``: the answers, given which arrivals (``own``) and older requests are ``there``."""
+    c = F.col
+    seq = c("other_seq") < c("event_seq")
+    creates = c("operation").isin("directory.create", "snapshot.create")
+    twin = own.groupBy("request_id").agg(F.min_by("content_hash", "event_seq").alias("twin_hash"), F.min("event_seq").alias("twin_seq"))
+    deps = base.select("event_seq", c("request_id").alias("self"), F.posexplode("dependsOn").alias("pos", "other"))
+    deps = deps.join(there.select("other", "other_epoch", "other_seq"), "other", "left")
+    bad = F.when(~F.coalesce(c("other_seq") < c("event_seq"), F.lit(False)), F.when(c("other") == c("self"), "dependency_cycle").otherwise("dependency_missing")).when(c("other_epoch") != epoch, "dependency_epoch_mismatch")
+    # Of several rows of one dependency a good one counts.
+    each = deps.groupBy("event_seq", "pos").agg(F.min(F.struct(bad.isNotNull().alias("is_bad"), bad.alias("code"))).alias("d"))
+    deps = each.where("d.is_bad").groupBy("event_seq").agg(F.min(F.struct("pos", "d.code")).alias("d")).select("event_seq", c("d.code").alias("dependency_code"))
+    pending = there.where("effect = 'pending'").select("other", "operation", "node_id", "other_seq")
+    first = lambda rows, key, name: rows.groupBy(key).agg(F.min("other_seq").alias(name))
+    made = pending.where(creates)
+    parents = first(made.withColumnRenamed("node_id", "parent_id"), "parent_id", "parent_seq")
+    taken = first(pending, "node_id", "taken_seq")
+    removed = first(pending.where("operation = 'directory.delete'"), "node_id", "delete_seq")
+    # A deletion blocks its node and all below it; one of a node that was never there blocks that name.
+    gates = above.join(removed.withColumnRenamed("node_id", "ancestor_id"), "ancestor_id").select("node_id", "delete_seq").union(removed.select("node_id", "delete_seq")).groupBy("node_id").agg(F.min("delete_seq").alias("gate_seq"))
+    old = base.select("event_seq", F.explode("replaces").alias("other")).join(there.select("other", "other_epoch", c("operation").alias("other_operation"), "effect", "other_seq"), "other", "left")
+    gone = ~F.coalesce(seq & (c("other_epoch") == epoch), F.lit(False))
+    fixed = (c("effect") != "pending") | c("other_operation").isin("directory.delete", "conflict.resolve", "task.retry")
+    old = old.groupBy("event_seq").agg(F.min(F.when(gone, "replace_target_not_found").when(fixed, "replace_target_not_allowed")).alias("replace_code"))
+    wide = base.join(twin, "request_id", "left").join(deps, "event_seq", "left").join(parents, "parent_id", "left").join(taken, "node_id", "left").join(removed, "node_id", "left")
+    wide = wide.join(gates, "node_id", "left").join(gates.select(c("node_id").alias("parent_id"), c("gate_seq").alias("parent_gate_seq")), "parent_id", "left").join(old, "event_seq", "left")
+    before = lambda name: F.coalesce(c(name) < c("event_seq"), F.lit(False))
+    provisional = creates & c("parent_known").isNull() & (c("target_code") == "target_not_found") & before("parent_seq")
+    # The target's code stops at the parent; what else could be wrong is the node's own id.
+    target = F.when(~provisional, c("target_code")).when(c("node_known") == "deleted", "target_deleted").when(c("node_known").isNotNull(), "target_exists")
+    code = (
+        c("first"),
+        F.when(c("known_hash").isNotNull(), F.when(c("known_hash") == c("content_hash"), "replay").otherwise("request_id_conflict")),
+        F.when(before("twin_seq"), F.when(c("twin_hash") == c("content_hash"), "replay").otherwise("request_id_conflict")),
+        c("dependency_code"),
+        c("shape"),
+        F.when(creates & before("parent_gate_seq"), "target_deleted"),
+        F.when(~creates & before("gate_seq"), "target_deleted"),
+        target,
+        F.when((c("operation") == "directory.move") & before("parent_gate_seq"), "target_not_found"),
+        F.when(creates & c("node_known").isNull() & before("delete_seq"), "target_deleted"),
+        F.when(creates & before("taken_seq"), "target_exists"),
+        c("replace_code"),
+    )
+    told = F.coalesce(*code)
+    answer = F.when(told.isNull(), "accepted").when(told == "replay", "replay").otherwise("rejected")
+    return wide.select("event_seq", "request_id", answer.alias("answer"), F.when(told != "replay", told).alias("code"), "node_id")

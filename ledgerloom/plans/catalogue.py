@@ -250,10 +250,37 @@ def backoff_schedule(spark: SparkSession, d: str) -> DataFrame:
     return work.after_failure(views.tasks(spark, d), _now())
 
 
-@query(with_views("ledger", "tasks", "effects") + " SELECT t.task_id, t.event_seq FROM tasks t JOIN effects e ON e.request_id = t.request_id WHERE t.state = 'needs_attention' AND e.effect = 'needs_attention' AND t.event_seq % 2 = 0")
+@query(with_views("ledger", "tasks", "effects") + f""" SELECT t.task_id, t.event_seq, t.request_id, t.node_id, 'pending' AS state, CAST(0 AS INTEGER) AS failure_count, TIMESTAMP '{NOW}' AS available_at, CAST(NULL AS TIMESTAMP) AS lease_until, CAST(NULL AS VARCHAR) AS lease_owner, t.lease_epoch + 1 AS lease_epoch, 'by hand' AS last_error, 'pending' AS effect
+FROM tasks t JOIN effects e ON e.request_id = t.request_id WHERE t.state = 'needs_attention' AND e.effect = 'needs_attention' AND t.event_seq % 2 = 0""")
 def task_retry(spark: SparkSession, d: str) -> DataFrame:
     tasks = views.tasks(spark, d)
-    return work.retried(tasks, views.effects(spark, d), tasks.where("event_seq % 2 = 0").select("task_id")).select("task_id", "event_seq")
+    return work.retried(tasks, views.effects(spark, d), tasks.where("event_seq % 2 = 0").select("task_id"), _now(), "by hand")
+
+
+@query(with_views("ledger", "tasks", "effects") + """ SELECT w.task_id, 'task_not_retryable' AS code FROM (SELECT task_id FROM tasks WHERE event_seq % 3 = 0 UNION ALL SELECT 'tsk-unknown') w
+WHERE (SELECT count(*) FROM tasks t JOIN effects e ON e.request_id = t.request_id WHERE t.task_id = w.task_id AND t.state = 'needs_attention' AND e.effect = 'needs_attention') <> 1""")
+def retry_guard(spark: SparkSession, d: str) -> DataFrame:
+    tasks = views.tasks(spark, d)
+    unknown = tasks.sparkSession.createDataFrame([("tsk-unknown",)], "task_id string")
+    return work.refused_retries(tasks, views.effects(spark, d), tasks.where("event_seq % 3 = 0").select("task_id").union(unknown))
+
+
+@query(with_views("ledger", "effects", "dependencies") + """, own AS (SELECT d.*, 'e' || (event_seq % 7 // 6) AS epoch FROM dependencies d), eff AS (SELECT *, CASE WHEN event_seq % 5 > 0 THEN 'e' || (event_seq % 3 // 2) END AS its_epoch FROM effects)
+SELECT d.request_id, CASE WHEN d.epoch <> 'e0' THEN 'workspace_epoch_mismatch' WHEN e.request_id IS NULL THEN 'dependency_missing' WHEN e.its_epoch <> d.epoch THEN 'dependency_epoch_mismatch' WHEN e.effect = 'conflict' THEN 'dependency_replan_required'
+  WHEN e.effect = 'needs_attention' THEN 'dependency_blocked' WHEN (e.effect = 'cancelled' OR e.target_deleted) AND e.superseded_by IS NOT NULL THEN 'dependency_superseded' WHEN e.effect = 'cancelled' OR e.target_deleted THEN 'dependency_cancelled'
+  WHEN e.effect NOT IN ('applied', 'applied_noop') THEN 'dependency_pending' ELSE 'ready' END AS dependency FROM own d LEFT JOIN eff e ON e.request_id = d.depends_on""")
+def dependency_epochs(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_seq")
+    own = views.dependencies(spark, d).withColumn("workspace_epoch", F.concat(F.lit("e"), F.floor(k % 7 / 6)))
+    effects = views.effects(spark, d).withColumn("workspace_epoch", F.when(k % 5 > 0, F.concat(F.lit("e"), F.floor(k % 3 / 2))))
+    return work.dependency_states(own, effects, epoch="e0")
+
+
+@query(with_views("ledger", "tasks", "effects", "dependencies") + ",\n" + _DEPENDENCY + f""", {_DUE}
+SELECT t.task_id, t.event_seq, t.node_id, t.state FROM due t LEFT JOIN states s ON s.request_id = t.request_id
+WHERE coalesce(s.dependency, 'ready') = 'ready' AND NOT EXISTS (SELECT 1 FROM tasks p WHERE p.node_id = t.node_id AND p.event_seq < t.event_seq AND p.state NOT IN ('completed', 'cancelled')) ORDER BY t.event_seq LIMIT 1""")
+def claim_next(spark: SparkSession, d: str) -> DataFrame:
+    return work.next_task(views.tasks(spark, d), _states(spark, d), _now())
 
 
 _HASHES = "arrivals AS (SELECT event_id AS event_seq, 'req-' || (event_id % 4000) AS request_id, sha256(CASE WHEN event_id % 7 = 0 THEN props ELSE CAST(event_id % 4000 AS VARCHAR) END) AS content_hash FROM events)"
@@ -277,12 +304,12 @@ def request_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 # --- guards ---------------------------------------------------------------------
 
-_GUARDS = "guards AS (SELECT 'tsk-req-' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 8, '0') AS task_id, 'o' || o_orderkey AS expected_node_id, CASE WHEN o_orderkey % 5 = 0 THEN 'directory.delete' ELSE 'snapshot.patch' END AS operation, CAST(o_orderkey % 3 AS BIGINT) AS expected_snapshot_revision FROM orders)"
+_GUARDS = "guards AS (SELECT 'tsk-req-' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 8, '0') AS task_id, 'o' || o_orderkey AS expected_node_id, CASE WHEN o_orderkey % 5 = 0 THEN 'directory.delete' ELSE 'snapshot.patch' END AS operation, CAST(o_orderkey % 3 AS BIGINT) AS expected_snapshot_revision, 'w' || (o_orderkey % 10000 + 1) % 3 AS owner, CASE WHEN o_orderkey % 5 = 1 THEN 9 ELSE (o_orderkey % 10000 + 1) % 4 END AS expected_epoch FROM orders)"
 
 
 def _guards(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    return tables.table(spark, d, "orders").select(F.concat(F.lit("tsk-req-"), F.lpad((k % 10000).cast("string"), 8, "0")).alias("task_id"), F.concat(F.lit("o"), k).alias("expected_node_id"), F.when(k % 5 == 0, "directory.delete").otherwise("snapshot.patch").alias("operation"), (k % 3).alias("expected_snapshot_revision"))
+    return tables.table(spark, d, "orders").select(F.concat(F.lit("tsk-req-"), F.lpad((k % 10000).cast("string"), 8, "0")).alias("task_id"), F.concat(F.lit("o"), k).alias("expected_node_id"), F.when(k % 5 == 0, "directory.delete").otherwise("snapshot.patch").alias("operation"), (k % 3).alias("expected_snapshot_revision"), F.concat(F.lit("w"), (k % 10000 + 1) % 3).alias("owner"), F.when(k % 5 == 1, 9).otherwise((k % 10000 + 1) % 4).alias("expected_epoch"))
 
 
 @query(with_views("nodes", "gates") + " SELECT n.node_id, n.name FROM nodes n WHERE EXISTS (SELECT 1 FROM gates g WHERE g.node_id = n.parent_id)")
@@ -290,7 +317,7 @@ def gate_semi(spark: SparkSession, d: str) -> DataFrame:
     return views.nodes(spark, d).join(views.gates(spark, d).withColumnRenamed("node_id", "parent_id"), "parent_id", "left_semi").select("node_id", "name")
 
 
-@query(with_views("ledger", "tasks") + f", {_GUARDS} SELECT g.task_id, 'stale_task_write' AS code FROM guards g WHERE NOT EXISTS (SELECT 1 FROM tasks t WHERE t.task_id = g.task_id AND t.state = 'processing' AND t.lease_until > TIMESTAMP '{NOW}')")
+@query(with_views("ledger", "tasks") + f", {_GUARDS} SELECT g.task_id, 'stale_task_write' AS code FROM guards g WHERE NOT EXISTS (SELECT 1 FROM tasks t WHERE t.task_id = g.task_id AND t.state = 'processing' AND t.lease_owner = g.owner AND t.lease_epoch = g.expected_epoch AND t.lease_until > TIMESTAMP '{NOW}')")
 def lease_anti(spark: SparkSession, d: str) -> DataFrame:
     return work.stale_leases(_guards(spark, d), views.tasks(spark, d), _now())
 
@@ -429,6 +456,31 @@ def redaction_tombstones(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.tombstones(_pending(spark, d).where("state = 'cloud_acknowledged'"))
 
 
+@query(with_views("nodes", "gates", recursive=True) + """,
+dels AS (SELECT node_id, 'del-' || node_id AS request_id FROM gates UNION ALL SELECT 'ghost', 'del-ghost'),
+below AS (SELECT d.node_id AS root, d.request_id AS by_, n.node_id FROM dels d JOIN nodes n ON n.node_id = d.node_id UNION ALL SELECT b.root, b.by_, n.node_id FROM below b JOIN nodes n ON n.parent_id = b.node_id),
+ev AS (SELECT 'q' || o_orderkey AS request_id, o_orderkey AS event_seq, CASE WHEN o_orderkey % 2 = 0 THEN 'o' || o_orderkey ELSE 'new' || o_orderkey END AS node_id, 'c' || o_custkey AS target_parent_id FROM orders
+  UNION ALL SELECT request_id, -1 - row_number() OVER (ORDER BY node_id), node_id, NULL FROM dels),
+hits AS (SELECT DISTINCT e.request_id, e.event_seq FROM ev e JOIN below b ON b.node_id IN (e.node_id, e.target_parent_id) AND b.by_ <> e.request_id)
+SELECT 'node' AS kind, d.node_id AS id, CASE WHEN n.node_id IS NULL THEN 'tombstone' ELSE 'deleted' END AS action FROM dels d LEFT JOIN nodes n ON n.node_id = d.node_id
+UNION ALL SELECT 'snapshot', node_id, 'removed' FROM nodes WHERE kind = 'snapshot' AND node_id IN (SELECT node_id FROM below)
+UNION ALL SELECT 'event', request_id, 'redacted' FROM hits
+UNION ALL SELECT 'task', 't' || o_orderkey, 'cancelled' FROM orders WHERE o_orderkey % 4 < 3 AND o_orderkey IN (SELECT event_seq FROM hits)
+UNION ALL SELECT 'request', 'q' || o_orderkey, 'cancelled' FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey IN (SELECT event_seq FROM hits)""")
+def delete_cleanup(spark: SparkSession, d: str) -> DataFrame:
+    """Deletions of the gated nations and of a node that was never there, over requests of every order."""
+    k, text = F.col("o_orderkey"), lambda p, c: F.concat(F.lit(p), c)
+    gates = views.gates(spark, d)
+    deletes = gates.union(spark.createDataFrame([("ghost",)], "node_id string")).withColumn("request_id", text("del-", F.col("node_id")))
+    orders = tables.table(spark, d, "orders")
+    events = orders.select(text("q", k).alias("request_id"), k.alias("event_seq"), F.when(k % 2 == 0, text("o", k)).otherwise(text("new", k)).alias("node_id"), text("c", F.col("o_custkey")).alias("target_parent_id"))
+    events = events.union(deletes.select("request_id", F.lit(-1).cast("bigint"), "node_id", F.lit(None).cast("string")))
+    state = F.element_at(F.array(*map(F.lit, ("pending", "queued", "processing", "completed"))), (k % 4 + 1).cast("int"))
+    tasks = orders.select(text("t", k).alias("task_id"), k.alias("event_seq"), state.alias("state"))
+    requests = orders.select(text("q", k).alias("request_id"), F.when(k % 3 == 0, "pending").otherwise("applied").alias("effect"))
+    return reconcile.directory_delete(deletes, views.nodes(spark, d), events, tasks, requests)
+
+
 # --- folds ------------------------------------------------------------------------------
 
 
@@ -518,7 +570,18 @@ def outbox_cancel(spark: SparkSession, d: str) -> DataFrame:
     return work.fold_outbox(steps).join(start.select(F.concat(F.lit("r"), "user_id").alias("request_id"), "other"), "request_id").select("request_id", "state", "attempts", "other")
 
 
-@query()
+@query("""WITH RECURSIVE life AS (SELECT 'r' || user_id AS request_id, event_id AS seq, ts, CASE event_type WHEN 'view' THEN 'claim' WHEN 'error' THEN 'fail' WHEN 'click' THEN 'recover' WHEN 'signup' THEN 'wait' ELSE 'release' END AS step FROM events),
+steps AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY seq) AS n FROM life),
+fold AS (SELECT request_id, CAST(0 AS BIGINT) AS n, 'local_pending' AS state, 0 AS attempts, min(ts) AS available_at, CAST(NULL AS TIMESTAMP) AS lease, 0 AS rejected FROM life GROUP BY request_id
+  UNION ALL SELECT request_id, n, CASE act WHEN 'claim' THEN 'sending' WHEN 'wait' THEN 'waiting_dependency' WHEN 'block' THEN 'delivery_blocked' WHEN 'reject' THEN state ELSE 'local_pending' END,
+    CASE act WHEN 'claim' THEN attempts + 1 WHEN 'wait' THEN greatest(attempts - 1, 0) ELSE attempts END,
+    CASE WHEN act IN ('release', 'recover') THEN ts WHEN act = 'fail' THEN ts + to_seconds(30 * (1 << (greatest(attempts, 1) - 1))) ELSE available_at END,
+    CASE act WHEN 'claim' THEN ts + INTERVAL 60 SECOND WHEN 'reject' THEN lease END, CASE WHEN act = 'reject' THEN rejected + 1 ELSE rejected END
+  FROM (SELECT f.request_id, s.n, f.state, f.attempts, f.available_at, f.lease, f.rejected, s.ts,
+      CASE WHEN step = 'claim' AND state = 'local_pending' AND available_at <= ts THEN 'claim' WHEN step = 'wait' AND state = 'sending' THEN 'wait' WHEN step = 'release' AND state = 'waiting_dependency' THEN 'release'
+        WHEN step = 'fail' AND state = 'sending' THEN CASE WHEN attempts >= 5 THEN 'block' ELSE 'fail' END WHEN step = 'recover' AND state = 'sending' AND lease < ts THEN 'recover' ELSE 'reject' END AS act
+    FROM fold f JOIN steps s ON s.request_id = f.request_id AND s.n = f.n + 1))
+SELECT request_id, arg_max(state, n) AS state, CAST(arg_max(attempts, n) AS INTEGER) AS attempts, arg_max(available_at, n) AS available_at, CAST(arg_max(rejected, n) AS INTEGER) AS rejected FROM fold GROUP BY request_id""")
 def outbox_fold(spark: SparkSession, d: str) -> DataFrame:
     """A full outbox life: events stand for the steps of claiming, failing, waiting and acknowledging."""
     rows = tables.table(spark, d, "events")
@@ -589,6 +652,31 @@ def accept_replaces(spark: SparkSession, d: str) -> DataFrame:
     return accept.replacements(requests, views.effects(spark, d))
 
 
+@query(with_views("nodes", "gates", recursive=True) + ",\n" + _UP + """,
+blocked AS (SELECT DISTINCT u.node_id FROM up u JOIN (SELECT node_id FROM nodes WHERE lifecycle <> 'active' UNION SELECT node_id FROM gates) s ON s.node_id = u.ancestor_id),
+req AS (SELECT event_id AS event_seq, event_id % 4 AS k, user_id, CASE WHEN event_id % 9 = 0 THEN 'ffffffffffffffffffffffffffffffff' ELSE '00000000000000000000000000000000' END AS epoch, CASE WHEN event_id % 7 = 0 THEN 'req-' || lpad(CAST(event_id - 7 AS VARCHAR), 8, '0') ELSE 'req-' || lpad(CAST(event_id AS VARCHAR), 8, '0') END AS request_id, event_id % 14 AS version FROM events),
+judged AS (SELECT r.*, CASE WHEN epoch LIKE 'f%' THEN 'workspace_epoch_mismatch'
+  WHEN k < 2 AND c.node_id IS NULL THEN 'target_not_found' WHEN k < 2 AND b.node_id IS NOT NULL THEN 'target_deleted'
+  WHEN k >= 2 AND o.node_id IS NULL THEN 'target_not_found' WHEN k >= 2 AND (o.lifecycle <> 'active' OR ob.node_id IS NOT NULL) THEN 'target_deleted' END AS code
+  FROM req r LEFT JOIN nodes c ON c.node_id = 'c' || user_id LEFT JOIN blocked b ON b.node_id = c.node_id LEFT JOIN nodes o ON o.node_id = 'o' || user_id LEFT JOIN blocked ob ON ob.node_id = o.node_id),
+firsts AS (SELECT request_id, min(event_seq) AS s, arg_min(version, event_seq) AS v FROM judged WHERE code IS NULL GROUP BY request_id)
+SELECT j.event_seq, j.request_id, CASE WHEN epoch LIKE 'f%' THEN 'rejected' WHEN f.s < j.event_seq AND f.v = j.version THEN 'replay' WHEN f.s < j.event_seq OR code IS NOT NULL THEN 'rejected' ELSE 'accepted' END AS answer,
+  CASE WHEN epoch LIKE 'f%' THEN code WHEN f.s < j.event_seq THEN CASE WHEN f.v = j.version THEN NULL ELSE 'request_id_conflict' END ELSE code END AS code
+FROM judged j LEFT JOIN firsts f ON f.request_id = j.request_id""")
+def accept_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Events as arrivals: creates below customers and patches of orders, some of another epoch, some sent again under the id of an earlier one."""
+    k, null = F.col("event_id"), lambda t: F.lit(None).cast(t)
+    creates = k % 4 < 2
+    rid = lambda c: F.concat(F.lit("req-"), F.lpad(c.cast("string"), 8, "0"))
+    target = F.struct(F.when(~creates, F.concat(F.lit("o"), "user_id")).alias("nodeId"), F.when(creates, F.concat(F.lit("c"), "user_id")).alias("parentId"), F.when(creates, F.concat(F.lit("new-"), k)).alias("name"), null("string").alias("kind"), null("array<string>").alias("path"))
+    batch = tables.table(spark, d, "events").select(
+        k.alias("event_seq"), (k % 14).cast("string").alias("content_hash"), F.lit("tree-snapshots").alias("protocol"), F.lit(1).alias("apiVersion"), F.when(k % 9 == 0, "f" * 32).otherwise("0" * 32).alias("workspaceEpoch"), F.when(k % 7 == 0, rid(k - 7)).otherwise(rid(k)).alias("requestId"),
+        F.when(creates, "snapshot.create").otherwise("snapshot.patch").alias("operation"), target.alias("target"), null("array<string>").alias("dependsOn"), F.lit(1).cast("bigint").alias("baseRevision"), null("array<struct<op:string,path:array<string>,value:string,field:string,itemId:string>>").alias("changes"), null("string").alias("confirmation"), null("array<string>").alias("replaces"),
+    )
+    none = spark.createDataFrame([], "request_id string, content_hash string, workspace_epoch string, operation string, node_id string, effect string")
+    return accept.accept_batch(batch, views.nodes(spark, d), views.gates(spark, d), none, "0" * 32, "tree-snapshots", 1).select("event_seq", "request_id", "answer", "code")
+
+
 @query("SELECT 'req-' || event_id AS request_id, 'evt_' || substr(sha256('req-' || event_id), 1, 40) AS event_id, 'tsk_' || substr(sha256('req-' || event_id), 1, 40) AS task_id, 'pending' AS state, 'd1_committed' AS accepted FROM events")
 def accept_enqueue(spark: SparkSession, d: str) -> DataFrame:
     return accept.enqueue(tables.table(spark, d, "events").select(F.concat(F.lit("req-"), "event_id").alias("request_id")))
@@ -602,6 +690,17 @@ def stream_projection(spark: SparkSession, d: str) -> DataFrame:
     return project.project(spark, project.event_stream(spark, f"{d}/events.parquet"), work_dir(spark, "projection"))
 
 
+@query(ORACLES["patch_fold"])
+def stream_fold(spark: SparkSession, d: str) -> DataFrame:
+    """The fold of ``patch_fold`` over a stream of four batches, by the nodes' state."""
+    rows, folder = _patches(spark, d), work_dir(spark, "fold")
+    least, most = rows.agg(F.min("event_seq"), F.max("event_seq")).first()
+    step = ((most or 0) - (least or 0)) // 4 + 1
+    for i in range(4):
+        rows.where(F.floor((F.col("event_seq") - (least or 0)) / step) == i).coalesce(1).write.mode("append").parquet(f"{folder}/requests")
+    return fold.snapshots(project.fold_stream(spark, project.event_stream(spark, f"{folder}/requests"), folder))
+
+
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
     stream = project.event_stream(spark, f"{d}/events.parquet")
@@ -696,10 +795,9 @@ def first_score_per_day(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_SCORES}, firsts AS (SELECT day, question, min(seq) AS seq, arg_min(score, seq) AS score FROM scores GROUP BY day, question),
 lists AS (SELECT question, list(score ORDER BY seq) AS s FROM firsts GROUP BY question)
-SELECT question, round(list_reduce(s, lambda a, x: round(0.6 * x + 0.4 * a, 2)), 1) AS mastery, CAST(len(s) AS INTEGER) AS n FROM lists""")
+SELECT question, CAST(list_reduce(list_transform(s, lambda x: CAST(x AS DECIMAL(18, 4))), lambda a, x: CAST(round(CAST(CAST(0.6 AS DECIMAL(2, 1)) * CAST(x AS DECIMAL(18, 4)) + CAST(0.4 AS DECIMAL(2, 1)) * CAST(a AS DECIMAL(18, 4)) AS DECIMAL(24, 6)), 2) AS DECIMAL(18, 4))) AS DOUBLE) AS mastery, CAST(len(s) AS INTEGER) AS n FROM lists""")
 def mastery_ewma(spark: SparkSession, d: str) -> DataFrame:
-    """One digit is compared: halves of the last digit round apart in the two engines' doubles."""
-    return rollups.mastery(rollups.first_scores(_scores(spark, d))).select("question", F.round("mastery", 1).alias("mastery"), "n")
+    return rollups.mastery(rollups.first_scores(_scores(spark, d)))
 
 
 @query("WITH q AS (SELECT p_brand AS grp, p_partkey AS question FROM part) SELECT grp AS \"group\", count(t.question) AS tested, count(*) AS total FROM q LEFT JOIN (SELECT DISTINCT l_partkey AS question FROM lineitem WHERE l_quantity > 48) t ON t.question = q.question GROUP BY grp")

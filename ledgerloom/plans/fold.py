@@ -109,6 +109,12 @@ class NodeFold:
         return "applied", []
 
 
+def outcome(row: tuple, node: NodeFold, effect: str, conflicts: list) -> tuple:
+    """A row of ``RESULT``."""
+    written = effect == "applied" and node.content is not None
+    return row.node_id, row.event_seq, row.request_id, effect, node.revision, node.content if written else None, canonical(conflicts) if conflicts else None, node.resolves or None
+
+
 def fold_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows in order of node and sequence to outcomes; state passes from frame to frame.
 
@@ -131,8 +137,7 @@ def fold_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             effect, conflicts = state.apply(row.operation, base, json.loads(row.changes) if isinstance(row.changes, str) else [], row.request_id, later)
             if named is not None and base is not None:
                 state.used(base, named[base])
-            applied = effect == "applied" and state.content is not None
-            out.append((row.node_id, row.event_seq, row.request_id, effect, state.revision, state.content if applied else None, canonical(conflicts) if conflicts else None, state.resolves or None))
+            out.append(outcome(row, state, effect, conflicts))
         yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in RESULT.split(", ")])
 
 

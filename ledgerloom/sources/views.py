@@ -37,7 +37,7 @@ def tasks(spark: SparkSession, d: str) -> DataFrame:
     # What an event's type stands for.
     state = F.when(F.col("event_type") == "signup", "completed").when(F.col("event_type") == "view", "queued").when(F.col("event_type") == "click", "pending").when(F.col("event_type") == "purchase", "processing").otherwise("needs_attention")
     rows = ledger(spark, d)
-    return rows.select(F.concat(F.lit("tsk-"), "request_id").alias("task_id"), "event_seq", "request_id", "node_id", state.alias("state"), F.pmod("event_seq", F.lit(6)).cast("int").alias("failure_count"), F.col("created_at").alias("available_at"), add_seconds(F.col("created_at"), LEASE_SECONDS).alias("lease_until"))
+    return rows.select(F.concat(F.lit("tsk-"), "request_id").alias("task_id"), "event_seq", "request_id", "node_id", state.alias("state"), F.pmod("event_seq", F.lit(6)).cast("int").alias("failure_count"), F.col("created_at").alias("available_at"), add_seconds(F.col("created_at"), LEASE_SECONDS).alias("lease_until"), F.concat(F.lit("w"), F.col("event_seq") % 3).alias("lease_owner"), (F.col("event_seq") % 4).alias("lease_epoch"))
 
 
 def effects(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +77,7 @@ SQL = {
          CASE event_type WHEN 'signup' THEN 'snapshot.create' WHEN 'error' THEN 'directory.delete' WHEN 'purchase' THEN 'conflict.resolve' WHEN 'view' THEN 'snapshot.read' ELSE 'snapshot.patch' END AS operation
   FROM events)""",
     "tasks": """tasks AS (
-  SELECT 'tsk-' || request_id AS task_id, event_seq, request_id, node_id, CAST(event_seq % 6 AS INTEGER) AS failure_count, created_at AS available_at, created_at + INTERVAL 300 SECOND AS lease_until,
+  SELECT 'tsk-' || request_id AS task_id, event_seq, request_id, node_id, CAST(event_seq % 6 AS INTEGER) AS failure_count, created_at AS available_at, created_at + INTERVAL 300 SECOND AS lease_until, 'w' || (event_seq % 3) AS lease_owner, event_seq % 4 AS lease_epoch,
          CASE event_type WHEN 'signup' THEN 'completed' WHEN 'view' THEN 'queued' WHEN 'click' THEN 'pending' WHEN 'purchase' THEN 'processing' ELSE 'needs_attention' END AS state
   FROM ledger)""",
     "effects": """effects AS (
