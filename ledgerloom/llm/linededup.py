@@ -64,7 +64,8 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K)
     estimated = seen.select("line", "n", F.hll_sketch_estimate("sketch").alias("sites"))
     slack = math.ceil(3 * 1.04 / math.sqrt(1 << lg_k) * min_sites) + 1
     near = estimated.where(F.col("sites").between(min_sites - slack, min_sites + slack)).select("line")
-    exact = lines.join(near, "line", "left_semi").groupBy("line", "site").agg(F.count("*").alias("n")).groupBy("line").agg(F.count("*").alias("sites"), F.sum("n").alias("n")).where(F.col("sites") >= min_sites)
+    # Counted by line and site first, a line has a row a site when it meets the near ones.
+    exact = lines.groupBy("line", "site").agg(F.count("*").alias("n")).join(near, "line", "left_semi").groupBy("line").agg(F.count("*").alias("sites"), F.sum("n").alias("n")).where(F.col("sites") >= min_sites)
     return estimated.where(F.col("sites") > min_sites + slack).select("line", "n").union(exact.select("line", "n"))
 
 
