@@ -9,7 +9,9 @@ from urllib.parse import quote, unquote
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType
+
+from ledgerloom.functions.merge import same
 
 # Budgets, statuses and identifier patterns.
 MAX_DEPTH = 16
@@ -82,8 +84,18 @@ def content_hash(text: Column) -> Column:
     return F.sha2(canonical_json(text), 256)
 
 
-def json_equal(left: Column, right: Column) -> Column:
-    return canonical_json(left).eqNullSafe(canonical_json(right))
+@F.pandas_udf(BooleanType())
+def json_equal(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Equal JSON values, numbers by value; text that is no JSON equals nothing, and two missing ones are equal."""
+    def equal(a: str | None, b: str | None) -> bool:
+        if a is None or b is None:
+            return a is b
+        try:
+            return same(json.loads(a), json.loads(b))
+        except ValueError:
+            return False
+
+    return pd.Series([equal(a, b) for a, b in zip(left, right)], dtype=bool)
 
 
 def add_seconds(ts: Column, seconds: Column | int) -> Column:

@@ -283,6 +283,57 @@ def claim_next(spark: SparkSession, d: str) -> DataFrame:
     return work.next_task(views.tasks(spark, d), _states(spark, d), _now())
 
 
+@query(with_views("ledger", "tasks") + f", {_DUE} SELECT task_id, 'processing' AS state, 'me' AS lease_owner, lease_epoch + 1 AS lease_epoch, TIMESTAMP '{NOW}' + INTERVAL 300 SECOND AS lease_until FROM due")
+def task_claim(spark: SparkSession, d: str) -> DataFrame:
+    return work.claim(work.due(views.tasks(spark, d), _now()), _now(), "me").select("task_id", "state", "lease_owner", "lease_epoch", "lease_until")
+
+
+@query(with_views("ledger", "tasks") + f" SELECT task_id, 'pending' AS state, failure_count, TIMESTAMP '{NOW}' + INTERVAL 30 SECOND AS available_at FROM tasks WHERE state = 'processing'")
+def task_deferred(spark: SparkSession, d: str) -> DataFrame:
+    return work.deferred(views.tasks(spark, d).where("state = 'processing'"), _now()).select("task_id", "state", "failure_count", "available_at")
+
+
+@query(with_views("ledger", "tasks") + f" SELECT task_id, lease_epoch, 'pending' AS state, TIMESTAMP '{NOW}' AS available_at FROM tasks WHERE state = 'queued' AND lease_epoch = event_seq % 3")
+def task_released(spark: SparkSession, d: str) -> DataFrame:
+    """Handoffs of every task that failed, some under an epoch that is over."""
+    tasks = views.tasks(spark, d)
+    handoffs = tasks.select("task_id", (F.col("event_seq") % 3).alias("lease_epoch"))
+    return work.released(tasks, handoffs, _now()).select("task_id", "lease_epoch", "state", "available_at")
+
+
+@query("SELECT 'g' || o_orderkey AS task_id, 'stale_catalog_revision' AS code FROM orders WHERE o_orderkey % 4 > 0 AND o_orderkey % 6 <> 5")
+def guard_catalog_revision(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    guards = tables.table(spark, d, "orders").select(F.concat(F.lit("g"), k).alias("task_id"), F.when(k % 4 > 0, k % 6).alias("expected_catalog_revision"))
+    return work.stale_catalog(guards, spark.createDataFrame([(5,)], "catalog_revision bigint"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN 'stale_task_write' WHEN 'click' THEN 'stale_snapshot_revision' WHEN 'error' THEN 'deletion_gate_blocks_write' WHEN 'signup' THEN 'snapshot_revision_regression' END AS reason FROM events")
+def abort_reasons(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.col("event_type")
+    said = F.when(kind == "view", "stale_task_write").when(kind == "click", "stale_snapshot_revision").when(kind == "error", "deletion_gate_blocks_write").when(kind == "signup", "snapshot_revision_regression").otherwise("disk full")
+    message = F.concat(F.lit("batch failed: "), said, F.lit(": constraint"))
+    return tables.table(spark, d, "events").select("event_id", fn.abort_reason(message).alias("reason"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'named-' || o_orderkey WHEN 1 THEN o_orderpriority END AS name FROM orders")
+def rename_targets(spark: SparkSession, d: str) -> DataFrame:
+    k, path = F.col("o_orderkey"), lambda *p: F.array(*map(F.lit, p))
+    one = lambda op, p, value: F.struct(F.lit(op).alias("op"), p.alias("path"), value.alias("value"))
+    changes = F.array(one("set", path("title"), F.lit("other")), one("remove", path("name"), F.lit(None).cast("string")), F.when(k % 3 == 1, one("set", path("name"), F.col("o_orderpriority"))).otherwise(one("set", path("name", "inner"), F.lit("x"))))
+    return tables.table(spark, d, "orders").select("o_orderkey", fn.rename_target(F.when(k % 3 == 0, F.concat(F.lit("named-"), k)), changes).alias("name"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS at, CAST(least(greatest(CASE WHEN event_id % 61 = 0 OR event_id % 7 = 0 THEN 20 ELSE event_id % 61 - 3 END, 1), 50) AS INTEGER) AS size, event_id % 3 = 0 AS equal FROM events WHERE event_id % 61 <> 3")
+def wire_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Times as text, page sizes, and JSON compared by value: 1 and 1.0 are equal, whatever the order of keys."""
+    k = F.col("event_id")
+    wanted = F.when(k % 7 != 0, F.when(k % 61 == 0, 0).otherwise(k % 61 - 3)).cast("int")
+    left, right = F.concat(F.lit('{"a":1,"k":'), k, F.lit("}")), F.concat(F.lit('{"k":'), k, F.when(k % 3 == 0, ".0").otherwise(".5"), F.lit(',"a":1.0}'))
+    rows = tables.table(spark, d, "events").where(k % 61 != 3)
+    return rows.select("event_id", fn.iso_millis(F.col("ts")).alias("at"), fn.page_size(wanted).alias("size"), fn.json_equal(left, right).alias("equal"))
+
+
 _HASHES = "arrivals AS (SELECT event_id AS event_seq, 'req-' || (event_id % 4000) AS request_id, sha256(CASE WHEN event_id % 7 = 0 THEN props ELSE CAST(event_id % 4000 AS VARCHAR) END) AS content_hash FROM events)"
 
 
