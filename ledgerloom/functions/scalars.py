@@ -84,6 +84,27 @@ def content_hash(text: Column) -> Column:
     return F.sha2(canonical_json(text), 256)
 
 
+def _object(value: Column, fields: dict[str, str | None]) -> Column:
+    """Canonical JSON of some fields of a parsed object; one that is missing has the text given for it, or is left out."""
+    parts = []
+    for name in sorted(fields):
+        text = F.to_json(F.try_variant_get(value, f"$.{name}", "variant"))
+        parts.append(F.concat(F.lit(f'"{name}":'), text if fields[name] is None else F.coalesce(text, F.lit(fields[name]))))
+    return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ","), F.lit("}"))
+
+
+# The fields that each hash of a request covers, with what stands for a missing one.
+CONTENT_FIELDS = dict.fromkeys(("workspaceEpoch", "requestId", "operation", "target", "dependsOn", "baseRevision", "changes", "confirmation", "replaces"))
+PAYLOAD_FIELDS = {"operation": None, "baseRevision": "null", "changes": "null"}
+CLIENT_FIELDS = {"protocol": None, "apiVersion": None, "workspaceEpoch": None, "requestId": None, "operation": None, "target": "null", "dependsOn": "[]", "baseRevision": "null", "changes": "null", "confirmation": "null"}
+
+
+def request_hash(raw: Column, fields: dict[str, str | None] = CONTENT_FIELDS) -> Column:
+    """SHA-256 of the canonical JSON of a request's fields, from its JSON text; other fields do not count. Null for text that is no JSON."""
+    value = F.try_parse_json(raw)
+    return F.when(value.isNotNull(), F.sha2(_object(value, fields), 256))
+
+
 @F.pandas_udf(BooleanType())
 def json_equal(left: pd.Series, right: pd.Series) -> pd.Series:
     """Equal JSON values, numbers by value; text that is no JSON equals nothing, and two missing ones are equal."""

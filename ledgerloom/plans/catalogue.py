@@ -425,6 +425,18 @@ def canonical_hash(spark: SparkSession, d: str) -> DataFrame:
     return tables.table(spark, d, "events").select("event_id", fn.content_hash(F.col("props")).alias("content_hash"), fn.derived_id("evt", F.concat(F.lit("req-"), "event_id")).alias("evt"))
 
 
+@query("""WITH r AS (SELECT event_id, '"workspaceEpoch":"e1"' AS epoch, '"requestId":"req-' || event_id || '"' AS id, '"operation":"snapshot.patch"' AS op, '{"nodeId":"u' || user_id || '"}' AS target, CASE WHEN event_id % 2 = 0 THEN '"baseRevision":' || (event_id % 5) || ',' ELSE '' END AS base,
+  CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 5 AS VARCHAR) ELSE 'null' END AS rev, '[{"op":"set","path":["a"],"value":' || props || '}]' AS changes FROM (SELECT event_id, user_id, '{"k":' || json_extract_string(props, '$.k') || '}' AS props FROM events))
+SELECT event_id, sha256('{' || base || '"changes":' || changes || ',' || op || ',' || id || ',"target":' || target || ',' || epoch || '}') AS content, sha256('{"baseRevision":' || rev || ',"changes":' || changes || ',' || op || '}') AS payload,
+  sha256('{"apiVersion":1,"baseRevision":' || rev || ',"changes":' || changes || ',"confirmation":null,"dependsOn":[],' || op || ',"protocol":"p",' || id || ',"target":' || target || ',' || epoch || '}') AS client FROM r""")
+def request_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """The server's hash, the payload's and the client's, of requests whose fields stand in another order and have one that does not count."""
+    k, text = F.col("event_id"), lambda *c: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in c))
+    base = F.when(k % 2 == 0, text('"baseRevision": ', k % 5, ", ")).otherwise("")
+    raw = text('{"requestId": "req-', k, '", "extra": [1], ', base, '"target": {"nodeId": "u', F.col("user_id"), '"}, "changes": [{"value": ', F.col("props"), ', "op": "set", "path": ["a"]}], "apiVersion": 1, "protocol": "p", "workspaceEpoch": "e1", "operation": "snapshot.patch"}')
+    return tables.table(spark, d, "events").select("event_id", fn.request_hash(raw).alias("content"), fn.request_hash(raw, fn.PAYLOAD_FIELDS).alias("payload"), fn.request_hash(raw, fn.CLIENT_FIELDS).alias("client"))
+
+
 @query("SELECT event_id, user_id FROM events WHERE json_extract_string(props, '$.k') IN ('3', '7') OR json_extract_string(props, '$.j') IN ('3')")
 def json_path_filter(spark: SparkSession, d: str) -> DataFrame:
     return tables.table(spark, d, "events").where(F.get_json_object("props", "$.k").isin("3", "7") | F.get_json_object("props", "$.j").isin("3")).select("event_id", "user_id")
