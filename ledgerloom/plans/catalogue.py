@@ -717,7 +717,7 @@ def accept_replaces(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_views("nodes", "gates", recursive=True) + ",\n" + _UP + """,
 blocked AS (SELECT DISTINCT u.node_id FROM up u JOIN (SELECT node_id FROM nodes WHERE lifecycle <> 'active' UNION SELECT node_id FROM gates) s ON s.node_id = u.ancestor_id),
-req AS (SELECT event_id AS event_seq, event_id % 4 AS k, user_id, CASE WHEN event_id % 9 = 0 THEN 'ffffffffffffffffffffffffffffffff' ELSE '00000000000000000000000000000000' END AS epoch, CASE WHEN event_id % 7 = 0 THEN 'req-' || lpad(CAST(event_id - 7 AS VARCHAR), 8, '0') ELSE 'req-' || lpad(CAST(event_id AS VARCHAR), 8, '0') END AS request_id, event_id % 14 AS version FROM events),
+req AS (SELECT event_id AS event_seq, event_id % 4 AS k, user_id, CASE WHEN event_id % 9 = 0 THEN 'ffffffffffffffffffffffffffffffff' ELSE '00000000000000000000000000000000' END AS epoch, CASE WHEN event_id > 0 AND event_id % 7 = 0 THEN 'req-' || lpad(CAST(event_id - 1 AS VARCHAR), 8, '0') ELSE 'req-' || lpad(CAST(event_id AS VARCHAR), 8, '0') END AS request_id, event_id // 2 % 5 AS version FROM events),
 judged AS (SELECT r.*, CASE WHEN epoch LIKE 'f%' THEN 'workspace_epoch_mismatch'
   WHEN k < 2 AND c.node_id IS NULL THEN 'target_not_found' WHEN k < 2 AND b.node_id IS NOT NULL THEN 'target_deleted'
   WHEN k >= 2 AND o.node_id IS NULL THEN 'target_not_found' WHEN k >= 2 AND (o.lifecycle <> 'active' OR ob.node_id IS NOT NULL) THEN 'target_deleted' END AS code
@@ -733,7 +733,7 @@ def accept_batch(spark: SparkSession, d: str) -> DataFrame:
     rid = lambda c: F.concat(F.lit("req-"), F.lpad(c.cast("string"), 8, "0"))
     target = F.struct(F.when(~creates, F.concat(F.lit("o"), "user_id")).alias("nodeId"), F.when(creates, F.concat(F.lit("c"), "user_id")).alias("parentId"), F.when(creates, F.concat(F.lit("new-"), k)).alias("name"), null("string").alias("kind"), null("array<string>").alias("path"))
     batch = tables.table(spark, d, "events").select(
-        k.alias("event_seq"), (k % 14).cast("string").alias("content_hash"), F.lit("tree-snapshots").alias("protocol"), F.lit(1).alias("apiVersion"), F.when(k % 9 == 0, "f" * 32).otherwise("0" * 32).alias("workspaceEpoch"), F.when(k % 7 == 0, rid(k - 7)).otherwise(rid(k)).alias("requestId"),
+        k.alias("event_seq"), (F.floor(k / 2) % 5).cast("string").alias("content_hash"), F.lit("tree-snapshots").alias("protocol"), F.lit(1).alias("apiVersion"), F.when(k % 9 == 0, "f" * 32).otherwise("0" * 32).alias("workspaceEpoch"), F.when((k > 0) & (k % 7 == 0), rid(k - 1)).otherwise(rid(k)).alias("requestId"),
         F.when(creates, "snapshot.create").otherwise("snapshot.patch").alias("operation"), target.alias("target"), null("array<string>").alias("dependsOn"), F.lit(1).cast("bigint").alias("baseRevision"), null("array<struct<op:string,path:array<string>,value:string,field:string,itemId:string>>").alias("changes"), null("string").alias("confirmation"), null("array<string>").alias("replaces"),
     )
     none = spark.createDataFrame([], "request_id string, content_hash string, workspace_epoch string, operation string, node_id string, effect string")
