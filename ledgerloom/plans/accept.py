@@ -148,16 +148,21 @@ def accept_batch(batch: DataFrame, nodes: DataFrame, gates: DataFrame, requests:
     base = cut(base.withColumns({"first": first, "shape": shape}))
     above = cut(closure(nodes, held).select("node_id", "ancestor_id"))
     old = requests.select(c("request_id").alias("other"), c("workspace_epoch").alias("other_epoch"), "operation", "node_id", "effect", F.lit(-1).cast("bigint").alias("other_seq"))
-    accepted = cut(base.where(c("first").isNull()).select("event_seq", "request_id"))
+    accepted = cut(base.where(c("first").isNull()).select("event_seq"))
+    before = _digest(accepted)
     while True:
-        own = base.join(accepted.select("event_seq"), "event_seq", "left_semi")
-        there = old.union(own.select(c("request_id").alias("other"), c("epoch").alias("other_epoch"), "operation", "node_id", F.lit("pending").alias("effect"), c("event_seq").alias("other_seq")))
-        there = cut(there)
+        own = base.join(accepted, "event_seq", "left_semi")
+        there = cut(old.union(own.select(c("request_id").alias("other"), c("epoch").alias("other_epoch"), "operation", "node_id", F.lit("pending").alias("effect"), c("event_seq").alias("other_seq"))))
         settled = cut(_settle(base, own, there, above, epoch))
-        now = settled.where("answer = 'accepted'").select("event_seq", "request_id")
-        if now.exceptAll(accepted).isEmpty() and accepted.exceptAll(now).isEmpty():
+        accepted = settled.where("answer = 'accepted'").select("event_seq")
+        after = _digest(accepted)
+        if after == before:
             return settled
-        accepted = cut(now)
+        before = after
+
+
+def _digest(rows: DataFrame) -> tuple:
+    return tuple(rows.agg(F.count("*"), F.expr("bit_xor(xxhash64(event_seq))")).first())
 
 
 def _settle(base: DataFrame, own: DataFrame, there: DataFrame, above: DataFrame, epoch: str) -> DataFrame:
