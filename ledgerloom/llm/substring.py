@@ -18,11 +18,13 @@ at least ``PASSAGE`` words have tokens of Jaccard similarity 0.8 or more.
 
 That settles exact copies. A window whose c no reported passage covers, in a group of three or more, stays
 open. The windows of such groups are given a bitmap of the tokens around c, as far as a
-least passage reaches, and stand in order of their hash and of the bitmap's own min-hash, so
-that like surroundings stand together. An open window is compared with the ``NEAR``
-before it and those at doubled distances by their bitmaps alone, which costs no text; documents
-whose bitmaps share as many bits as a passage needs are aligned. A group of up to ``NEAR`` meets whole, a
-larger one of n in n (NEAR + log n) comparisons.
+least passage reaches, and are compared by it alone, which costs no text; documents
+whose bitmaps share as many bits as a passage needs are aligned. A group of up to ``NEAR`` more than one meets
+whole. In a larger one windows stand in order of the bitmap's own min-hash, so that like surroundings
+stand together, and an open window is compared with the ``NEAR`` before it and those at doubled
+distances; that covers most. A window that is open still meets all of its group, in blocks of
+``BLOCK`` times ``BLOCK`` over the tasks: first the most similar one is aligned, then, where that did not cover
+c, every other one, so no window of its hash is left out.
 
 A reported passage is always that of the document with the larger id, and refers
 to an earlier one, so removing all reported passages leaves each first occurrence.
@@ -54,6 +56,7 @@ ENOUGH = 2
 AROUND = 8  # tokens that agree on one side of c
 NEAR = 32  # places before an open window that it is compared with
 FARTHEST = 1 << 14  # the farthest of the doubled distances
+BLOCK = 8192  # windows on a side of a block of a group whose open windows meet all
 BITS = 1024  # of the bitmap of the tokens around a window's c
 LEAST_BITS = 32  # that two bitmaps share around a passage; 46 tokens of similarity 0.8 share 41
 GAP = 12  # tokens between two aligned stretches of a passage
@@ -192,25 +195,34 @@ def collisions(met: DataFrame) -> DataFrame:
 
 
 #: A window of a group that has an open one: with a bitmap of the tokens around it, and that bitmap's min-hash for the order.
-AROUND_C = {"hash": pa.int64(), "sketch": pa.int32(), "doc_id": pa.int64(), "v": pa.int32(), "c": pa.int32(), "open": pa.bool_(), "bits": pa.binary()}
+AROUND_C = {"hash": pa.int64(), "sketch": pa.int32(), "doc_id": pa.int64(), "v": pa.int32(), "c": pa.int32(), "open": pa.bool_(), "n": pa.int64(), "bits": pa.binary()}
+
+
+def _spans(found: DataFrame) -> DataFrame:
+    """doc_id, v, spans of the documents with passages."""
+    return found.groupBy("doc_id", "v").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
+
+
+def _uncovered(windows_: DataFrame, spans: DataFrame) -> DataFrame:
+    """``windows_`` with ``open``: whether no passage covers c."""
+    covered = F.exists("spans", lambda s: (s["start_word"] <= F.col("c")) & (F.col("c") + WIDTH <= s["end_word"]))
+    return windows_.join(spans, ["doc_id", "v"], "left").withColumn("open", ~F.coalesce(covered, F.lit(False))).drop("spans")
 
 
 def open_groups(met: DataFrame, spans: DataFrame) -> DataFrame:
-    """hash, doc_id, v, c, open: windows of hashes that three or more share with the words around, and an open one in a document that is not the first."""
-    side = lambda d, v, c: met.where("same").select("hash", F.col(d).alias("doc_id"), F.col(v).alias("v"), F.col(c).alias("c"))
+    """hash, doc_id, v, c, open, n: windows of hashes that three or more (n) share, and an open one in a document that is not the first."""
+    side = lambda d, v, c: met.select("hash", F.col(d).alias("doc_id"), F.col(v).alias("v"), F.col(c).alias("c"))
     own = side("a", "va", "cx").union(side("b", "vb", "cy")).distinct()
-    covered = F.exists("spans", lambda s: (s["start_word"] <= F.col("c")) & (F.col("c") + WIDTH <= s["end_word"]))
-    marked = own.join(spans, ["doc_id", "v"], "left").select(*own.columns, (~F.coalesce(covered, F.lit(False))).alias("open"))
-    marked = materialize(marked)
+    marked = materialize(_uncovered(own, spans))
     name = F.struct("doc_id", "v")
-    groups = marked.groupBy("hash").agg(F.count("*").alias("n"), F.min(name).alias("first"), F.max(F.when(F.col("open"), name)).alias("last")).where("n > 2 AND last > first").select("hash")
-    return marked.join(groups, "hash").select("hash", "doc_id", "v", "c", "open")
+    groups = marked.groupBy("hash").agg(F.count("*").alias("n"), F.min(name).alias("first"), F.max(F.when(F.col("open"), name)).alias("last")).where("n > 2 AND last > first").select("hash", "n")
+    return marked.join(groups, "hash").select("hash", "doc_id", "v", "c", "open", "n")
 
 
 def surroundings(groups: DataFrame, texts: DataFrame, passage: int) -> DataFrame:
     """The windows of ``groups`` with the columns ``AROUND_C``."""
     reach = passage - WIDTH  # tokens before and after c that a least passage which holds it may have
-    listed = groups.groupBy("doc_id", "v").agg(F.collect_list(F.struct("hash", "c", "open")).alias("w"))  # a text's own windows
+    listed = groups.groupBy("doc_id", "v").agg(F.collect_list(F.struct("hash", "c", "open", "n")).alias("w"))  # a text's own windows
     rows = among(texts, "doc_id", listed.select("doc_id").distinct()).dropDuplicates(["doc_id", "v"]).join(listed, ["doc_id", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,16 +239,21 @@ def surroundings(groups: DataFrame, texts: DataFrame, passage: int) -> DataFrame
                 flags = np.zeros((len(at), BITS), bool)
                 flags[np.arange(len(at))[:, None], (mixed % np.uint64(BITS)).astype(np.int64)] = True
                 bits = np.packbits(flags, axis=1)
-                arrays = [pa.array(hash_[s]), pa.array((mixed.min(1) >> np.uint64(33)).astype(np.int32)), *(batch.column(n).take(pa.array(row[s])) for n in ("doc_id", "v")), pa.array(c[s]), inner.field("open").slice(start, len(at)), pa.array([b.tobytes() for b in bits], pa.binary())]
+                arrays = [pa.array(hash_[s]), pa.array((mixed.min(1) >> np.uint64(33)).astype(np.int32)), *(batch.column(n).take(pa.array(row[s])) for n in ("doc_id", "v")), pa.array(c[s]), inner.field("open").slice(start, len(at)), inner.field("n").slice(start, len(at)), pa.array([b.tobytes() for b in bits], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=list(AROUND_C))
 
     return rows.select("doc_id", "v", "w", "text").mapInArrow(run, _schema(AROUND_C))
 
 
+#: Two documents, the earlier one first, and how far a window's c in the one is from that in the other.
+ALIKE = {"a": pa.int64(), "va": pa.int32(), "b": pa.int64(), "vb": pa.int32(), "d": pa.int64()}
+MEETING = ALIKE | {"cy": pa.int32(), "shared": pa.int32()}
+
+
 def alike_around(windows_: DataFrame) -> DataFrame:
     """a, va, b, vb, diagonals: documents of which the later one has an open window whose surroundings share ``LEAST_BITS`` with the other's."""
     order = ["hash", "sketch", "doc_id", "v", "c"]
-    fields = {"a": pa.int64(), "va": pa.int32(), "b": pa.int64(), "vb": pa.int32(), "d": pa.int64()}
+    fields = ALIKE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("hash", "doc_id", "v", "c")
@@ -270,7 +287,51 @@ def alike_around(windows_: DataFrame) -> DataFrame:
             keep = max(int(np.searchsorted(w["hash"], w["hash"][-1])), n - FARTHEST)
             tail = {n: x[keep:] for n, x in w.items()}
 
-    pairs = windows_.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, _schema(fields))
+    # A group that meets whole is one task's; the borders of ranges cut only larger ones, which ``all_alike`` goes through again.
+    small = windows_.where(F.col("n") <= NEAR + 1).repartition("hash").sortWithinPartitions(*order)
+    large = windows_.where(F.col("n") > NEAR + 1).repartitionByRange(*order).sortWithinPartitions(*order)
+    pairs = small.mapInArrow(run, _schema(fields)).union(large.mapInArrow(run, _schema(fields)))
+    return pairs.groupBy(*PAIR).agg(F.collect_set("d").alias("diagonals"))
+
+
+def _block_alike(x: pa.Table, y: pa.Table) -> pa.Table:
+    """The pairs (columns ``MEETING``) of a window of x and an open one of y, of a later document, whose bitmaps share ``LEAST_BITS``."""
+    sides = []
+    for t in (x, y):
+        t = t.sort_by([("doc_id", "ascending"), ("v", "ascending")])
+        sides.append([t.column(n).to_numpy() for n in ("doc_id", "v", "c")] + [np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(t.num_rows, -1)])
+    (xd, xv, xc, xbits), (yd, yv, yc, ybits) = sides
+    found = []
+    for start in range(0, len(yd), 16):
+        s = slice(start, start + 16)
+        m = int(np.searchsorted(xd, yd[s][-1], side="right"))  # those after the last of y are later
+        shared = np.bitwise_count(ybits[s, None] & xbits[None, :m]).sum(2, dtype=np.uint16)
+        i, j = np.nonzero(shared >= LEAST_BITS)
+        shared = shared[i, j]
+        i += start
+        before = (xd[j] < yd[i]) | ((xd[j] == yd[i]) & (xv[j] < yv[i]))
+        found.append((i[before], j[before], shared[before]))
+    i, j, shared = (np.concatenate(k) for k in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    values = [xd[j], xv[j], yd[i], yv[i], xc[j].astype(np.int64) - yc[i], yc[i], shared]
+    return pa.Table.from_arrays([pa.array(k, t) for k, t in zip(values, MEETING.values())], names=list(MEETING))
+
+
+def all_alike(windows_: DataFrame, spans: DataFrame, best: bool) -> DataFrame:
+    """As ``alike_around``, of every window that ``spans`` leave open with every other one of its hash, for groups that did not meet whole there.
+
+    With ``best``, only the one that shares most bits for each place. Where that settles the place, the others would tell it once more.
+    """
+    large = windows_.where(F.col("n") > NEAR + 1).withColumn("blocks", F.expr(f"n div {BLOCK} + 1")).withColumn("own", F.pmod(F.xxhash64("doc_id", "v", "c"), "blocks"))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    columns = ["doc_id", "v", "c", "bits"]
+    y = materialize(_uncovered(large.drop("open"), spans).where("open").select("hash", "blocks", "own", *columns))
+    x = large.join(y.select("hash").distinct(), "hash", "left_semi").select("hash", F.col("own").alias("bx"), every.alias("by"), *columns)
+    y = y.select("hash", every.alias("bx"), F.col("own").alias("by"), *columns)
+    x, y = (t.select(*(F.col(n).alias(n) for n in t.columns)) for t in (x, y))  # names of their own, as both come from one table
+    key = ["hash", "bx", "by"]
+    pairs = x.groupBy(*key).cogroup(y.groupBy(*key)).applyInArrow(_block_alike, _schema(MEETING))
+    if best:
+        pairs = pairs.groupBy("b", "vb", "cy").agg(F.max(F.struct("shared", "a", "va", "d")).alias("x")).select("x.a", "x.va", "b", "vb", "x.d")
     return pairs.groupBy(*PAIR).agg(F.collect_set("d").alias("diagonals"))
 
 
@@ -387,11 +448,13 @@ def _found(docs: DataFrame, passage: int, similarity: float) -> DataFrame:
     met = neighbours(windows(texts, passage))
     pairs = materialize(likely(collisions(met)))
     found = materialize(_aligned(pairs, texts, passage, similarity))
-    spans = found.groupBy("doc_id", "v").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
-    groups = materialize(open_groups(met, spans))
-    more = alike_around(materialize(surroundings(groups, texts, passage)))
-    new = materialize(more.join(pairs.select(*PAIR), PAIR, "left_anti"))
-    return found.union(materialize(_aligned(new, texts, passage, similarity))).distinct()
+    around = materialize(surroundings(materialize(open_groups(met, _spans(found))), texts, passage))
+    done = pairs.select(*PAIR)
+    for step in (lambda: alike_around(around), lambda: all_alike(around, _spans(found), True), lambda: all_alike(around, _spans(found), False)):
+        new = materialize(step().join(done, PAIR, "left_anti"))
+        found = found.union(materialize(_aligned(new, texts, passage, similarity)))
+        done = done.union(new.select(*PAIR))
+    return found.distinct()
 
 
 def passages(docs: DataFrame, passage: int = PASSAGE, similarity: float = SIMILARITY) -> DataFrame:

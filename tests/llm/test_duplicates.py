@@ -202,6 +202,44 @@ def test_passages_of_near_copies(spark, n):
     assert len(wanted) >= n // 5 and len(wanted & covered) >= 0.95 * len(wanted) and not covered - wanted
 
 
+@pytest.mark.parametrize("near,farthest", [(1, 1), (32, 1 << 14)])
+def test_every_open_window_meets_its_whole_group(spark, monkeypatch, near, farthest):
+    """One passage's variants, each of which only one other document has, far away in every order: none is left out."""
+    monkeypatch.setattr(substring, "NEAR", near)
+    monkeypatch.setattr(substring, "FARTHEST", farthest)
+    monkeypatch.setattr(substring, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    n, least = 150, substring.LEAST_BITS
+    bits = rng.random((n, substring.BITS)) < 0.06
+    partner = [(int(i), int(i) + 75) for i in rng.permutation(75)]
+    for a, b in partner:
+        bits[b] = np.where(rng.random(substring.BITS) < 0.1, bits[b], bits[a])
+    packed = np.packbits(bits, axis=1)
+    rows = [(7, int(s), i, 0, 5, True, n, packed[i].tobytes()) for i, s in enumerate(rng.permutation(n))]
+    windows = spark.createDataFrame(rows, substring._schema(substring.AROUND_C))
+    none = spark.createDataFrame([], "doc_id bigint, v int, spans array<struct<start_word:bigint,end_word:bigint>>")
+    shared = (bits[:, None] & bits[None]).sum(2)
+    wanted = {(a, b) for a in range(n) for b in range(a + 1, n) if shared[a, b] >= least}
+    assert set(partner) <= wanted
+    before = {(r["a"], r["b"]) for r in substring.alike_around(windows).collect()}
+    assert before < wanted  # what neighbours and doubled distances leave
+    assert {(r["a"], r["b"]) for r in substring.all_alike(windows, none, False).collect()} == wanted
+    assert {r["b"] for r in substring.all_alike(windows, none, True).collect()} == {b for _, b in wanted}
+
+
+def test_passages_of_near_copies_do_not_hang_on_their_order(spark, monkeypatch):
+    monkeypatch.setattr(substring, "NEAR", 1)
+    monkeypatch.setattr(substring, "FARTHEST", 1)
+    monkeypatch.setattr(substring, "BLOCK", 16)
+    rng = random.Random(200)
+    passage = text(rng, 60).split()
+    texts = [" ".join([text(rng, rng.randint(0, 40)), *(w if rng.random() > 0.03 else rng.choice(WORDS) for w in passage), text(rng, rng.randint(0, 40))]) for _ in range(120)]
+    tokens = [shingle_hashes(*word_hashes(pa.array([t]))[:2], 5)[0] for t in texts]
+    wanted = {b for b in range(120) if any(substring.align(tokens[a], tokens[b], np.zeros(0, np.int64)) for a in range(b))}
+    covered = {b for b, *_ in spans(spark, texts)}
+    assert len(wanted) > 60 and len(wanted & covered) >= 0.99 * len(wanted) and not covered - wanted
+
+
 def test_remove_passages(spark):
     rng = random.Random(5)
     passage = "\n".join(text(rng, 20) for _ in range(3))
