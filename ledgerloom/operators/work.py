@@ -44,19 +44,30 @@ def dependency_states(dependencies: DataFrame, effects: DataFrame, cycles: DataF
 def dependency_cycles(dependencies: DataFrame, limit: int = DEPENDENCY_LIMIT) -> DataFrame:
     """(request_id): requests that reach themselves, or reach more than ``limit`` requests, which counts as a cycle.
 
-    Each round extends the reached sets by one edge, new pairs only, until none is
-    new; a request past the limit is settled and travels no further.
+    A row a request holds what it reaches in up to so many steps (``seen``, at most one more than the limit) and what lies exactly
+    that far (``far``). A round joins it with the rows of those that are ``far``, which doubles the steps, so
+    there are as many rounds as the limit has binary digits. A request past the limit is settled, and so is all that reaches it.
     """
-    edges = dependencies.select(F.col("request_id").alias("a"), F.col("depends_on").alias("b")).distinct()
-    reached = cut(edges.withColumnRenamed("a", "request_id"))
-    frontier = reached
+    edges = dependencies.select(F.col("request_id").alias("a"), F.col("depends_on").alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct()
+    few = edges.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy("b"))).where(F.col("k") <= limit + 1)
+    state = few.groupBy("a").agg(F.collect_list("b").alias("seen"))
+    # An ``over`` row keeps no lists: whoever reaches it is over as well.
+    state = cut(state.select("a", (F.size("seen") > limit).alias("over"), "seen", F.col("seen").alias("far")))
+    none = F.array().cast("array<string>")
     while True:
-        settled = reached.groupBy("request_id").agg(F.count("*").alias("n"), F.max((F.col("b") == F.col("request_id")).cast("int")).alias("own")).where((F.col("n") > limit) | (F.col("own") == 1)).select("request_id")
-        step = frontier.join(settled, "request_id", "left_anti").join(edges.withColumnRenamed("b", "c"), F.col("b") == F.col("a")).select("request_id", F.col("c").alias("b")).distinct()
-        frontier = cut(step.join(reached, ["request_id", "b"], "left_anti"))
-        if frontier.isEmpty():
-            return settled
-        reached = cut(reached.union(frontier))
+        moving = state.where(~F.col("over") & (F.size("far") > 0))
+        if moving.isEmpty():
+            break
+        steps = moving.select(F.col("a").alias("of"), F.explode("far").alias("a"))
+        met = steps.join(state.select("a", "over", F.when(~F.col("over"), F.col("seen")).alias("seen"), F.when(~F.col("over"), F.col("far")).alias("far")), "a")
+        # ``far`` has at most limit + 1 entries, so a row gathers at most that many lists of that length.
+        more = met.groupBy("of").agg(F.max("over").alias("m_over"), F.flatten(F.collect_list("seen")).alias("m_seen"), F.flatten(F.collect_list("far")).alias("m_far")).withColumnRenamed("of", "a")
+        live = ~F.col("over") & (F.size("far") > 0)
+        seen = F.when(live, F.array_union("seen", F.coalesce("m_seen", none))).otherwise(F.col("seen"))
+        far = F.when(live, F.array_except(F.coalesce("m_far", none), "seen")).otherwise(none)
+        over = F.col("over") | F.coalesce("m_over", F.lit(False)) | (F.size("new") > limit)
+        state = cut(state.join(more, "a", "left").withColumn("new", seen).select("a", over.alias("over"), F.slice("new", 1, limit + 1).alias("seen"), far.alias("far")))
+    return state.where(F.col("over") | F.array_contains("seen", F.col("a"))).select(F.col("a").alias("request_id"))
 
 
 def predecessors(tasks: DataFrame) -> DataFrame:

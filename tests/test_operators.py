@@ -124,3 +124,32 @@ def test_catalog_revisions(spark):
     ops = ["snapshot.patch", "directory.create", "directory.move", "snapshot.patch", "directory.delete"]
     df = spark.createDataFrame([(i * 3000, op) for i, op in enumerate(ops)], "event_seq bigint, operation string")
     assert [r[1] for r in rows(fold.catalog_revisions(df))] == [0, 1, 2, 2, 3]
+
+
+def test_cycles_of_random_graphs_in_few_rounds(spark, monkeypatch):
+    import random
+
+    from ledgerloom.operators import work
+
+    rng = random.Random(8)
+    edges = {(f"r{rng.randrange(150)}", f"r{rng.randrange(150)}") for _ in range(110)}
+    edges |= {(f"s{i}", f"s{i + 1}") for i in range(40)} | {(f"t{i}", f"t{(i + 1) % 31}") for i in range(31)}  # a long chain, a wide cycle
+    edges |= {("hub", f"h{i}") for i in range(60)} | {("to_hub", "hub"), ("self", "self"), ("u0", "u1"), ("u1", "u0"), ("u0", "s20")}
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    reach = {}
+    for a in after:
+        todo, reach[a] = list(after[a]), set()
+        while todo:
+            b = todo.pop()
+            if b not in reach[a]:
+                reach[a].add(b)
+                todo += after.get(b, ())
+    rounds = []
+    monkeypatch.setattr(work, "cut", lambda df: rounds.append(1) or df.localCheckpoint())
+    for limit in (32, 5):
+        rounds.clear()
+        got = {r["request_id"] for r in work.dependency_cycles(spark.createDataFrame(sorted(edges), "request_id string, depends_on string"), limit).collect()}
+        assert got == {a for a, r in reach.items() if a in r or len(r) > limit}
+        assert len(rounds) <= 7
