@@ -56,24 +56,37 @@ def envelope_code(protocol: str, version: int) -> Column:
     )
 
 
+def _meet(rows: DataFrame, facts: DataFrame, *keys: str) -> DataFrame:
+    """A left join on ``keys``. Rows with a null key meet nothing; they are spread over the tasks by their first column."""
+    void = F.lit(False)
+    for k in keys:
+        void = void | F.col(k).isNull()
+    rows = rows.withColumn("_salt", F.when(void, F.pmod(F.xxhash64(rows.columns[0]), F.lit(1024))).otherwise(F.lit(0).cast("bigint")))
+    # 0 of every row that has its keys, but not a literal, so that it stays a key.
+    facts = facts.withColumn("_salt", F.least(F.length(keys[0]), F.lit(0)).cast("bigint"))
+    return rows.join(facts, [*keys, "_salt"], "left").drop("_salt")
+
+
 def target_codes(requests: DataFrame, nodes: DataFrame, stopped: DataFrame) -> DataFrame:
     """Requests (request_id, operation, node_id, parent_id, name) with the ``code`` that refuses them against the tree, or null.
 
     ``stopped`` has the nodes under a gate or a node that is not active, with the ``distance`` to it.
     """
-    state = nodes.select(F.col("node_id"), F.col("kind").alias("node_kind"), F.col("lifecycle").alias("node_state"), F.col("parent_id").alias("node_parent"))
-    parent = nodes.select(F.col("node_id").alias("parent_id"), F.col("kind").alias("parent_kind"), F.col("lifecycle").alias("parent_state"))
-    stop = stopped.select("node_id", F.lit(True).alias("node_blocked"))
-    parent_stop = stopped.select(F.col("node_id").alias("parent_id"), F.lit(True).alias("parent_blocked"), (F.col("distance") == 0).alias("parent_gated"))
+    about = nodes.select("node_id", "kind", "lifecycle", "parent_id", "name").join(stopped.select("node_id", "distance"), "node_id", "left")
+    state = about.select("node_id", F.col("kind").alias("node_kind"), F.col("lifecycle").alias("node_state"), F.col("parent_id").alias("node_parent"), F.col("name").alias("own_name"), F.col("distance").isNotNull().alias("node_blocked"))
+    parent = about.select(F.col("node_id").alias("parent_id"), F.col("kind").alias("parent_kind"), F.col("lifecycle").alias("parent_state"), F.col("distance").isNotNull().alias("parent_blocked"), (F.col("distance") == 0).alias("parent_gated"))
     moves = requests.where("operation = 'directory.move'").select("node_id", F.col("parent_id").alias("new_parent_id")).distinct()
     loops = move_cycles(nodes, moves).where("cycle").select("node_id", F.col("new_parent_id").alias("parent_id"), F.lit(True).alias("loops"))
     held = nodes.where("lifecycle <> 'deleted'").groupBy(F.coalesce("parent_id", F.lit("")).alias("held_parent"), F.col("name").alias("held_name")).agg(F.min("node_id").alias("holder"), F.count("*").alias("holders"))
-    wide = requests.join(state, "node_id", "left").join(parent, "parent_id", "left").join(stop, "node_id", "left").join(parent_stop, "parent_id", "left").join(loops, ["node_id", "parent_id"], "left")
+    first, *_ = requests.columns
+    wide = requests
+    for facts, keys in ((state, ["node_id"]), (parent, ["parent_id"]), (loops, ["node_id", "parent_id"])):
+        wide = _meet(wide.select(first, *(n for n in wide.columns if n != first)), facts, *keys)
     op = F.col("operation")
     under = F.when(op == "directory.rename", F.col("node_parent")).otherwise(F.col("parent_id"))
-    moved = nodes.select(F.col("node_id"), F.col("name").alias("own_name"))
-    wide = wide.join(moved, "node_id", "left").withColumn("wanted", F.when(op == "directory.move", F.col("own_name")).otherwise(F.col("name")))
-    wide = wide.withColumn("under", F.coalesce(under, F.lit(""))).join(held, (F.col("under") == F.col("held_parent")) & (F.col("wanted") == F.col("held_name")), "left")
+    wide = wide.withColumn("wanted", F.when(op == "directory.move", F.col("own_name")).otherwise(F.col("name"))).withColumn("under", F.coalesce(under, F.lit("")))
+    held = held.withColumnsRenamed({"held_parent": "under", "held_name": "wanted"})
+    wide = _meet(wide.select(first, *(n for n in wide.columns if n != first)), held, "under", "wanted")
     creates = op.isin("directory.create", "snapshot.create")
     snapshot_op = op.isin("snapshot.patch", "snapshot.delete", "conflict.resolve")
     taken = F.col("holder").isNotNull() & ~(F.col("holder").eqNullSafe(F.col("node_id")) & (F.col("holders") == 1))
@@ -131,7 +144,7 @@ def accept_batch(batch: DataFrame, nodes: DataFrame, gates: DataFrame, requests:
         F.coalesce(c("target.nodeId"), F.when(creates, derived_id("node", c("requestId")))).alias("node_id"), c("target.parentId").alias("parent_id"), c("target.name").alias("name"), c("target.kind").alias("kind"), envelope_code(protocol, version).alias("malformed"),
     )
     known = requests.select("request_id", c("content_hash").alias("known_hash"))
-    held = cut(nodes.select("node_id").union(rows.select("node_id")).union(rows.select("parent_id")).where("node_id IS NOT NULL").distinct())
+    held = cut(rows.select("node_id").union(rows.select("parent_id")).where("node_id IS NOT NULL").distinct())
     stops = blocked(nodes, gates)
     coded = target_codes(rows.select("event_seq", "operation", "node_id", "parent_id", "name"), nodes, stops).select("event_seq", c("code").alias("target_code"))
     missing_parent = nodes.select(c("node_id").alias("parent_id"), F.lit(True).alias("parent_known"))
@@ -144,8 +157,10 @@ def accept_batch(batch: DataFrame, nodes: DataFrame, gates: DataFrame, requests:
         .when((c("operation") == "snapshot.patch") & c("baseRevision").isNull(), "invalid_base_revision")
     )
     first = F.when(c("malformed").isNotNull(), c("malformed")).when(~c("operation").isin(*PROJECTED), "unsupported_operation").when(c("epoch") != epoch, "workspace_epoch_mismatch")
-    base = rows.join(known, "request_id", "left").join(coded, "event_seq").join(missing_parent, "parent_id", "left").join(nodes.select("node_id", c("lifecycle").alias("node_known")), "node_id", "left")
-    base = cut(base.withColumns({"first": first, "shape": shape}))
+    base = rows.join(known, "request_id", "left").join(coded, "event_seq")
+    base = _meet(base.select("event_seq", *(n for n in base.columns if n != "event_seq")), missing_parent, "parent_id").join(nodes.select("node_id", c("lifecycle").alias("node_known")), "node_id", "left")
+    base = base.withColumns({"first": first, "shape": shape}).select("event_seq", "request_id", "content_hash", "known_hash", "operation", "epoch", "dependsOn", "replaces", "node_id", "parent_id", "target_code", "parent_known", "node_known", "first", "shape")
+    base = cut(base)
     above = cut(closure(nodes, held).select("node_id", "ancestor_id"))
     old = requests.select(c("request_id").alias("other"), c("workspace_epoch").alias("other_epoch"), "operation", "node_id", "effect", F.lit(-1).cast("bigint").alias("other_seq"))
     accepted = cut(base.where(c("first").isNull()).select("event_seq"))
@@ -178,19 +193,20 @@ def _settle(base: DataFrame, own: DataFrame, there: DataFrame, above: DataFrame,
     each = deps.groupBy("event_seq", "pos").agg(F.min(F.struct(bad.isNotNull().alias("is_bad"), bad.alias("code"))).alias("d"))
     deps = each.where("d.is_bad").groupBy("event_seq").agg(F.min(F.struct("pos", "d.code")).alias("d")).select("event_seq", c("d.code").alias("dependency_code"))
     pending = there.where("effect = 'pending'").select("other", "operation", "node_id", "other_seq")
-    first = lambda rows, key, name: rows.groupBy(key).agg(F.min("other_seq").alias(name))
-    made = pending.where(creates)
-    parents = first(made.withColumnRenamed("node_id", "parent_id"), "parent_id", "parent_seq")
-    taken = first(pending, "node_id", "taken_seq")
-    removed = first(pending.where("operation = 'directory.delete'"), "node_id", "delete_seq")
+    removed = pending.where("operation = 'directory.delete'").groupBy("node_id").agg(F.min("other_seq").alias("gate_seq"))
     # A deletion blocks its node and all below it; one of a node that was never there blocks that name.
-    gates = above.join(removed.withColumnRenamed("node_id", "ancestor_id"), "ancestor_id").select("node_id", "delete_seq").union(removed.select("node_id", "delete_seq")).groupBy("node_id").agg(F.min("delete_seq").alias("gate_seq"))
+    gates = above.join(removed.withColumnRenamed("node_id", "ancestor_id"), "ancestor_id").select("node_id", "gate_seq").union(removed)
+    at = lambda test, name: F.when(test, c("other_seq")).alias(name)
+    none = F.lit(None).cast("bigint")
+    facts = pending.select("node_id", at(creates, "parent_seq"), c("other_seq").alias("taken_seq"), at(c("operation") == "directory.delete", "delete_seq"), none.alias("gate_seq"))
+    facts = facts.union(gates.select("node_id", none, none, none, "gate_seq")).groupBy("node_id").agg(*(F.min(n).alias(n) for n in ("parent_seq", "taken_seq", "delete_seq", "gate_seq")))
     old = base.select("event_seq", F.explode("replaces").alias("other")).join(there.select("other", "other_epoch", c("operation").alias("other_operation"), "effect", "other_seq"), "other", "left")
     gone = ~F.coalesce(seq & (c("other_epoch") == epoch), F.lit(False))
     fixed = (c("effect") != "pending") | c("other_operation").isin("directory.delete", "conflict.resolve", "task.retry")
     old = old.groupBy("event_seq").agg(F.min(F.when(gone, "replace_target_not_found").when(fixed, "replace_target_not_allowed")).alias("replace_code"))
-    wide = base.join(twin, "request_id", "left").join(deps, "event_seq", "left").join(parents, "parent_id", "left").join(taken, "node_id", "left").join(removed, "node_id", "left")
-    wide = wide.join(gates, "node_id", "left").join(gates.select(c("node_id").alias("parent_id"), c("gate_seq").alias("parent_gate_seq")), "parent_id", "left").join(old, "event_seq", "left")
+    wide = base.join(twin, "request_id", "left").join(deps, "event_seq", "left").join(old, "event_seq", "left").join(facts.drop("parent_seq"), "node_id", "left")
+    over = facts.select(c("node_id").alias("parent_id"), "parent_seq", c("gate_seq").alias("parent_gate_seq"))
+    wide = _meet(wide.select("event_seq", *(n for n in wide.columns if n != "event_seq")), over, "parent_id")
     before = lambda name: F.coalesce(c(name) < c("event_seq"), F.lit(False))
     provisional = creates & c("parent_known").isNull() & (c("target_code") == "target_not_found") & before("parent_seq")
     # The target's code stops at the parent; what else could be wrong is the node's own id.

@@ -140,3 +140,22 @@ def test_batches(spark, seed):
     wrong = {k: (got[k], want[k], batch[k]["operation"], batch[k]["target"], batch[k]["dependsOn"], batch[k]["replaces"]) for k in want if got[k] != want[k]}
     assert not wrong, wrong
     assert sum(c[0] == "accepted" for c in want.values()) >= 5
+
+
+def test_rows_without_a_key_are_spread_and_meet_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.plans.accept import _meet
+
+    rows = spark.createDataFrame([(i, None if i % 4 else f"n{i}") for i in range(400)], "event_seq bigint, node_id string")
+    facts = spark.createDataFrame([(f"n{i}", i) for i in range(0, 400, 8)] + [(None, -1)], "node_id string, x int")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = _meet(rows, facts, "node_id").withColumn("p", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {(r["event_seq"], r["x"]) for r in got} == {(i, i if i % 8 == 0 else None) for i in range(400)} and len(got) == 400
+    assert len({r["p"] for r in got if r["node_id"] is None}) == 4
