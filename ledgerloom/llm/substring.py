@@ -22,9 +22,13 @@ least passage reaches, and are compared by it alone, which costs no text; docume
 whose bitmaps share as many bits as a passage needs are aligned. A group of up to ``NEAR`` more than one meets
 whole. In a larger one windows stand in order of the bitmap's own min-hash, so that like surroundings
 stand together, and an open window is compared with the ``NEAR`` before it and those at doubled
-distances; that covers most. A window that is open still meets all of its group, in blocks of
-``BLOCK`` times ``BLOCK`` over the tasks: first the most similar one is aligned, then, where that did not cover
-c, every other one, so no window of its hash is left out.
+distances. Windows that are open still meet all of their group, in blocks of
+``BLOCK`` times ``BLOCK`` over the tasks. In each of these steps the most similar one is aligned; last, where that did not cover
+c, every other one, in blocks of documents, so no window of its hash is left out. Pairs are not aligned if the tokens
+around the two c show that no passage can hold both.
+
+Of the passages of a document those that lie in another one of it are not told, nor in the last step those whose words
+are all told already: each repeated word has one reference at least, and not one for every earlier copy.
 
 A reported passage is always that of the document with the larger id, and refers
 to an earlier one, so removing all reported passages leaves each first occurrence.
@@ -43,7 +47,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import among, fresh, materialize, mix64, shingle_hashes, text_slices, word_hashes
@@ -60,6 +64,9 @@ BLOCK = 8192  # windows on a side of a block of a group whose open windows meet
 BITS = 1024  # of the bitmap of the tokens around a window's c
 LEAST_BITS = 32  # that two bitmaps share around a passage; 46 tokens of similarity 0.8 share 41
 GAP = 12  # tokens between two aligned stretches of a passage
+SIEVE = 4096  # bits of the bitmap that tells which tokens around a c stand around another
+BYTES = 8_000_000  # of the texts on a side of a block of pairs of documents, about
+PAIRS = 1 << 14  # pairs of windows whose tokens are compared at a time, or of documents in a block of them, about
 SPREAD = 0x9E3779B1
 
 
@@ -219,9 +226,14 @@ def open_groups(met: DataFrame, spans: DataFrame) -> DataFrame:
     return marked.join(groups, "hash").select("hash", "doc_id", "v", "c", "open", "n")
 
 
+#: As ``AROUND_C``, with the tokens around c (16 bits each, 0 outside the text) in place of the bitmap, which follows from them.
+AROUND_T = {n: t for n, t in AROUND_C.items() if n != "bits"} | {"tokens": pa.binary()}
+
+
 def surroundings(groups: DataFrame, texts: DataFrame, passage: int) -> DataFrame:
-    """The windows of ``groups`` with the columns ``AROUND_C``."""
+    """The windows of ``groups`` with the columns ``AROUND_T``."""
     reach = passage - WIDTH  # tokens before and after c that a least passage which holds it may have
+    sight = reach + GAP + 1  # what is shared from c up to here and no gap beyond is more than a least passage
     listed = groups.groupBy("doc_id", "v").agg(F.collect_list(F.struct("hash", "c", "open", "n")).alias("w"))  # a text's own windows
     rows = among(texts, "doc_id", listed.select("doc_id").distinct()).dropDuplicates(["doc_id", "v"]).join(listed, ["doc_id", "v"])
 
@@ -233,16 +245,67 @@ def surroundings(groups: DataFrame, texts: DataFrame, passage: int) -> DataFrame
             c, hash_ = inner.field("c").to_numpy(), inner.field("hash").to_numpy()
             for start in range(0, len(row), 4096):
                 s = slice(start, start + 4096)
-                at = begins[row[s], None] + c[s, None] + np.arange(-reach, reach + 1)
-                at = np.clip(at, begins[row[s], None], begins[row[s] + 1, None] - 1)
-                mixed = mix64(tokens[at] ^ np.uint64(SPREAD))
-                flags = np.zeros((len(at), BITS), bool)
-                flags[np.arange(len(at))[:, None], (mixed % np.uint64(BITS)).astype(np.int64)] = True
-                bits = np.packbits(flags, axis=1)
-                arrays = [pa.array(hash_[s]), pa.array((mixed.min(1) >> np.uint64(33)).astype(np.int32)), *(batch.column(n).take(pa.array(row[s])) for n in ("doc_id", "v")), pa.array(c[s]), inner.field("open").slice(start, len(at)), inner.field("n").slice(start, len(at)), pa.array([b.tobytes() for b in bits], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=list(AROUND_C))
-
-    return rows.select("doc_id", "v", "w", "text").mapInArrow(run, _schema(AROUND_C))
+                at = begins[row[s], None] + c[s, None] + np.arange(-sight, sight + 1)
+                inside = (at >= begins[row[s], None]) & (at < begins[row[s] + 1, None])
+                mixed = mix64(tokens[np.clip(at, 0, len(tokens) - 1)] ^ np.uint64(SPREAD))
+                least = np.where(inside, mixed, ~np.uint64(0))[:, sight - reach : sight + reach + 1].min(1)
+                near = np.where(inside, (mixed % np.uint64(0xFFFF)).astype(np.uint16) + np.uint16(1), np.uint16(0))
+                arrays = [pa.array(hash_[s]), pa.array((least >> np.uint64(33)).astype(np.int32)), *(batch.column(n).take(pa.array(row[s])) for n in ("doc_id", "v")), pa.array(c[s]), inner.field("open").slice(start, len(at)), inner.field("n").slice(start, len(at)), pa.array([b.tobytes() for b in near], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=list(AROUND_T))
+
+    return rows.select("doc_id", "v", "w", "text").mapInArrow(run, _schema(AROUND_T))
+
+
+def _bitmap(tokens: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap of ``size`` bits of each row of tokens, as 64-bit words."""
+    flags = np.zeros((len(tokens), size), bool)
+    row, column = np.nonzero(tokens)
+    flags[row, tokens[row, column] % size] = True
+    return np.packbits(flags, axis=1).view(np.uint64)
+
+
+def _around(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray | None]:
+    """(bitmaps, tokens) of windows; those that come with their bitmap have no tokens."""
+    name = "tokens" if "tokens" in t.schema.names else "bits"
+    data = np.frombuffer(b"".join(t.column(name).to_pylist()), np.uint64 if name == "bits" else np.uint16).reshape(t.num_rows, -1)
+    if name == "bits":
+        return data, None
+    parts = [_bitmap(data[i : i + 4096, GAP + 1 : -GAP - 1], BITS) for i in range(0, len(data), 4096)]
+    return np.concatenate(parts) if parts else np.zeros((0, BITS // 64), np.uint64), data
+
+
+def _sees(sieves: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the tokens around a c and, row by row, the sieves of what is around another: (how many are shared around c without a gap of more than ``GAP``, whether those go on to the end of sight)."""
+    bit = (tokens % SIEVE).astype(np.int32)
+    shared = ((np.take_along_axis(sieves, bit >> 3, 1) >> (7 - (bit & 7)).astype(np.uint8)) & 1).astype(bool) & (tokens > 0)
+    middle, count, on = shared.shape[1] // 2, np.zeros(len(shared), np.int64), np.zeros(len(shared), bool)
+    for side in (shared[:, middle:], shared[:, middle::-1]):
+        at = np.arange(side.shape[1], dtype=np.int16)
+        last = np.maximum.accumulate(np.where(side, at, np.int16(0)), axis=1)
+        ended = np.logical_or.accumulate(at - last > GAP, axis=1)
+        count += (side & ~ended).sum(1)
+        on |= ~ended[:, -1]
+    return count - shared[:, middle], on
+
+
+def can_hold(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, passage: int, similarity: float) -> np.ndarray:
+    """Which pairs of tokens x[i] and y[j] around c may hold a passage with c.
+
+    Stretches of a passage stand at most ``GAP`` tokens apart in both texts. So where what is shared around c ends
+    within sight on both sides of both, a passage lies inside and must share as many tokens as a least one does.
+    No pair is turned down that ``align`` would give a passage in which the one c meets the other.
+    """
+    tokens = passage - WIDTH + 1
+    least = 2 * similarity * tokens / (1 + similarity)
+    out = np.zeros(len(i), bool)
+    for start in range(0, len(i), PAIRS):
+        s = slice(start, start + PAIRS)
+        own_x, of_x = np.unique(i[s], return_inverse=True)
+        own_y, of_y = np.unique(j[s], return_inverse=True)
+        count_y, on_y = _sees(_bitmap(x[own_x], SIEVE).view(np.uint8)[of_x], y[j[s]])
+        count_x, on_x = _sees(_bitmap(y[own_y], SIEVE).view(np.uint8)[of_y], x[i[s]])
+        out[s] = on_x | on_y | ((count_x >= least) & (count_y >= least))
+    return out
 
 
 #: Two documents, the earlier one first, and how far a window's c in the one is from that in the other.
@@ -250,10 +313,24 @@ ALIKE = {"a": pa.int64(), "va": pa.int32(), "b": pa.int64(), "vb": pa.int32(), "
 MEETING = ALIKE | {"cy": pa.int32(), "shared": pa.int32()}
 
 
-def alike_around(windows_: DataFrame) -> DataFrame:
-    """a, va, b, vb, diagonals: documents of which the later one has an open window whose surroundings share ``LEAST_BITS`` with the other's."""
+def _best(pairs: DataFrame) -> DataFrame:
+    """Of the pairs (columns ``MEETING``) of each place the one that shares most bits."""
+    return pairs.groupBy("b", "vb", "cy").agg(F.max(F.struct("shared", "a", "va", "d")).alias("x")).select("x.a", "x.va", "b", "vb", "x.d")
+
+
+def _meeting(x: tuple, y: tuple, i: np.ndarray, j: np.ndarray, shared: np.ndarray) -> list[pa.Array]:
+    """The columns ``MEETING`` of the windows i of x and j of y."""
+    (xd, xv, xc), (yd, yv, yc) = x, y
+    values = [xd[i], xv[i], yd[j], yv[j], xc[i].astype(np.int64) - yc[j], yc[j], shared]
+    return [pa.array(k, t) for k, t in zip(values, MEETING.values())]
+
+
+def alike_around(windows_: DataFrame, best: bool = False, larger: bool = True, passage: int = PASSAGE, similarity: float = SIMILARITY) -> DataFrame:
+    """a, va, b, vb, diagonals: documents of which the later one has an open window whose surroundings share ``LEAST_BITS`` with the other's.
+
+    Pairs whose tokens cannot hold a passage are left out. With ``best``, only the pair that shares most bits for each place; without ``larger``, only groups that meet whole.
+    """
     order = ["hash", "sketch", "doc_id", "v", "c"]
-    fields = ALIKE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("hash", "doc_id", "v", "c")
@@ -262,7 +339,8 @@ def alike_around(windows_: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             w = {n: batch.column(n).to_numpy() for n in names} | {"open": batch.column("open").to_numpy(zero_copy_only=False)}
-            w["bits"] = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            bits, tokens = _around(batch)
+            w |= {"bits": bits} if tokens is None else {"bits": bits, "tokens": tokens}
             old = 0 if tail is None else len(tail["hash"])
             w = w if tail is None else {n: np.concatenate([tail[n], x]) for n, x in w.items()}
             n, apart = len(w["hash"]), 1
@@ -277,62 +355,100 @@ def alike_around(windows_: DataFrame) -> DataFrame:
                 x, y = np.where(swap, j, i), np.where(swap, i, j)
                 good = w["open"][y] & ((w["doc_id"][x] != w["doc_id"][y]) | (w["v"][x] != w["v"][y]))
                 x, y = x[good], y[good]
-                good = np.bitwise_count(w["bits"][x] & w["bits"][y]).sum(1) >= LEAST_BITS
-                found.append((x[good], y[good]))
+                shared = np.bitwise_count(w["bits"][x] & w["bits"][y]).sum(1).astype(np.int64)
+                good = shared >= LEAST_BITS
+                x, y, shared = x[good], y[good], shared[good]
+                if tokens is not None:
+                    good = can_hold(w["tokens"], w["tokens"], x, y, passage, similarity)
+                    x, y, shared = x[good], y[good], shared[good]
+                found.append((x, y, shared))
                 apart += 1 if apart < NEAR else apart
             if found:
-                x, y = (np.concatenate(k) for k in zip(*found))
-                values = [w["doc_id"][x], w["v"][x], w["doc_id"][y], w["v"][y], w["c"][x].astype(np.int64) - w["c"][y]]
-                yield pa.RecordBatch.from_arrays([pa.array(k, t) for k, t in zip(values, fields.values())], names=list(fields))
+                x, y, shared = (np.concatenate(k) for k in zip(*found))
+                if best and len(y):
+                    rank = np.lexsort((w["c"][x], w["v"][x], w["doc_id"][x], shared, y))
+                    last = rank[np.append(y[rank][1:] != y[rank][:-1], True)]
+                    x, y, shared = x[last], y[last], shared[last]
+                side = tuple(w[n] for n in names[1:])
+                yield pa.RecordBatch.from_arrays(_meeting(side, side, x, y, shared), names=list(MEETING))
             keep = max(int(np.searchsorted(w["hash"], w["hash"][-1])), n - FARTHEST)
             tail = {n: x[keep:] for n, x in w.items()}
 
     # A group that meets whole is one task's; the borders of ranges cut only larger ones, which ``all_alike`` goes through again.
-    small = windows_.where(F.col("n") <= NEAR + 1).repartition("hash").sortWithinPartitions(*order)
-    large = windows_.where(F.col("n") > NEAR + 1).repartitionByRange(*order).sortWithinPartitions(*order)
-    pairs = small.mapInArrow(run, _schema(fields)).union(large.mapInArrow(run, _schema(fields)))
-    return pairs.groupBy(*PAIR).agg(F.collect_set("d").alias("diagonals"))
+    pairs = windows_.where(F.col("n") <= NEAR + 1).repartition("hash").sortWithinPartitions(*order).mapInArrow(run, _schema(MEETING))
+    if larger:
+        pairs = pairs.union(windows_.where(F.col("n") > NEAR + 1).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, _schema(MEETING)))
+    return (_best(pairs) if best else pairs).groupBy(*PAIR).agg(F.collect_set("d").alias("diagonals"))
 
 
-def _block_alike(x: pa.Table, y: pa.Table) -> pa.Table:
-    """The pairs (columns ``MEETING``) of a window of x and an open one of y, of a later document, whose bitmaps share ``LEAST_BITS``."""
+def _block_alike(x: pa.Table, y: pa.Table, best: bool, passage: int, similarity: float) -> pa.Table:
+    """The pairs (columns ``MEETING``) of a window of x and an open one of y, of a later document, whose bitmaps share ``LEAST_BITS`` and whose tokens can hold a passage.
+
+    With ``best``, one pair at most for each window of y.
+    """
     sides = []
     for t in (x, y):
-        t = t.sort_by([("doc_id", "ascending"), ("v", "ascending")])
-        sides.append([t.column(n).to_numpy() for n in ("doc_id", "v", "c")] + [np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(t.num_rows, -1)])
-    (xd, xv, xc, xbits), (yd, yv, yc, ybits) = sides
-    found = []
+        t = t.sort_by([(n, "ascending") for n in ("doc_id", "v", "c")])
+        sides.append((tuple(t.column(n).to_numpy() for n in ("doc_id", "v", "c")), *_around(t)))
+    (xs, xbits, xtokens), (ys, ybits, ytokens) = sides
+    (xd, xv, _), (yd, yv, _) = xs, ys
+    top, top_at = np.zeros(len(yd), np.int64), np.full(len(yd), -1)
+    found, waiting, n = [], [], 0
+
+    def settle() -> None:
+        j, i, shared = (np.concatenate(k) for k in zip(*waiting))
+        if xtokens is not None:
+            good = can_hold(xtokens, ytokens, i, j, passage, similarity)
+            j, i, shared = j[good], i[good], shared[good]
+        if best and len(j):
+            rank = np.lexsort((i, shared, j))
+            last = rank[np.append(j[rank][1:] != j[rank][:-1], True)]
+            better = last[(shared[last] > top[j[last]]) | ((shared[last] == top[j[last]]) & (i[last] > top_at[j[last]]))]
+            top[j[better]], top_at[j[better]] = shared[better], i[better]
+        elif not best:
+            found.append((j, i, shared))
+
     for start in range(0, len(yd), 16):
         s = slice(start, start + 16)
         m = int(np.searchsorted(xd, yd[s][-1], side="right"))  # those after the last of y are later
         shared = np.bitwise_count(ybits[s, None] & xbits[None, :m]).sum(2, dtype=np.uint16)
-        i, j = np.nonzero(shared >= LEAST_BITS)
-        shared = shared[i, j]
-        i += start
-        before = (xd[j] < yd[i]) | ((xd[j] == yd[i]) & (xv[j] < yv[i]))
-        found.append((i[before], j[before], shared[before]))
-    i, j, shared = (np.concatenate(k) for k in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
-    values = [xd[j], xv[j], yd[i], yv[i], xc[j].astype(np.int64) - yc[i], yc[i], shared]
-    return pa.Table.from_arrays([pa.array(k, t) for k, t in zip(values, MEETING.values())], names=list(MEETING))
+        j, i = np.nonzero(shared >= LEAST_BITS)
+        shared = shared[j, i].astype(np.int64)
+        j += start
+        before = (xd[i] < yd[j]) | ((xd[i] == yd[j]) & (xv[i] < yv[j]))
+        waiting.append((j[before], i[before], shared[before]))
+        n += int(before.sum())
+        if n >= PAIRS:
+            settle()
+            waiting, n = [], 0
+    if waiting:
+        settle()
+    if best:
+        j = np.flatnonzero(top_at >= 0)
+        found.append((j, top_at[j], top[j]))
+    j, i, shared = (np.concatenate(k) for k in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    return pa.Table.from_arrays(_meeting(xs, ys, i, j, shared), names=list(MEETING))
 
 
-def all_alike(windows_: DataFrame, spans: DataFrame, best: bool) -> DataFrame:
-    """As ``alike_around``, of every window that ``spans`` leave open with every other one of its hash, for groups that did not meet whole there.
+def all_alike(windows_: DataFrame, spans: DataFrame, best: bool, passage: int = PASSAGE, similarity: float = SIMILARITY) -> DataFrame:
+    """As ``alike_around``, of every window that ``spans`` leave open with every other one of its hash, for groups that do not meet whole there.
 
-    With ``best``, only the one that shares most bits for each place. Where that settles the place, the others would tell it once more.
+    With ``best``, only the one that shares most bits for each place; a block gives one row a window. Where that settles the place, the others would tell it once more.
     """
     large = windows_.where(F.col("n") > NEAR + 1).withColumn("blocks", F.expr(f"n div {BLOCK} + 1")).withColumn("own", F.pmod(F.xxhash64("doc_id", "v", "c"), "blocks"))
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    columns = ["doc_id", "v", "c", "bits"]
+    columns = ["doc_id", "v", "c", "tokens" if "tokens" in windows_.columns else "bits"]
     y = materialize(_uncovered(large.drop("open"), spans).where("open").select("hash", "blocks", "own", *columns))
     x = large.join(y.select("hash").distinct(), "hash", "left_semi").select("hash", F.col("own").alias("bx"), every.alias("by"), *columns)
     y = y.select("hash", every.alias("bx"), F.col("own").alias("by"), *columns)
     x, y = (t.select(*(F.col(n).alias(n) for n in t.columns)) for t in (x, y))  # names of their own, as both come from one table
     key = ["hash", "bx", "by"]
-    pairs = x.groupBy(*key).cogroup(y.groupBy(*key)).applyInArrow(_block_alike, _schema(MEETING))
-    if best:
-        pairs = pairs.groupBy("b", "vb", "cy").agg(F.max(F.struct("shared", "a", "va", "d")).alias("x")).select("x.a", "x.va", "b", "vb", "x.d")
-    return pairs.groupBy(*PAIR).agg(F.collect_set("d").alias("diagonals"))
+
+    def blocks(x: pa.Table, y: pa.Table) -> pa.Table:
+        return _block_alike(x, y, best, passage, similarity)
+
+    pairs = x.groupBy(*key).cogroup(y.groupBy(*key)).applyInArrow(blocks, _schema(MEETING))
+    return (_best(pairs) if best else pairs).groupBy(*PAIR).agg(F.collect_set("d").alias("diagonals"))
 
 
 def enough_hashes(hash_: np.ndarray, lx: np.ndarray, rx: np.ndarray, ly: np.ndarray, ry: np.ndarray) -> bool:
@@ -378,14 +494,14 @@ def _common(x: np.ndarray, i: int, y: np.ndarray, j: int) -> int:
     return most
 
 
-def align(x: np.ndarray, y: np.ndarray, diagonals: np.ndarray, passage: int = PASSAGE, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, float]]:
+def align(x: np.ndarray, y: np.ndarray, diagonals: np.ndarray, passage: int = PASSAGE, similarity: float = SIMILARITY, order: np.ndarray | None = None) -> list[tuple[int, int, int, int, float]]:
     """Passages of y found in x: (start in y, end in y, start in x, end in x, similarity), in words, ends exclusive.
 
     A token of y is matched where the diagonal at hand goes on, else where it agrees
     longest: on a given diagonal or from its first place in x on. Stretches of one diagonal are joined over small gaps in
-    both texts as long as the tokens of the whole stay similar enough.
+    both texts as long as the tokens of the whole stay similar enough. ``order`` is that of x, if it is known.
     """
-    order = np.argsort(x, kind="stable")
+    order = np.argsort(x, kind="stable") if order is None else order
     at = np.minimum(np.searchsorted(x[order], y), len(x) - 1)
     first = np.where(x[order[at]] == y, order[at], -1)
     match = first.copy()
@@ -439,6 +555,14 @@ def align(x: np.ndarray, y: np.ndarray, diagonals: np.ndarray, passage: int = PA
     return out
 
 
+def may_cover(ordered: np.ndarray, y: np.ndarray, left: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    """Whether a stretch of y, of whose tokens ``similarity`` or more are among the sorted tokens of x, has one of the words ``left``. A passage is such a stretch."""
+    at = np.minimum(np.searchsorted(ordered, y), len(ordered) - 1)
+    surplus = np.concatenate([[0], np.cumsum(np.where(ordered[at] == y, 1 - similarity, -similarity))])
+    good = np.maximum.accumulate(surplus[:0:-1])[::-1] - np.minimum.accumulate(surplus[:-1]) >= -1e-6
+    return bool((good & np.lib.stride_tricks.sliding_window_view(left, WIDTH).any(1)).any())
+
+
 #: A passage of the document (doc_id, v) that the earlier document (ref_doc_id, ref_v) has.
 FOUND = {"doc_id": pa.int64(), "v": pa.int32(), "start_word": pa.int64(), "end_word": pa.int64(), "ref_doc_id": pa.int64(), "ref_start_word": pa.int64(), "ref_end_word": pa.int64(), "similarity": pa.float64()}
 
@@ -449,12 +573,26 @@ def _found(docs: DataFrame, passage: int, similarity: float) -> DataFrame:
     pairs = materialize(likely(collisions(met)))
     found = materialize(_aligned(pairs, texts, passage, similarity))
     around = materialize(surroundings(materialize(open_groups(met, _spans(found))), texts, passage))
-    done = pairs.select(*PAIR)
-    for step in (lambda: alike_around(around), lambda: all_alike(around, _spans(found), True), lambda: all_alike(around, _spans(found), False)):
+    done, least = pairs.select(*PAIR), (passage, similarity)
+
+    def rest() -> DataFrame:
+        spans = _spans(found)
+        return alike_around(_uncovered(around.drop("open"), spans), False, False, *least).union(all_alike(around, spans, False, *least))
+
+    for step in (lambda: alike_around(around, True, True, *least), lambda: all_alike(around, _spans(found), True, *least)):
         new = materialize(step().join(done, PAIR, "left_anti"))
         found = found.union(materialize(_aligned(new, texts, passage, similarity)))
         done = done.union(new.select(*PAIR))
-    return found.distinct()
+    new = materialize(rest().groupBy(*PAIR).agg(F.flatten(F.collect_list("diagonals")).alias("diagonals")).join(done, PAIR, "left_anti"))
+    return _outermost(found.union(materialize(_aligned_in_blocks(new, texts, _spans(found), passage, similarity))))
+
+
+def _outermost(found: DataFrame) -> DataFrame:
+    """The passages that do not lie in another one of their document; of those of one place that of the earliest document."""
+    order = [F.col("start_word"), F.desc("end_word"), *(F.col(n) for n in FOUND if n.startswith("ref_")), F.desc("similarity")]
+    before = Window.partitionBy("doc_id", "v").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)  # a document's own passages
+    reached = fresh("reached", found)
+    return found.withColumn(reached, F.max("end_word").over(before)).where(F.col(reached).isNull() | (F.col("end_word") > F.col(reached))).drop(reached)
 
 
 def passages(docs: DataFrame, passage: int = PASSAGE, similarity: float = SIMILARITY) -> DataFrame:
@@ -481,6 +619,51 @@ def _aligned(pairs: DataFrame, texts: DataFrame, passage: int, similarity: float
     return both.select("a", "b", "vb", "diagonals", "text_a", "text_b").mapInArrow(run, _schema(FOUND))
 
 
+def _aligned_in_blocks(pairs: DataFrame, texts: DataFrame, spans: DataFrame, passage: int, similarity: float) -> DataFrame:
+    """As ``_aligned``, for documents that stand in very many pairs each: of the passages those with a word that ``spans`` and the pairs before leave uncovered.
+
+    A document's text goes once to each block of pairs that names it, instead of once a pair.
+    """
+    ids = pairs.select(F.col("a").alias("doc_id"), F.col("va").alias("v")).union(pairs.select("b", "vb")).distinct()
+    own = materialize(among(texts, "doc_id", ids.select("doc_id").distinct()).dropDuplicates(["doc_id", "v"]).join(ids, ["doc_id", "v"]))
+    blocks = max((own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BYTES, int((pairs.count() / PAIRS) ** 0.5)) + 1
+    at = lambda d, v: F.pmod(F.xxhash64(d, v), F.lit(blocks))
+    dealt = pairs.select(at("a", "va").alias("i"), at("b", "vb").alias("j"), *PAIR, "diagonals")
+    named = dealt.select("i", "j", F.col("a").alias("doc_id"), F.col("va").alias("v")).union(dealt.select("i", "j", "b", "vb")).distinct()
+    rows = named.join(own, ["doc_id", "v"]).join(spans, ["doc_id", "v"], "left").select("i", "j", "doc_id", "v", "text", "spans")
+    rows, dealt = (t.select(*(F.col(n).alias(n) for n in t.columns)) for t in (rows, dealt))  # names of their own, as both come from one table
+
+    def run(rows: pa.Table, dealt: pa.Table) -> pa.Table:
+        found = []
+        if rows.num_rows and dealt.num_rows:
+            tokens, begins = shingle_hashes(*word_hashes(rows.column("text").combine_chunks())[:2], WIDTH)
+            place = {k: i for i, k in enumerate(zip(rows.column("doc_id").to_pylist(), rows.column("v").to_pylist()))}
+            spans_ = rows.column("spans").to_pylist()
+            covered: dict[int, np.ndarray] = {}
+            before, x, order, ordered = None, tokens, tokens, tokens
+            for a, va, b, vb, diagonals in zip(*(c.to_pylist() for c in dealt.sort_by([(n, "ascending") for n in PAIR]).select([*PAIR, "diagonals"]).columns)):
+                i, j = place[a, va], place[b, vb]
+                if i != before:
+                    before, x = i, tokens[begins[i] : begins[i + 1]]
+                    order = np.argsort(x, kind="stable")
+                    ordered = x[order]
+                y = tokens[begins[j] : begins[j + 1]]
+                if j not in covered:
+                    covered[j] = np.zeros(len(y) + WIDTH - 1, bool)
+                    for known in spans_[j] or ():
+                        covered[j][known["start_word"] : known["end_word"]] = True
+                if not may_cover(ordered, y, ~covered[j], similarity):
+                    continue
+                for p in align(x, y, np.array(diagonals), passage, similarity, order):
+                    if not covered[j][p[0] : p[1]].all():
+                        covered[j][p[0] : p[1]] = True
+                        found.append((b, vb, p[0], p[1], a, p[2], p[3], p[4]))
+        columns = list(zip(*found)) if found else [()] * len(FOUND)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, FOUND.values())], names=list(FOUND))
+
+    return rows.groupBy("i", "j").cogroup(dealt.groupBy("i", "j")).applyInArrow(run, _schema(FOUND))
+
+
 def remove_passages(docs: DataFrame, passage: int = PASSAGE, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without passages that an earlier document has; one of which nothing is left goes. Columns stay."""
     name, v = fresh("spans", docs), fresh("v", docs)

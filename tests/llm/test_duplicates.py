@@ -240,6 +240,45 @@ def test_passages_of_near_copies_do_not_hang_on_their_order(spark, monkeypatch):
     assert len(wanted) > 60 and len(wanted & covered) >= 0.99 * len(wanted) and not covered - wanted
 
 
+def test_rows_follow_the_documents_not_their_pairs(spark):
+    """Near copies of a passage: a few rows a document, however many copies there are, and every word told that any pair tells."""
+    rng = random.Random(21)
+    passage = text(rng, 70).split()
+    texts = [" ".join([text(rng, 20), *(w if rng.random() > 0.02 else rng.choice(WORDS) for w in passage), text(rng, 20)]) for _ in range(90)]
+    got = spans(spark, texts)
+    tokens = [shingle_hashes(*word_hashes(pa.array([t]))[:2], 5)[0] for t in texts]
+    wanted = {b for b in range(90) if any(substring.align(tokens[a], tokens[b], np.zeros(0, np.int64)) for a in range(b))}
+    assert len(wanted - {b for b, *_ in got}) <= 0.02 * len(wanted) and len(got) <= 2 * len(wanted)
+    inside = [(p, q) for p in got for q in got if p is not q and p[0] == q[0] and p[1] <= q[1] and q[2] <= p[2]]
+    assert not inside
+
+
+def test_pairs_left_out_hold_no_passage():
+    rng = np.random.default_rng(22)
+    reach = substring.PASSAGE - substring.WIDTH + substring.GAP + 1
+    for _ in range(300):
+        x = rng.integers(1, 1 << 62, 400).astype(np.uint64)
+        y, i = [], 0
+        while i < 400:  # edits, some with words added or left out
+            n = int(rng.integers(1, 60))
+            y += [*x[i : i + n], *rng.integers(1, 1 << 62, rng.integers(0, 9)).astype(np.uint64)]
+            i += n + int(rng.integers(0, 9))
+        y = np.array(y, np.uint64)
+        cut = lambda t, c: np.pad(t, reach)[c : c + 2 * reach + 1] % np.uint64(0xFFFF)
+        found = substring.align(x, y, np.zeros(0, np.int64))
+        left = rng.random(len(y) + 4) < 0.02
+        if any(left[p[0] : p[1]].any() for p in found):
+            assert substring.may_cover(np.sort(x), y, left)
+        both = [(int(np.flatnonzero(x == v)[0]), c) for c, v in enumerate(y) if v in x][::7]
+        ok = substring.can_hold(np.array([cut(x, c).astype(np.uint16) for c, _ in both]), np.array([cut(y, c).astype(np.uint16) for _, c in both]), np.arange(len(both)), np.arange(len(both)), substring.PASSAGE, substring.SIMILARITY)
+        for (cx, cy), good in zip(both, ok):
+            assert good or not any(p[0] <= cy and cy + 5 <= p[1] and p[2] <= cx and cx + 5 <= p[3] for p in found)
+    far = rng.integers(1, 1 << 16, (2, 2 * reach + 1)).astype(np.uint16)
+    far[1, reach - 3 : reach + 36] = far[0, reach - 3 : reach + 36]  # a line too short for a passage
+    assert not substring.can_hold(far[:1], far[1:], np.zeros(1, np.int64), np.zeros(1, np.int64), substring.PASSAGE, substring.SIMILARITY)[0]
+    assert not substring.may_cover(np.arange(100, dtype=np.uint64), np.arange(500, 600, dtype=np.uint64), np.ones(104, bool))
+
+
 def test_remove_passages(spark):
     rng = random.Random(5)
     passage = "\n".join(text(rng, 20) for _ in range(3))
