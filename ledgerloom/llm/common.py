@@ -61,13 +61,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash every word of every text: (hashes, first word of each row plus the end, byte starts, byte ends).
-
-    Words are runs of bytes other than ASCII white space; null counts as empty.
-    Byte positions are offsets into the concatenated UTF-8 of the slice's own rows
-    (row r begins at the sum of the lengths before it).
-    """
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, first word of each row plus the end, byte starts, byte ends) of the words of every text."""
     column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
     column = column.fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
@@ -76,7 +71,7 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     offsets = offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64)
     if not len(data):
         none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none
+        return data, np.zeros(len(offsets), np.int64), none, none
     solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
     first = solid.copy()
     first[1:] &= ~solid[:-1]
@@ -88,7 +83,33 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     inner = cuts[cuts > 0] - 1
     last[inner] = solid[inner]
     ends = np.flatnonzero(last) + 1
-    rows = np.searchsorted(starts, offsets).astype(np.int64)
+    return data, np.searchsorted(starts, offsets).astype(np.int64), starts, ends
+
+
+def word_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """As the first two of ``word_hashes``, by another hash, which takes eight bytes of a word at a time."""
+    data, rows, starts, ends = _words(column)
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # those from each byte on
+    codes, live, at, left = np.zeros(len(starts), np.uint64), slice(None), starts, ends - starts
+    while len(at):
+        part = eight[at] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * np.minimum(left, 8).astype(np.uint64)))
+        with np.errstate(over="ignore"):
+            codes[live] = mix64(codes[live] * np.uint64(0x9E3779B97F4A7C15) + part + left.astype(np.uint64))
+        more = np.flatnonzero(left > 8)
+        live = more if isinstance(live, slice) else live[more]
+        at, left = at[more] + 8, left[more] - 8
+    return codes, rows
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash every word of every text: (hashes, first word of each row plus the end, byte starts, byte ends).
+
+    Words are runs of bytes other than ASCII white space; null counts as empty.
+    Byte positions are offsets into the concatenated UTF-8 of the slice's own rows
+    (row r begins at the sum of the lengths before it).
+    """
+    data, rows, starts, ends = _words(column)
     if not len(starts):
         return np.zeros(0, np.uint64), rows, starts, ends
     lengths = ends - starts

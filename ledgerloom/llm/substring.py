@@ -17,17 +17,15 @@ a candidate. The two whole texts are then aligned and a passage is reported wher
 at least ``PASSAGE`` words have tokens of Jaccard similarity 0.8 or more.
 
 That settles exact copies. A window whose c no reported passage covers, in a group of three or more, stays
-open. The windows of such groups are given a bitmap of the tokens around c, as far as a
-least passage reaches, and are compared by it alone, which costs no text; documents
-whose bitmaps share as many bits as a passage needs are aligned. A group of up to ``NEAR`` more than one meets
-whole. In a larger one windows stand in order of the bitmap's own min-hash, so that like surroundings
-stand together, and an open window is compared with the ``NEAR`` before it and those at doubled
-distances. Windows that are open still meet all of their group, in blocks of
-``BLOCK`` times ``BLOCK`` over the tasks. In each of these steps the most similar one is aligned; last, where that did not cover
-c, every other one, in blocks of documents, so no window of its hash is left out. Pairs are not aligned if the tokens
-around the two c show that no passage can hold both.
-
-Of the passages of a document those that lie in another one of it are not told, nor in the last step those whose words
+open. The windows of such groups are given the tokens around c, as far as a least passage reaches, and meet all of their
+group by bitmaps of these, which costs no text: groups of up to ``NEAR`` more than one whole, larger ones in blocks of
+``BLOCK`` times ``BLOCK`` over the tasks. An open window stays if it shares as many bits as a passage needs with one that can
+hold a passage with it, and those that share as many with it stay too; a pair of windows is no row. What stays is taken with
+the texts, groups with the same first document together, as near copies meet in many groups, in blocks of about
+``DOCUMENTS`` times ``DOCUMENTS`` documents: there every two documents of which the bitmaps share as many bits are aligned, all that stand with
+one document at a time, so no window of its hash is left out.
+
+Of the passages of a document those that lie in another one of it are not told, nor in the last step (the longest of some go first) those whose words
 are all told already: each repeated word has one reference at least, and not one for every earlier copy.
 
 A reported passage is always that of the document with the larger id, and refers
@@ -42,7 +40,7 @@ an id then stands for any of them. Extra columns are ignored by ``passages`` and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import among, fresh, materialize, mix64, shingle_hashes, text_slices, word_hashes
+from ledgerloom.llm.common import among, fresh, materialize, mix64, shingle_hashes, text_slices, word_codes, word_hashes
 
 WIDTH = 5
 PASSAGE = 50  # words
@@ -65,8 +63,12 @@ BITS = 1024  # of the bitmap of the tokens around a window's c
 LEAST_BITS = 32  # that two bitmaps share around a passage; 46 tokens of similarity 0.8 share 41
 GAP = 12  # tokens between two aligned stretches of a passage
 SIEVE = 4096  # bits of the bitmap that tells which tokens around a c stand around another
-BYTES = 8_000_000  # of the texts on a side of a block of pairs of documents, about
-PAIRS = 1 << 14  # pairs of windows whose tokens are compared at a time, or of documents in a block of them, about
+BYTES = 8_000_000  # of the texts on a side of a block of documents, about
+DOCUMENTS = 1024  # on a side of such a block, about
+SOME = 2000  # documents whose windows tell the borders of ranges, about
+SLOTS = 1 << 22  # of the table of the places of a text's tokens
+RUNS = 1 << 18  # stretches of pairs of documents that are joined to passages at a time, about
+PAIRS = 1 << 14  # pairs of windows whose tokens are compared at a time, about
 SPREAD = 0x9E3779B1
 
 
@@ -104,6 +106,7 @@ def compact_windows(hashes: np.ndarray, begins: np.ndarray, least: int) -> tuple
 
 #: A document is named by its id and, as ids may repeat, a hash of its text.
 WINDOW = {"hash": pa.int64(), "around": pa.int32(), "doc_id": pa.int64(), "v": pa.int32(), "c": pa.int32(), "l": pa.int32(), "r": pa.int32()}
+ORDER = ["hash", "around", "doc_id", "v", "c"]
 #: Two windows that meet: x of the earlier document a, y of the later one b.
 MET = {"hash": pa.int64(), "a": pa.int64(), "va": pa.int32(), "cx": pa.int32(), "lx": pa.int32(), "rx": pa.int32(), "b": pa.int64(), "vb": pa.int32(), "cy": pa.int32(), "ly": pa.int32(), "ry": pa.int32(), "same": pa.bool_(), "end": pa.int32()}
 PAIR = ["a", "va", "b", "vb"]
@@ -118,14 +121,23 @@ def _version(text: str = "text") -> Column:
     return F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int")
 
 
-def windows(texts: DataFrame, passage: int = PASSAGE) -> DataFrame:
-    """The compact windows of ``texts`` (doc_id, v, text), with a hash of the words around c."""
+def _ranges(rows: list[np.ndarray], borders: list[np.ndarray]) -> np.ndarray:
+    """The range of each row (columns ``ORDER``): how many of the borders, in order, do not stand after it."""
+    low, high = (np.searchsorted(borders[0], rows[0], side) for side in ("left", "right"))
+    for start in np.unique(low[low < high]) if len(rows) > 1 else ():  # rows with the first value of some borders
+        own = np.flatnonzero((low == start) & (low < high))
+        high[own] = start + _ranges([k[own] for k in rows[1:]], [k[start : high[own[0]]] for k in borders[1:]])
+    return high
+
+
+def windows(texts: DataFrame, passage: int = PASSAGE, borders: list[np.ndarray] | None = None) -> DataFrame:
+    """The compact windows of ``texts`` (doc_id, v, text), with a hash of the words around c; with ``borders`` also their ``range``."""
     least = passage - WIDTH + 1
+    schema = WINDOW if borders is None else WINDOW | {"range": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
-            words, rows, _, _ = word_hashes(batch.column("text"))
-            hashes, begins = shingle_hashes(words, rows, WIDTH)
+            hashes, begins = shingle_hashes(*word_codes(batch.column("text")), WIDTH)
             of = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
             parts = []
             for f in range(HASHES):
@@ -142,10 +154,30 @@ def windows(texts: DataFrame, passage: int = PASSAGE) -> DataFrame:
                 parts.append((mixed[c].view(np.int64), around.astype(np.int32), row, *((p - begins[row]).astype(np.int32) for p in (c, l, r))))
             if parts:
                 h, around, row, c, l, r = (np.concatenate(x) for x in zip(*parts))
-                ids = (batch.column(n).take(pa.array(row)) for n in ("doc_id", "v"))
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(around), *ids, *map(pa.array, (c, l, r))], names=list(WINDOW))
+                ids = [batch.column(n).take(pa.array(row)) for n in ("doc_id", "v")]
+                arrays = [pa.array(h), pa.array(around), *ids, *map(pa.array, (c, l, r))]
+                if borders is not None:
+                    arrays.append(pa.array(_ranges([h, around, *(k.to_numpy() for k in ids), c], borders), pa.int32()))
+                yield pa.RecordBatch.from_arrays(arrays, names=list(schema))
+
+    return texts.select("doc_id", "v", "text").mapInArrow(run, _schema(schema))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, v, text of the documents that can have passages."""
+    return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint"), _version().alias("v"), F.lower("text").alias("text"))
 
-    return texts.select("doc_id", "v", "text").mapInArrow(run, _schema(WINDOW))
+
+def _borders(docs: DataFrame, passage: int) -> list[np.ndarray]:
+    """Borders (columns ``ORDER``) of ranges of like numbers of windows, by the windows of some documents.
+
+    As ``repartitionByRange`` finds them, but without making the windows of all documents twice. They tell only where rows go.
+    """
+    parts, n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.count()
+    some = docs.sample(min(1.0, SOME / max(n, 1)), 7)
+    rows = windows(_texts(some), passage).select(*ORDER).sample(min(1.0, 0.5 * parts / max(min(n, SOME), 1)), 7).toPandas()  # about 40 a range
+    rows = rows.sort_values(ORDER).iloc[np.unique(np.linspace(0, len(rows), parts + 1).astype(int)[1:-1])] if len(rows) else rows
+    return [rows[n].to_numpy(WINDOW[n].to_pandas_dtype()) for n in ORDER]
 
 
 def _pair_up(w: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
@@ -159,13 +191,13 @@ def _pair_up(w: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(arrays, MET.values())], names=list(MET))
 
 
-def neighbours(found: DataFrame) -> DataFrame:
-    """The windows that meet: next neighbours of one hash in the order of hash, words around c and document.
+def neighbours(texts: DataFrame, borders: list[np.ndarray], passage: int = PASSAGE) -> DataFrame:
+    """The windows of ``texts`` that meet: next neighbours of one hash in the order of hash, words around c and document.
 
-    The order is cut into ranges. At a border the last window of one range meets the
+    The order is cut into ranges by ``borders``. At a border the last window of one range meets the
     first of the next: two rows a task go through the driver for that.
     """
-    order = ["hash", "around", "doc_id", "v", "c"]
+    dealt = windows(texts, passage, borders).repartitionById(len(borders[0]) + 1, "range").drop("range")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, last = None, None
@@ -185,13 +217,13 @@ def neighbours(found: DataFrame) -> DataFrame:
                 values = [row["hash"], row["doc_id"], row["v"], row["c"], row["l"], row["r"], TaskContext.get().partitionId(), row["around"], 0, 0, 0, False, side]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, MET.values())], names=list(MET))
 
-    met = materialize(found.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, _schema(MET)))
+    met = materialize(dealt.sortWithinPartitions(*ORDER).mapInArrow(run, _schema(MET)))
     ends = sorted(met.where("end > 0").collect(), key=lambda r: (r["b"], r["end"]))  # two a range
     pairs = [(x, y) for x, y in zip(ends[1::2], ends[2::2]) if x["hash"] == y["hash"]]
     w = {n: np.array([r[c] for p in pairs for r in p], t.to_pandas_dtype()) for (n, t), c in zip(WINDOW.items(), ("hash", "vb", "a", "va", "cx", "lx", "rx"))}
     i = np.arange(0, 2 * len(pairs), 2)
-    borders = found.sparkSession.createDataFrame(pa.Table.from_batches([_pair_up(w, i, i + 1)])).select(*MET)
-    return met.where("end = 0").union(borders)
+    across = texts.sparkSession.createDataFrame(pa.Table.from_batches([_pair_up(w, i, i + 1)])).select(*MET)
+    return met.where("end = 0").union(across)
 
 
 def collisions(met: DataFrame) -> DataFrame:
@@ -219,10 +251,10 @@ def _uncovered(windows_: DataFrame, spans: DataFrame) -> DataFrame:
 def open_groups(met: DataFrame, spans: DataFrame) -> DataFrame:
     """hash, doc_id, v, c, open, n: windows of hashes that three or more (n) share, and an open one in a document that is not the first."""
     side = lambda d, v, c: met.select("hash", F.col(d).alias("doc_id"), F.col(v).alias("v"), F.col(c).alias("c"))
-    own = side("a", "va", "cx").union(side("b", "vb", "cy")).distinct()
-    marked = materialize(_uncovered(own, spans))
+    own = side("a", "va", "cx").union(side("b", "vb", "cy")).repartition("hash").distinct()
+    marked = materialize(_uncovered(own.withColumn("n", F.count("*").over(Window.partitionBy("hash"))).where("n > 2"), spans))
     name = F.struct("doc_id", "v")
-    groups = marked.groupBy("hash").agg(F.count("*").alias("n"), F.min(name).alias("first"), F.max(F.when(F.col("open"), name)).alias("last")).where("n > 2 AND last > first").select("hash", "n")
+    groups = marked.groupBy("hash").agg(F.min(name).alias("first"), F.max(F.when(F.col("open"), name)).alias("last")).where("last > first").select("hash")
     return marked.join(groups, "hash").select("hash", "doc_id", "v", "c", "open", "n")
 
 
@@ -230,6 +262,12 @@ def open_groups(met: DataFrame, spans: DataFrame) -> DataFrame:
 AROUND_T = {n: t for n, t in AROUND_C.items() if n != "bits"} | {"tokens": pa.binary()}
 
 
+def _short(tokens: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, 16-bit forms) of the tokens at the given places; 0 for the form of those not inside."""
+    mixed = mix64(tokens[np.clip(at, 0, len(tokens) - 1)] ^ np.uint64(SPREAD))
+    return mixed, np.where(inside, (mixed % np.uint64(0xFFFF)).astype(np.uint16) + np.uint16(1), np.uint16(0))
+
+
 def surroundings(groups: DataFrame, texts: DataFrame, passage: int) -> DataFrame:
     """The windows of ``groups`` with the columns ``AROUND_T``."""
     reach = passage - WIDTH  # tokens before and after c that a least passage which holds it may have
@@ -239,7 +277,7 @@ def surroundings(groups: DataFrame, texts: DataFrame, passage: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", 1_000_000):
-            tokens, begins = shingle_hashes(*word_hashes(batch.column("text"))[:2], WIDTH)
+            tokens, begins = shingle_hashes(*word_codes(batch.column("text")), WIDTH)
             inner = batch.column("w").flatten()
             row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("w").offsets.to_numpy()))
             c, hash_ = inner.field("c").to_numpy(), inner.field("hash").to_numpy()
@@ -247,9 +285,8 @@ def surroundings(groups: DataFrame, texts: DataFrame, passage: int) -> DataFrame
                 s = slice(start, start + 4096)
                 at = begins[row[s], None] + c[s, None] + np.arange(-sight, sight + 1)
                 inside = (at >= begins[row[s], None]) & (at < begins[row[s] + 1, None])
-                mixed = mix64(tokens[np.clip(at, 0, len(tokens) - 1)] ^ np.uint64(SPREAD))
+                mixed, near = _short(tokens, at, inside)
                 least = np.where(inside, mixed, ~np.uint64(0))[:, sight - reach : sight + reach + 1].min(1)
-                near = np.where(inside, (mixed % np.uint64(0xFFFF)).astype(np.uint16) + np.uint16(1), np.uint16(0))
                 arrays = [pa.array(hash_[s]), pa.array((least >> np.uint64(33)).astype(np.int32)), *(batch.column(n).take(pa.array(row[s])) for n in ("doc_id", "v")), pa.array(c[s]), inner.field("open").slice(start, len(at)), inner.field("n").slice(start, len(at)), pa.array([b.tobytes() for b in near], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=list(AROUND_T))
 
@@ -288,6 +325,21 @@ def _sees(sieves: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return count - shared[:, middle], on
 
 
+def _best_that_hold(x: np.ndarray, y: np.ndarray, shared: np.ndarray, ties: tuple, hold: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """(of the pairs x and y the one of each y that shares most and can ``hold`` a passage, all of such y): places of pairs.
+
+    Those that share most are asked first, and others only where that one cannot.
+    """
+    rank = np.lexsort((*ties, shared, y))
+    last = np.append(y[rank][1:] != y[rank][:-1], True) if len(rank) else np.zeros(0, bool)
+    top, rest = rank[last], rank[~last]
+    top = top[hold(x[top], y[top])]
+    rest = rest[~np.isin(y[rest], y[top])]
+    rest = rest[hold(x[rest], y[rest])]
+    top = np.append(top, rest[np.append(y[rest][1:] != y[rest][:-1], True)] if len(rest) else rest)
+    return top, np.flatnonzero(np.isin(y, y[top]))
+
+
 def can_hold(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, passage: int, similarity: float) -> np.ndarray:
     """Which pairs of tokens x[i] and y[j] around c may hold a passage with c.
 
@@ -315,21 +367,39 @@ MEETING = ALIKE | {"cy": pa.int32(), "shared": pa.int32()}
 
 def _best(pairs: DataFrame) -> DataFrame:
     """Of the pairs (columns ``MEETING``) of each place the one that shares most bits."""
-    return pairs.groupBy("b", "vb", "cy").agg(F.max(F.struct("shared", "a", "va", "d")).alias("x")).select("x.a", "x.va", "b", "vb", "x.d")
+    best = pairs.where("a IS NOT NULL").groupBy("b", "vb", "cy").agg(F.max(F.struct("shared", "a", "va", "d")).alias("x"))
+    return best.select("x.a", "x.va", "b", "vb", "x.d")
 
 
-def _meeting(x: tuple, y: tuple, i: np.ndarray, j: np.ndarray, shared: np.ndarray) -> list[pa.Array]:
-    """The columns ``MEETING`` of the windows i of x and j of y."""
+def _meeting(x: tuple, y: tuple, i: np.ndarray, j: np.ndarray, shared: np.ndarray, met: np.ndarray | None = None) -> pa.RecordBatch:
+    """The columns ``MEETING`` of the windows i of x and j of y, and of the windows ``met`` of x as places that some open window meets, without a document a."""
     (xd, xv, xc), (yd, yv, yc) = x, y
     values = [xd[i], xv[i], yd[j], yv[j], xc[i].astype(np.int64) - yc[j], yc[j], shared]
-    return [pa.array(k, t) for k, t in zip(values, MEETING.values())]
+    arrays = [pa.array(k, t) for k, t in zip(values, MEETING.values())]
+    if met is not None:
+        places = {"b": xd[met], "vb": xv[met], "cy": xc[met]}
+        more = [pa.array(places[n], t) if n in places else pa.nulls(len(met), t) for n, t in MEETING.items()]
+        arrays = [pa.concat_arrays(k) for k in zip(arrays, more)]
+    return pa.RecordBatch.from_arrays(arrays, names=list(MEETING))
+
+
+def _diagonals(pairs: DataFrame, best: bool) -> DataFrame:
+    """a, va, b, vb, diagonals of pairs (columns ``MEETING``)."""
+    return (_best(pairs) if best else pairs).groupBy(*PAIR).agg(F.collect_set("d").alias("diagonals"))
 
 
-def alike_around(windows_: DataFrame, best: bool = False, larger: bool = True, passage: int = PASSAGE, similarity: float = SIMILARITY) -> DataFrame:
+def alike_around(windows_: DataFrame, best: bool = False, passage: int = PASSAGE, similarity: float = SIMILARITY) -> DataFrame:
     """a, va, b, vb, diagonals: documents of which the later one has an open window whose surroundings share ``LEAST_BITS`` with the other's.
 
-    Pairs whose tokens cannot hold a passage are left out. With ``best``, only the pair that shares most bits for each place; without ``larger``, only groups that meet whole.
+    Pairs whose tokens cannot hold a passage are left out. With ``best``, only the pair that shares most bits for each place.
+    In groups that do not meet whole an open window is compared with the ``NEAR`` before it, by their bitmaps' min-hashes, and
+    those at doubled distances; ``_found`` takes such groups by ``_meet_all``.
     """
+    return _diagonals(_meet_near(windows_, best, True, passage, similarity), best)
+
+
+def _meet_near(windows_: DataFrame, best: bool, larger: bool, passage: int, similarity: float) -> DataFrame:
+    """The pairs (columns ``MEETING``) of ``alike_around``, with ``best`` those of each batch and the places that meet one; without ``larger``, only groups that meet whole."""
     order = ["hash", "sketch", "doc_id", "v", "c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,19 +428,20 @@ def alike_around(windows_: DataFrame, best: bool = False, larger: bool = True, p
                 shared = np.bitwise_count(w["bits"][x] & w["bits"][y]).sum(1).astype(np.int64)
                 good = shared >= LEAST_BITS
                 x, y, shared = x[good], y[good], shared[good]
-                if tokens is not None:
+                if tokens is not None and not best:
                     good = can_hold(w["tokens"], w["tokens"], x, y, passage, similarity)
                     x, y, shared = x[good], y[good], shared[good]
                 found.append((x, y, shared))
                 apart += 1 if apart < NEAR else apart
             if found:
                 x, y, shared = (np.concatenate(k) for k in zip(*found))
-                if best and len(y):
-                    rank = np.lexsort((w["c"][x], w["v"][x], w["doc_id"][x], shared, y))
-                    last = rank[np.append(y[rank][1:] != y[rank][:-1], True)]
-                    x, y, shared = x[last], y[last], shared[last]
+                met = None
+                if best:
+                    hold = lambda i, j: np.ones(len(i), bool) if tokens is None else can_hold(w["tokens"], w["tokens"], i, j, passage, similarity)
+                    top, all_ = _best_that_hold(x, y, shared, (w["c"][x], w["v"][x], w["doc_id"][x]), hold)
+                    met, x, y, shared = np.unique(x[all_]), x[top], y[top], shared[top]
                 side = tuple(w[n] for n in names[1:])
-                yield pa.RecordBatch.from_arrays(_meeting(side, side, x, y, shared), names=list(MEETING))
+                yield _meeting(side, side, x, y, shared, met)
             keep = max(int(np.searchsorted(w["hash"], w["hash"][-1])), n - FARTHEST)
             tail = {n: x[keep:] for n, x in w.items()}
 
@@ -378,43 +449,47 @@ def alike_around(windows_: DataFrame, best: bool = False, larger: bool = True, p
     pairs = windows_.where(F.col("n") <= NEAR + 1).repartition("hash").sortWithinPartitions(*order).mapInArrow(run, _schema(MEETING))
     if larger:
         pairs = pairs.union(windows_.where(F.col("n") > NEAR + 1).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, _schema(MEETING)))
-    return (_best(pairs) if best else pairs).groupBy(*PAIR).agg(F.collect_set("d").alias("diagonals"))
+    return pairs
+
+
+def _meets(xh: np.ndarray, yh: np.ndarray) -> Iterator[tuple[slice, int, int]]:
+    """(some rows of y, first row of x of their hash, the row after the last) by two columns of hashes in order."""
+    for h in np.intersect1d(xh, yh):
+        first, most, start, stop = (int(np.searchsorted(k, h, side)) for k in (xh, yh) for side in ("left", "right"))
+        for at in range(start, stop, 16):
+            yield slice(at, min(at + 16, stop)), first, most
 
 
 def _block_alike(x: pa.Table, y: pa.Table, best: bool, passage: int, similarity: float) -> pa.Table:
     """The pairs (columns ``MEETING``) of a window of x and an open one of y, of a later document, whose bitmaps share ``LEAST_BITS`` and whose tokens can hold a passage.
 
-    With ``best``, one pair at most for each window of y.
+    With ``best``, one pair at most for each window of y, and the windows of x that one of y meets.
     """
     sides = []
     for t in (x, y):
-        t = t.sort_by([(n, "ascending") for n in ("doc_id", "v", "c")])
-        sides.append((tuple(t.column(n).to_numpy() for n in ("doc_id", "v", "c")), *_around(t)))
-    (xs, xbits, xtokens), (ys, ybits, ytokens) = sides
+        t = t.sort_by([(n, "ascending") for n in ("hash", "doc_id", "v", "c")])
+        sides.append((t.column("hash").to_numpy(), tuple(t.column(n).to_numpy() for n in ("doc_id", "v", "c")), *_around(t)))
+    (xh, xs, xbits, xtokens), (yh, ys, ybits, ytokens) = sides
     (xd, xv, _), (yd, yv, _) = xs, ys
-    top, top_at = np.zeros(len(yd), np.int64), np.full(len(yd), -1)
+    met = np.zeros(len(xd), bool)
     found, waiting, n = [], [], 0
 
     def settle() -> None:
         j, i, shared = (np.concatenate(k) for k in zip(*waiting))
-        if xtokens is not None:
-            good = can_hold(xtokens, ytokens, i, j, passage, similarity)
-            j, i, shared = j[good], i[good], shared[good]
-        if best and len(j):
-            rank = np.lexsort((i, shared, j))
-            last = rank[np.append(j[rank][1:] != j[rank][:-1], True)]
-            better = last[(shared[last] > top[j[last]]) | ((shared[last] == top[j[last]]) & (i[last] > top_at[j[last]]))]
-            top[j[better]], top_at[j[better]] = shared[better], i[better]
-        elif not best:
-            found.append((j, i, shared))
-
-    for start in range(0, len(yd), 16):
-        s = slice(start, start + 16)
-        m = int(np.searchsorted(xd, yd[s][-1], side="right"))  # those after the last of y are later
-        shared = np.bitwise_count(ybits[s, None] & xbits[None, :m]).sum(2, dtype=np.uint16)
+        hold = lambda i, j: np.ones(len(i), bool) if xtokens is None else can_hold(xtokens, ytokens, i, j, passage, similarity)
+        if best:  # a window of y has all its pairs here
+            good, all_ = _best_that_hold(i, j, shared, (i,), hold)
+            met[i[all_]] = True
+        else:
+            good = hold(i, j)
+        found.append((j[good], i[good], shared[good]))
+
+    for s, first, most in _meets(xh, yh):
+        m = first + int(np.searchsorted(xd[first:most], yd[s][-1], side="right"))  # those after the last of y are later
+        shared = np.bitwise_count(ybits[s, None] & xbits[None, first:m]).sum(2, dtype=np.uint16)
         j, i = np.nonzero(shared >= LEAST_BITS)
         shared = shared[j, i].astype(np.int64)
-        j += start
+        j, i = j + s.start, i + first
         before = (xd[i] < yd[j]) | ((xd[i] == yd[j]) & (xv[i] < yv[j]))
         waiting.append((j[before], i[before], shared[before]))
         n += int(before.sum())
@@ -423,32 +498,36 @@ def _block_alike(x: pa.Table, y: pa.Table, best: bool, passage: int, similarity:
             waiting, n = [], 0
     if waiting:
         settle()
-    if best:
-        j = np.flatnonzero(top_at >= 0)
-        found.append((j, top_at[j], top[j]))
     j, i, shared = (np.concatenate(k) for k in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
-    return pa.Table.from_arrays(_meeting(xs, ys, i, j, shared), names=list(MEETING))
+    return pa.Table.from_batches([_meeting(xs, ys, i, j, shared, np.flatnonzero(met) if best else None)])
 
 
 def all_alike(windows_: DataFrame, spans: DataFrame, best: bool, passage: int = PASSAGE, similarity: float = SIMILARITY) -> DataFrame:
     """As ``alike_around``, of every window that ``spans`` leave open with every other one of its hash, for groups that do not meet whole there.
 
-    With ``best``, only the one that shares most bits for each place; a block gives one row a window. Where that settles the place, the others would tell it once more.
+    With ``best``, only the one that shares most bits for each place.
     """
+    return _diagonals(_meet_all(windows_, spans, best, passage, similarity), best)
+
+
+def _meet_all(windows_: DataFrame, spans: DataFrame, best: bool, passage: int, similarity: float) -> DataFrame:
+    """The pairs (columns ``MEETING``) of ``all_alike``; with ``best`` a block gives one row a window of each side at most."""
     large = windows_.where(F.col("n") > NEAR + 1).withColumn("blocks", F.expr(f"n div {BLOCK} + 1")).withColumn("own", F.pmod(F.xxhash64("doc_id", "v", "c"), "blocks"))
+    # Groups of one block share one with others.
+    buckets = large.where("blocks = 1").count() // BLOCK + 1
+    large = large.withColumn("bucket", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("hash"), F.lit(buckets))).otherwise(F.col("hash")))
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
     columns = ["doc_id", "v", "c", "tokens" if "tokens" in windows_.columns else "bits"]
-    y = materialize(_uncovered(large.drop("open"), spans).where("open").select("hash", "blocks", "own", *columns))
-    x = large.join(y.select("hash").distinct(), "hash", "left_semi").select("hash", F.col("own").alias("bx"), every.alias("by"), *columns)
-    y = y.select("hash", every.alias("bx"), F.col("own").alias("by"), *columns)
+    y = materialize(_uncovered(large.drop("open"), spans).where("open").select("bucket", "hash", "blocks", "own", *columns))
+    x = large.join(y.select("hash").distinct(), "hash", "left_semi").select("bucket", "hash", F.col("own").alias("bx"), every.alias("by"), *columns)
+    y = y.select("bucket", "hash", every.alias("bx"), F.col("own").alias("by"), *columns)
     x, y = (t.select(*(F.col(n).alias(n) for n in t.columns)) for t in (x, y))  # names of their own, as both come from one table
-    key = ["hash", "bx", "by"]
+    key = ["bucket", "bx", "by"]
 
     def blocks(x: pa.Table, y: pa.Table) -> pa.Table:
         return _block_alike(x, y, best, passage, similarity)
 
-    pairs = x.groupBy(*key).cogroup(y.groupBy(*key)).applyInArrow(blocks, _schema(MEETING))
-    return (_best(pairs) if best else pairs).groupBy(*PAIR).agg(F.collect_set("d").alias("diagonals"))
+    return x.groupBy(*key).cogroup(y.groupBy(*key)).applyInArrow(blocks, _schema(MEETING))
 
 
 def enough_hashes(hash_: np.ndarray, lx: np.ndarray, rx: np.ndarray, ly: np.ndarray, ry: np.ndarray) -> bool:
@@ -555,6 +634,72 @@ def align(x: np.ndarray, y: np.ndarray, diagonals: np.ndarray, passage: int = PA
     return out
 
 
+def _chains(of: np.ndarray, runs: tuple[np.ndarray, ...], passage: int, similarity: float) -> tuple[np.ndarray, ...]:
+    """(pair, start in y, end in y, start in x, end in x, similarity) of the passages of many pairs, as ``align`` joins its stretches.
+
+    ``runs`` (start in y, end in y, start in x, in tokens) are those of the pairs ``of``, which is in order.
+    """
+    begins = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+    count = np.diff(np.append(begins, len(of)))
+    order = np.argsort(-count, kind="stable")
+    begins, count, need, out = begins[order], count[order], passage - WIDTH + 1, []
+    y0, y1, x0, x1, shared = (np.zeros(len(begins), np.int64) for _ in range(5))
+
+    def close(k: np.ndarray) -> None:
+        k = k[np.minimum(y1[k] - y0[k], x1[k] - x0[k]) >= need]
+        out.append((of[begins[k]], y0[k], y1[k] + WIDTH - 1, x0[k], x1[k] + WIDTH - 1, shared[k] / (y1[k] - y0[k] + x1[k] - x0[k] - shared[k])))
+
+    for step in range(count[0] if len(count) else 0):
+        m = int(np.searchsorted(-count, -step, side="left"))  # the pairs with a stretch more
+        ys, ye, xs = (r[begins[:m] + step] for r in runs)
+        xe, more = xs + ye - ys, ye - ys
+        near = (ys - y1[:m] <= GAP) & (xs >= x1[:m]) & (xs - x1[:m] <= GAP) & (step > 0)
+        together = shared[:m] + more
+        joined = near & (together / np.maximum(ye - y0[:m] + xe - x0[:m] - together, 1) >= similarity)
+        passed = ~near & (more <= 2) & (more < need) & (step + 1 < count[:m]) & (step > 0)
+        fresh_ = ~joined & ~passed
+        if step:
+            close(np.flatnonzero(fresh_))
+        y0[:m], x0[:m] = np.where(fresh_, ys, y0[:m]), np.where(fresh_, xs, x0[:m])
+        y1[:m], x1[:m] = np.where(passed, y1[:m], ye), np.where(passed, x1[:m], xe)
+        shared[:m] = np.where(joined, together, np.where(passed, shared[:m], more))
+    close(np.arange(len(begins)))
+    return tuple(np.concatenate(k) for k in zip(*out))
+
+
+def align_many(x: np.ndarray, y: np.ndarray, ends: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...], np.ndarray]:
+    """(row, (start in y, end in y, start in x), rows left out): the stretches of ``align`` of x with each of many rows, whose tokens y end at ``ends``.
+
+    ``places`` has -1 for each of a power of two of slots, into which tokens go by their lower bits; it is the same
+    afterwards. A row is left out if it has a token of a slot that x has more than once: only where a token has
+    more than one place diagonals matter.
+    """
+    at = np.arange(len(x), dtype=places.dtype)
+    mask = x.dtype.type(len(places) - 1)
+    x_slot, y_slot = x & mask, y & mask
+    places[x_slot[::-1]] = at[::-1]
+    again = x_slot[places[x_slot] != at]
+    found = places[y_slot]
+    found[x[found] != y] = -1
+    row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    left_out = np.zeros(0, np.int64)
+    if len(again):
+        places[again] = -2
+        left_out = np.unique(row[places[y_slot] == -2])
+        if len(left_out):
+            found[np.isin(row, left_out)] = -1
+    places[x_slot] = -1
+    diagonal = np.where(found >= 0, found - np.arange(len(y)), len(x))  # the last for tokens that x does not have
+    new = np.append(True, (diagonal[1:] != diagonal[:-1]) | (row[1:] != row[:-1]))
+    start = np.flatnonzero(new)
+    stop = np.append(start[1:], len(y))
+    hit = found[start] >= 0
+    start, stop = start[hit], stop[hit]
+    of = row[start]
+    base = np.append(0, ends)[of]
+    return of, (start - base, stop - base, found[start].astype(np.int64)), left_out
+
+
 def may_cover(ordered: np.ndarray, y: np.ndarray, left: np.ndarray, similarity: float = SIMILARITY) -> bool:
     """Whether a stretch of y, of whose tokens ``similarity`` or more are among the sorted tokens of x, has one of the words ``left``. A passage is such a stretch."""
     at = np.minimum(np.searchsorted(ordered, y), len(ordered) - 1)
@@ -568,23 +713,15 @@ FOUND = {"doc_id": pa.int64(), "v": pa.int32(), "start_word": pa.int64(), "end_w
 
 
 def _found(docs: DataFrame, passage: int, similarity: float) -> DataFrame:
-    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint"), _version().alias("v"), F.lower("text").alias("text"))
-    met = neighbours(windows(texts, passage))
+    texts = _texts(docs)
+    met = neighbours(texts, _borders(docs, passage), passage)
     pairs = materialize(likely(collisions(met)))
     found = materialize(_aligned(pairs, texts, passage, similarity))
     around = materialize(surroundings(materialize(open_groups(met, _spans(found))), texts, passage))
-    done, least = pairs.select(*PAIR), (passage, similarity)
-
-    def rest() -> DataFrame:
-        spans = _spans(found)
-        return alike_around(_uncovered(around.drop("open"), spans), False, False, *least).union(all_alike(around, spans, False, *least))
-
-    for step in (lambda: alike_around(around, True, True, *least), lambda: all_alike(around, _spans(found), True, *least)):
-        new = materialize(step().join(done, PAIR, "left_anti"))
-        found = found.union(materialize(_aligned(new, texts, passage, similarity)))
-        done = done.union(new.select(*PAIR))
-    new = materialize(rest().groupBy(*PAIR).agg(F.flatten(F.collect_list("diagonals")).alias("diagonals")).join(done, PAIR, "left_anti"))
-    return _outermost(found.union(materialize(_aligned_in_blocks(new, texts, _spans(found), passage, similarity))))
+    meeting = materialize(_meet_near(around, True, False, passage, similarity).union(_meet_all(around, _spans(found), True, passage, similarity)))
+    places = meeting.select(F.col("b").alias("doc_id"), F.col("vb").alias("v"), F.col("cy").alias("c")).distinct()
+    left = around.select("hash", "doc_id", "v", "c", "open").join(places, ["doc_id", "v", "c"], "left_semi")
+    return _outermost(found.union(materialize(_aligned_in_groups(left, texts, _spans(found), passage, similarity))))
 
 
 def _outermost(found: DataFrame) -> DataFrame:
@@ -607,61 +744,149 @@ def _aligned(pairs: DataFrame, texts: DataFrame, passage: int, similarity: float
     both = pairs.join(side("b"), ["b", "vb"]).join(side("a"), ["a", "va"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = np.full(SLOTS, -1, np.int32)
         for batch in text_slices(batches, "text_b", 1_000_000):
-            x, x_at = shingle_hashes(*word_hashes(batch.column("text_a"))[:2], WIDTH)
-            y, y_at = shingle_hashes(*word_hashes(batch.column("text_b"))[:2], WIDTH)
-            rows = []
-            for i, (a, b, v, diagonals) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("a", "b", "vb", "diagonals")))):
-                rows += [(b, v, p[0], p[1], a, p[2], p[3], p[4]) for p in align(x[x_at[i] : x_at[i + 1]], y[y_at[i] : y_at[i + 1]], np.array(diagonals), passage, similarity)]
-            columns = list(zip(*rows)) if rows else [()] * len(FOUND)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, FOUND.values())], names=list(FOUND))
+            x, x_at = shingle_hashes(*word_codes(batch.column("text_a")), WIDTH)
+            y, y_at = shingle_hashes(*word_codes(batch.column("text_b")), WIDTH)
+            parts, alone = [], []
+            for i in range(batch.num_rows):
+                own = x[x_at[i] : x_at[i + 1]], y[y_at[i] : y_at[i + 1]]
+                of, runs, left_out = align_many(*own, np.array([len(own[1])]), places)
+                parts.append((of + i, *runs))
+                if len(left_out):
+                    alone += [(i, *p) for p in align(*own, np.array(batch.column("diagonals")[i].as_py()), passage, similarity)]
+            of, *runs = (np.concatenate(k) for k in zip(*parts))
+            found = [np.append(k, more) for k, more in zip(_chains(of, runs, passage, similarity), zip(*alone))] if alone else _chains(of, runs, passage, similarity)
+            at = pa.array(found[0].astype(np.int64))
+            b, v, a = (batch.column(n).take(at) for n in ("b", "vb", "a"))
+            columns = [b, v, *found[1:3], a, *found[3:]]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, FOUND.values())], names=list(FOUND))
 
     return both.select("a", "b", "vb", "diagonals", "text_a", "text_b").mapInArrow(run, _schema(FOUND))
 
 
-def _aligned_in_blocks(pairs: DataFrame, texts: DataFrame, spans: DataFrame, passage: int, similarity: float) -> DataFrame:
-    """As ``_aligned``, for documents that stand in very many pairs each: of the passages those with a word that ``spans`` and the pairs before leave uncovered.
+def _aligned_in_groups(windows_: DataFrame, texts: DataFrame, spans: DataFrame, passage: int, similarity: float) -> DataFrame:
+    """The passages (columns ``FOUND``), with a word that ``spans`` leave uncovered, of each document with an open window and every earlier one with a window of its hash, if their bitmaps share ``LEAST_BITS``.
 
-    A document's text goes once to each block of pairs that names it, instead of once a pair.
+    Groups with the same first document are taken together, as near copies stand in many groups together; their documents meet in blocks. A pair is no row of its own.
     """
-    ids = pairs.select(F.col("a").alias("doc_id"), F.col("va").alias("v")).union(pairs.select("b", "vb")).distinct()
-    own = materialize(among(texts, "doc_id", ids.select("doc_id").distinct()).dropDuplicates(["doc_id", "v"]).join(ids, ["doc_id", "v"]))
-    blocks = max((own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BYTES, int((pairs.count() / PAIRS) ** 0.5)) + 1
-    at = lambda d, v: F.pmod(F.xxhash64(d, v), F.lit(blocks))
-    dealt = pairs.select(at("a", "va").alias("i"), at("b", "vb").alias("j"), *PAIR, "diagonals")
-    named = dealt.select("i", "j", F.col("a").alias("doc_id"), F.col("va").alias("v")).union(dealt.select("i", "j", "b", "vb")).distinct()
-    rows = named.join(own, ["doc_id", "v"]).join(spans, ["doc_id", "v"], "left").select("i", "j", "doc_id", "v", "text", "spans")
-    rows, dealt = (t.select(*(F.col(n).alias(n) for n in t.columns)) for t in (rows, dealt))  # names of their own, as both come from one table
-
-    def run(rows: pa.Table, dealt: pa.Table) -> pa.Table:
-        found = []
-        if rows.num_rows and dealt.num_rows:
-            tokens, begins = shingle_hashes(*word_hashes(rows.column("text").combine_chunks())[:2], WIDTH)
-            place = {k: i for i, k in enumerate(zip(rows.column("doc_id").to_pylist(), rows.column("v").to_pylist()))}
-            spans_ = rows.column("spans").to_pylist()
-            covered: dict[int, np.ndarray] = {}
-            before, x, order, ordered = None, tokens, tokens, tokens
-            for a, va, b, vb, diagonals in zip(*(c.to_pylist() for c in dealt.sort_by([(n, "ascending") for n in PAIR]).select([*PAIR, "diagonals"]).columns)):
-                i, j = place[a, va], place[b, vb]
-                if i != before:
-                    before, x = i, tokens[begins[i] : begins[i + 1]]
-                    order = np.argsort(x, kind="stable")
-                    ordered = x[order]
-                y = tokens[begins[j] : begins[j + 1]]
-                if j not in covered:
-                    covered[j] = np.zeros(len(y) + WIDTH - 1, bool)
-                    for known in spans_[j] or ():
-                        covered[j][known["start_word"] : known["end_word"]] = True
-                if not may_cover(ordered, y, ~covered[j], similarity):
-                    continue
-                for p in align(x, y, np.array(diagonals), passage, similarity, order):
-                    if not covered[j][p[0] : p[1]].all():
-                        covered[j][p[0] : p[1]] = True
-                        found.append((b, vb, p[0], p[1], a, p[2], p[3], p[4]))
-        columns = list(zip(*found)) if found else [()] * len(FOUND)
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, FOUND.values())], names=list(FOUND))
-
-    return rows.groupBy("i", "j").cogroup(dealt.groupBy("i", "j")).applyInArrow(run, _schema(FOUND))
+    marked = materialize(windows_)
+    name = F.struct("doc_id", "v")
+    groups = marked.groupBy("hash").agg(F.min(name).alias("first"), F.max(F.when(F.col("open"), name)).alias("last")).where("last > first").select("hash", F.col("first.doc_id").alias("key"))
+    listed = materialize(marked.join(groups, "hash").groupBy("key", "doc_id", "v").agg(F.collect_list(F.struct("hash", "c", "open")).alias("w")))  # a text's own windows
+    own = among(texts, "doc_id", listed.select("doc_id").distinct()).dropDuplicates(["doc_id", "v"]).join(spans, ["doc_id", "v"], "left")
+    own = materialize(own.withColumn("size", F.octet_length("text")))
+    sizes = listed.select("key", "doc_id", "v").join(own.select("doc_id", "v", "size"), ["doc_id", "v"]).groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    sizes = materialize(sizes.withColumn("blocks", F.greatest(F.expr(f"n div {DOCUMENTS}"), F.expr(f"size div {BYTES}"))))
+    # Keys of one block share one with others.
+    small = sizes.where("blocks = 0").agg(F.sum("n"), F.sum("size")).first()
+    buckets = max((small[0] or 0) * 2 // DOCUMENTS, (small[1] or 0) * 2 // BYTES) + 1
+    keys = sizes.select("key", "blocks", F.when(F.col("blocks") == 0, F.pmod(F.xxhash64("key"), F.lit(buckets))).otherwise(-1 - F.col("key")).alias("bucket"))
+    dealt = listed.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("doc_id", "v"), F.col("blocks") + 1)).join(own, ["doc_id", "v"])
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks")))
+    x = dealt.select("bucket", F.col("own").alias("bx"), every.alias("by"), "doc_id", "v", "w", "text")
+    y = dealt.where(F.exists("w", lambda w: w["open"])).select("bucket", every.alias("bx"), F.col("own").alias("by"), "doc_id", "v", "w", "text", "spans")
+    x, y = (t.select(*(F.col(n).alias(n) for n in t.columns)) for t in (x, y))  # names of their own, as both come from one table
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        found = _block_passages(x, y, passage, similarity) if x.num_rows and y.num_rows else [()] * len(FOUND)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(found, FOUND.values())], names=list(FOUND))
+
+    key = ["bucket", "bx", "by"]
+    return x.groupBy(*key).cogroup(y.groupBy(*key)).applyInArrow(run, _schema(FOUND))
+
+
+def _side(t: pa.Table, passage: int, only_open: bool) -> tuple:
+    """(doc_id, v, tokens, begins, (hash, row, c, bitmap) of the windows) of the documents of a block, in order; with ``only_open``, of open windows."""
+    tokens, begins = shingle_hashes(*word_codes(t.column("text").combine_chunks()), WIDTH)
+    lists = t.column("w").combine_chunks()
+    inner = lists.flatten()
+    row = np.repeat(np.arange(t.num_rows), np.asarray(lists.value_lengths()))
+    keep = inner.field("open").to_numpy(zero_copy_only=False) if only_open else np.ones(len(inner), bool)
+    hash_, row, c = inner.field("hash").to_numpy()[keep], row[keep], inner.field("c").to_numpy()[keep]
+    order = np.lexsort((row, hash_))
+    hash_, row, c = hash_[order], row[order], c[order]
+    reach = passage - WIDTH
+    bits = [np.zeros((0, BITS // 64), np.uint64)]
+    for start in range(0, len(row), 4096):
+        s = slice(start, start + 4096)
+        at = begins[row[s], None] + c[s, None] + np.arange(-reach, reach + 1)
+        bits.append(_bitmap(_short(tokens, at, (at >= begins[row[s], None]) & (at < begins[row[s] + 1, None]))[1], BITS))
+    return t.column("doc_id").to_numpy(), t.column("v").to_numpy(), tokens, begins, (hash_, row, c, np.concatenate(bits))
+
+
+def _block_passages(x: pa.Table, y: pa.Table, passage: int, similarity: float) -> list[list]:
+    """The columns ``FOUND`` of a block of ``_aligned_in_groups``."""
+    x, y = (t.sort_by([(n, "ascending") for n in ("doc_id", "v")]) for t in (x, y))
+    (xd, xv, xt, xb, (xh, xr, xc, xbits)), (yd, yv, yt, yb, (yh, yr, yc, ybits)) = _side(x, passage, False), _side(y, passage, True)
+    order = np.lexsort((np.append(xv, yv), np.append(xd, yd)))
+    d, v = np.append(xd, yd)[order], np.append(xv, yv)[order]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(np.append(0, (d[1:] != d[:-1]) | (v[1:] != v[:-1])))
+    x_rank, y_rank = rank[: len(xd)][xr], rank[len(xd) :][yr]
+
+    meet = np.zeros((len(xd), len(yd)), bool)
+    for s, first, most in _meets(xh, yh):
+        m = first + int(np.searchsorted(x_rank[first:most], y_rank[s][-1]))  # those after the last of y are later
+        j, i = np.nonzero(np.bitwise_count(ybits[s, None] & xbits[None, first:m]).sum(2, dtype=np.uint16) >= LEAST_BITS)
+        before = x_rank[i + first] < y_rank[j + s.start]
+        meet[xr[i[before] + first], yr[j[before] + s.start]] = True
+
+    _, ids = np.unique(np.append(xt, yt), return_inverse=True)
+    ids = ids.astype(np.int32)
+    xi, yi = ids[: len(xt)], ids[len(xt) :]
+    places = np.full(1 << len(ids).bit_length(), -1, np.int32)
+    words = np.append(0, np.cumsum(np.diff(yb) + WIDTH - 1))  # of y's documents
+    covered = np.zeros(words[-1], bool)
+    for j, known in enumerate(y.column("spans").to_pylist()):
+        for k in known or ():
+            covered[words[j] + k["start_word"] : words[j] + k["end_word"]] = True
+    (x_of, x_from), (y_of, y_from) = ((np.argsort(k, kind="stable"), np.append(0, np.cumsum(np.bincount(k, minlength=m)))) for k, m in ((xr, len(xd)), (yr, len(yd))))
+    out: list[tuple] = []
+    waiting, alone, n = [], [], 0
+
+    def tell() -> None:
+        """Of the passages of the pairs that wait, those with a word not told yet."""
+        told = []
+        if waiting:
+            of, ys, ye, xs, i, j = (np.concatenate(k) for k in zip(*waiting))
+            pair, *p = _chains(of, (ys, ye, xs), passage, similarity)
+            at = np.searchsorted(of, pair)
+            i, j = i[at], j[at]
+            told = list(zip(i, j, *p))
+        for i, j in alone:
+            # Without a word left that a passage could have, the pair is not aligned.
+            x_, y_ = xt[xb[i] : xb[i + 1]], yt[yb[j] : yb[j + 1]]
+            own = np.argsort(x_, kind="stable")
+            if may_cover(x_[own], y_, ~covered[words[j] : words[j + 1]], similarity):
+                wx, wy = x_of[x_from[i] : x_from[i + 1]], y_of[y_from[j] : y_from[j + 1]]
+                _, a, b = np.intersect1d(xh[wx], yh[wy], return_indices=True)
+                told += [(i, j, *p) for p in align(x_, y_, np.unique(xc[wx[a]].astype(np.int64) - yc[wy[b]]), passage, similarity, own)]
+        if told:
+            i, j, ys, ye, xs, xe, alike = (np.array(k) for k in zip(*told))
+            open_ = np.append(0, np.cumsum(~covered))
+            order = np.lexsort((ys, j, i, ys - ye))  # the longest first, of those of one length that of the earliest document
+            for k in order[open_[words[j[order]] + ye[order]] > open_[words[j[order]] + ys[order]]]:
+                s = slice(words[j[k]] + ys[k], words[j[k]] + ye[k])
+                if not covered[s].all():
+                    covered[s] = True
+                    out.append((yd[j[k]], yv[j[k]], ys[k], ye[k], xd[i[k]], xs[k], xe[k], alike[k]))
+        waiting.clear()
+        alone.clear()
+
+    pairs = 0
+    for i in np.flatnonzero(meet.any(1)):
+        j = np.flatnonzero(meet[i])
+        ends = np.cumsum(yb[j + 1] - yb[j])
+        of, runs, left_out = align_many(xi[xb[i] : xb[i + 1]], np.concatenate([yi[yb[k] : yb[k + 1]] for k in j]), ends, places)
+        waiting.append((of + pairs, *runs, np.full(len(of), i), j[of]))
+        alone += [(i, k) for k in j[left_out]]
+        pairs, n = pairs + len(j), n + len(of) + len(left_out)
+        if n >= RUNS:
+            tell()
+            n = 0
+    tell()
+    return [list(k) for k in zip(*out)] if out else [[]] * len(FOUND)
 
 
 def remove_passages(docs: DataFrame, passage: int = PASSAGE, similarity: float = SIMILARITY) -> DataFrame:

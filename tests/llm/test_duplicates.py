@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import minhash, substring
 from ledgerloom.llm.common import connected_components, shingle_hashes, word_hashes
@@ -279,6 +280,78 @@ def test_pairs_left_out_hold_no_passage():
     assert not substring.may_cover(np.arange(100, dtype=np.uint64), np.arange(500, 600, dtype=np.uint64), np.ones(104, bool))
 
 
+def near_copies(rng, n, length, edits):
+    """Token rows of near copies of a text: some words replaced, put in or taken out; now and then a part comes twice."""
+    rows = []
+    base = rng.permutation(3000)[:length]
+    for _ in range(n):
+        d = base.copy()
+        for _ in range(int(rng.integers(0, edits))):
+            at, kind = int(rng.integers(0, len(d))), int(rng.integers(0, 3))
+            if kind == 0:
+                d[at : at + 5] = rng.integers(3000, 99999, len(d[at : at + 5]))
+            else:
+                d = np.insert(d, at, rng.integers(3000, 99999, int(rng.integers(1, 9)))) if kind == 1 else np.delete(d, slice(at, at + int(rng.integers(1, 15))))
+        rows.append((np.concatenate([d[:50], d[100:180], d[20:60], d[180:]]) if rng.random() < 0.2 else d).astype(np.uint64))
+    return rows
+
+
+def test_many_rows_are_aligned_as_one_by_one():
+    rng = np.random.default_rng(12)
+    places, compared = np.full(1 << 14, -1, np.int32), 0
+    for _ in range(8):
+        rows = near_copies(rng, 12, 400, 25)
+        ends = np.cumsum([len(r) for r in rows])
+        for x in rows:
+            of, runs, left_out = substring.align_many(x, np.concatenate(rows), ends, places)
+            assert (places == -1).all()
+            got = {}
+            for j, *p in zip(*substring._chains(of, runs, substring.PASSAGE, substring.SIMILARITY)):
+                got.setdefault(int(j), []).append(tuple(float(k) for k in p))
+            for j in sorted(set(range(len(rows))) - set(left_out.tolist())):
+                compared += 1
+                assert sorted(got.get(j, [])) == sorted(tuple(float(k) for k in p) for p in substring.align(x, rows[j], np.zeros(0, np.int64)))
+    assert compared > 400
+
+
+def test_near_copies_meet_in_blocks_without_a_row_a_pair(spark, monkeypatch):
+    monkeypatch.setattr(substring, "DOCUMENTS", 8)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in row.tolist()) for row in near_copies(rng, 40, 150, 12)]
+    docs = substring._texts(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    tokens = [shingle_hashes(*word_hashes(pa.array([t]))[:2], 5)[0] for t in texts]
+    wanted = set()
+    for b in range(40):
+        for a in range(b):
+            wanted |= {(b, w) for p in substring.align(tokens[a], tokens[b], np.zeros(0, np.int64)) for w in range(p[0], p[1])}
+    found = substring.windows(docs).select("hash", "doc_id", "v", "c").withColumn("open", F.lit(True))
+    none = spark.createDataFrame([], "doc_id bigint, v int, spans array<struct<start_word: bigint, end_word: bigint>>")
+    got = substring._aligned_in_groups(found, docs, none, substring.PASSAGE, substring.SIMILARITY).collect()
+    told = {(r["doc_id"], w) for r in got for w in range(r["start_word"], r["end_word"])}
+    assert len(wanted) > 2000 and len(told & wanted) >= 0.99 * len(wanted) and len(told - wanted) <= 0.02 * len(wanted)
+    assert len(got) < 39 * 40 / 2 / 2
+
+
+def test_windows_of_a_group_are_met_in_rows_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(substring, "NEAR", 8)
+    n = 200
+    bits = np.tile(np.packbits(np.arange(substring.BITS) % 16 == 0), (n, 1))
+    rows = [(7, 0, d, 0, 0, True, n, bits[d].tobytes()) for d in range(n)]
+    windows = spark.createDataFrame(rows, substring._schema(substring.AROUND_C))
+    none = spark.createDataFrame([], "doc_id bigint, v int, spans array<struct<start_word: bigint, end_word: bigint>>")
+    met = substring._meet_all(windows, none, True, substring.PASSAGE, substring.SIMILARITY).collect()
+    assert {r["b"] for r in met} == set(range(n)) and len(met) <= 2 * n
+
+
+def test_ranges_of_windows():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        rows = [rng.integers(0, 4, 60) for _ in range(5)]
+        borders = sorted(map(tuple, rng.integers(0, 4, (9, 5)).tolist()))
+        got = substring._ranges(rows, [np.array(k) for k in zip(*borders)])
+        assert got.tolist() == [sum(b <= r for b in borders) for r in zip(*(k.tolist() for k in rows))]
+
+
 def test_remove_passages(spark):
     rng = random.Random(5)
     passage = "\n".join(text(rng, 20) for _ in range(3))
